@@ -229,16 +229,14 @@ SYMBOL_KINDS = ("functions", "classes", "imports", "exports", "interfaces", "typ
 
 def symbols(structures: DataFrame, kinds=SYMBOL_KINDS) -> DataFrame:
     """Long form ``(repo, path, kind, pos, name)``; one pass, no shuffle."""
-    tagged = F.concat(*[
-        F.coalesce(
-            F.transform(
-                F.col(kind),
-                lambda name, pos, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"), pos.alias("pos"), name.alias("name")
-                ),
-            ),
-            F.array().cast("array<struct<kind:string,pos:int,name:string>>"),
+    none = F.array().cast("array<struct<kind:string,pos:int,name:string>>")
+
+    def tagged(kind: str) -> Column:
+        named = F.transform(
+            F.col(kind),
+            lambda name, pos: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), name.alias("name")),
         )
-        for kind in kinds
-    ])
-    return structures.select("repo", "path", F.explode(tagged).alias("s")).select("repo", "path", "s.*")
+        return F.coalesce(named, none)
+
+    every = F.concat(*[tagged(kind) for kind in kinds])
+    return structures.select("repo", "path", F.explode(every).alias("s")).select("repo", "path", "s.*")
