@@ -111,7 +111,7 @@ def q_adjacency(spark, sf):
 
 
 def _pages(spark, sf):
-    return trees.html_tree_nodes(corpus.table(spark, sf, "pages"), "page_id", "html")
+    return trees.html_tree_nodes(corpus.spread(corpus.table(spark, sf, "pages"), "page_id"), "page_id", "html")
 
 
 def q_html_tree_nodes(spark, sf):
@@ -129,7 +129,8 @@ def q_fingerprint_set(spark, sf):
 
 
 def q_shape_shingles(spark, sf):
-    tokens = corpus.table(spark, sf, "documents").select("doc_id", shingles.shape_tokens(F.col("text")).alias("t"))
+    documents = corpus.spread(corpus.table(spark, sf, "documents"), "doc_id")
+    tokens = documents.select("doc_id", shingles.shape_tokens(F.col("text")).alias("t"))
     runs = tokens.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), shingles.shingles(F.col("t"), 5).alias("s"))
     return runs.select(
         "doc_id", "n_tokens", F.size("s").cast("bigint").alias("n_shingles"),

@@ -46,4 +46,5 @@ def normalize(path: Column) -> Column:
             F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    return F.when(F.size(folded) == 0, F.lit(".")).otherwise(F.array_join(folded, "/"))
+    # Segments are never empty, so only an empty fold joins to ''.
+    return F.coalesce(F.nullif(F.array_join(folded, "/"), F.lit("")), F.lit("."))

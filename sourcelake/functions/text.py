@@ -21,6 +21,11 @@ def newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
 def xml_text(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     out = F.replace(out, F.lit("<"), F.lit("&lt;"))

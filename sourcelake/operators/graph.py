@@ -14,19 +14,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelake.functions.paths import dirname, extension, normalize
+from sourcelake.functions.rows import each, each_pos
+from sourcelake.functions.text import strip
 from sourcelake.operators.structure import JS_FAMILY
 
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx")  # candidate order; fixed value
 
 
+# How a statement names its target.
+FROM_IMPORT = r"^from\s+(.+?)\s+import"
+PLAIN_IMPORT = r"^import\s+(\S+)"
+ESM_SPECIFIER = r"""^\s*(?:import|export)\s+(?:.+?\s+from\s+)?['"]([^'"]+)['"]\s*;?\s*$"""
+REQUIRE_SPECIFIER = r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)"""
+
+
+def _filled(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
 def module_name(statement: Column) -> Column:
     """Module a Python import statement names, NULL if none.
 
     ``import a, b`` gives ``a,``, which names no file."""
-    text = F.regexp_replace(statement, r"^\s+|\s+$", "")
-    return F.coalesce(
-        F.nullif(F.regexp_extract(text, r"^from\s+(.+?)\s+import", 1), F.lit("")),
-        F.nullif(F.regexp_extract(text, r"^import\s+(\S+)", 1), F.lit("")),
+    text = strip(statement)
+    return _filled(
+        F.when(F.startswith(text, F.lit("from")), F.regexp_extract(text, FROM_IMPORT, 1))
+        .otherwise(F.regexp_extract(text, PLAIN_IMPORT, 1))
     )
 
 
@@ -34,48 +47,63 @@ def script_specifier(statement: Column) -> Column:
     """Specifier of a JavaScript/TypeScript import entry, NULL if none.
 
     A brace list broken over lines yields none."""
-    text = F.regexp_replace(statement, r"^\s+|\s+$", "")
-    esm = F.regexp_extract(text, r"""^\s*(?:import|export)\s+(?:.+?\s+from\s+)?['"]([^'"]+)['"]\s*;?\s*$""", 1)
-    call = F.regexp_extract(text, r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)""", 1)
-    return F.nullif(
-        F.btrim(
-            F.when(F.startswith(text, F.lit("require:")), F.regexp_replace(text, r"^require:", ""))
-            .when(esm != "", esm)
-            .otherwise(call)
-        ),
-        F.lit(""),
+    text = strip(statement)
+    return _filled(F.btrim(
+        F.when(F.startswith(text, F.lit("require:")), F.substring(text, len("require:") + 1, 1 << 30))
+        .otherwise(F.coalesce(
+            _filled(F.regexp_extract(text, ESM_SPECIFIER, 1)), F.regexp_extract(text, REQUIRE_SPECIFIER, 1)
+        ))
+    ))
+
+
+def _located(imports: DataFrame) -> DataFrame:
+    """Adds ``_name`` (Python module), ``_target`` (folded path of a relative
+    script specifier) and ``_exact`` (the target already has a suffix).
+
+    One projection per step: each value is computed once per row."""
+    python, script = F.col("language") == "python", F.col("language").isin(*JS_FAMILY)
+    named = imports.withColumns({
+        "_name": F.when(python, module_name(F.col("import_text"))),
+        "_spec": F.when(script, script_specifier(F.col("import_text"))),
+    })
+    spec = F.col("_spec")
+    relative = F.startswith(spec, F.lit("./")) | F.startswith(spec, F.lit("../"))
+    parted = named.withColumns({
+        "_dir": F.when(relative, dirname(F.col("path"))),
+        "_ups": F.length(F.regexp_extract(spec, r"^(?:\./)?((?:\.\./)*)", 1)) / 3,
+        "_rest": F.regexp_extract(spec, r"^(?:\./)?(?:\.\./)*(.*)$", 1),
+    })
+    # Usual case: ups first, then plain segments, staying inside the repository.
+    parents = F.split("_dir", "/")
+    depth = F.when(F.col("_dir") == "", F.lit(0)).otherwise(F.size(parents))
+    plain = (F.col("_ups") <= depth) & ~F.col("_rest").rlike(r"(?:^|/)\.{0,2}(?:/|$)")
+    above = F.array_join(F.slice(parents, F.lit(1), (depth - F.col("_ups")).cast("int")), "/")
+    folded = parted.withColumn(
+        "_target",
+        F.when(F.col("_dir").isNotNull(), F.when(plain, F.concat_ws("/", _filled(above), F.col("_rest"))).otherwise(
+            normalize(F.concat_ws("/", _filled(F.col("_dir")), spec))
+        )),
     )
-
-
-def _relative(specifier: Column) -> Column:
-    return F.startswith(specifier, F.lit("./")) | F.startswith(specifier, F.lit("../"))
-
-
-def _joined(path: Column, specifier: Column) -> Column:
-    return normalize(F.concat_ws("/", F.nullif(dirname(path), F.lit("")), specifier))
+    return folded.withColumn("_exact", extension(F.col("_target")) != "").drop("_spec", "_dir", "_ups", "_rest")
 
 
 def import_candidates(imports: DataFrame) -> DataFrame:
     """``(repo, path, pos, import_text, language)`` -> one row per candidate path,
     in the order they are tried (``ord``)."""
-    name, spec = module_name(F.col("import_text")), script_specifier(F.col("import_text"))
-    dotted = F.replace(name, F.lit("."), F.lit("/"))
-    target = _joined(F.col("path"), spec)
-    scripts = F.when(_relative(spec), F.when(extension(target) != "", F.array(target)).otherwise(F.array(
-        *[F.concat(target, F.lit(s)) for s in SCRIPT_SUFFIXES],
-        *[F.concat(target, F.lit("/index" + s)) for s in SCRIPT_SUFFIXES],
-    )))
-    candidates = F.when(
-        F.col("language") == "python",
-        F.when(name.isNotNull(), F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py")))),
-    ).when(F.col("language").isin(*JS_FAMILY), scripts)
-    return imports.select("repo", "path", "pos", "import_text", F.posexplode(candidates).alias("ord", "candidate"))
+    dotted, target = F.replace("_name", F.lit("."), F.lit("/")), F.col("_target")
+    endings = F.array(*[F.lit(e) for e in (*SCRIPT_SUFFIXES, *("/index" + s for s in SCRIPT_SUFFIXES))])
+    candidates = (
+        F.when(F.col("_name").isNotNull(), F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py"))))
+        .when(F.col("_exact"), F.array(target))
+        .when(target.isNotNull(), F.transform(endings, lambda e: F.concat(target, e)))
+    )
+    return each_pos(_located(imports), ["repo", "path", "pos", "import_text"], candidates, "ord", "candidate")
 
 
 def import_rows(structures: DataFrame, keep_empty: bool = False) -> DataFrame:
     """``(repo, path, language, pos, import_text)``, one row per import."""
-    generator = F.posexplode_outer if keep_empty else F.posexplode
-    return structures.select("repo", "path", "language", generator("imports").alias("pos", "import_text"))
+    rows = structures.select("repo", "path", "language", F.posexplode_outer("imports").alias("pos", "import_text"))
+    return rows if keep_empty else rows.where(F.col("pos").isNotNull())
 
 
 def module_keys(files: DataFrame, source_roots=()) -> DataFrame:
@@ -92,12 +120,11 @@ def module_keys(files: DataFrame, source_roots=()) -> DataFrame:
     for i, root in enumerate(["", *(r.strip("/") + "/" for r in source_roots)]):
         inside = F.startswith(path, F.lit(root))
         rest = path.substr(F.lit(len(root) + 1), F.length(path))
-        options += [
-            F.when(inside & F.endswith(rest, F.lit(".py")),
-                   entry("py", F.regexp_replace(rest, r"\.py$", ""), 2 * i)).otherwise(no_entry),
-            F.when(inside & F.endswith(rest, F.lit("/__init__.py")),
-                   entry("py", F.regexp_replace(rest, r"/__init__\.py$", ""), 2 * i + 1)).otherwise(no_entry),
-        ]
+        for rank, tail in enumerate((".py", "/__init__.py")):
+            name = rest.substr(F.lit(1), F.length(rest) - len(tail))
+            options.append(
+                F.when(inside & F.endswith(rest, F.lit(tail)), entry("py", name, 2 * i + rank)).otherwise(no_entry)
+            )
     stem_entry, index_entry = no_entry, no_entry
     for i, suffix in enumerate(SCRIPT_SUFFIXES):
         cut = lambda tail: path.substr(F.lit(1), F.length(path) - len(tail))
@@ -108,7 +135,7 @@ def module_keys(files: DataFrame, source_roots=()) -> DataFrame:
         ).otherwise(index_entry)
     options += [stem_entry, index_entry]
     return (
-        files.select("repo", "path", F.explode(F.filter(F.array(*options), lambda e: e.isNotNull())).alias("e"))
+        each(files, ["repo", "path"], F.array(*options), "e")
         .groupBy("repo", F.col("e.kind").alias("kind"), F.col("e.key").alias("key"))
         .agg(F.min_by("path", F.col("e.ord")).alias("target"))
     )
@@ -119,30 +146,26 @@ def import_keys(imports: DataFrame, resolve_relative: bool = False) -> DataFrame
 
     Imports that cannot name a file of the repository get a kind of their own
     and a key that spreads them, so they do not gather in one partition."""
-    name, spec = module_name(F.col("import_text")), script_specifier(F.col("import_text"))
-    py_key = F.replace(name, F.lit("."), F.lit("/"))
+    name = F.col("_name")
+    key = F.replace(name, F.lit("."), F.lit("/"))
     if resolve_relative:
         dots = F.length(F.regexp_extract(name, r"^\.+", 0))
-        rest = F.replace(F.regexp_replace(name, r"^\.+", ""), F.lit("."), F.lit("/"))
+        rest = F.replace(F.ltrim(name, F.lit(".")), F.lit("."), F.lit("/"))
         parent = F.split(dirname(F.col("path")), "/")
         base = F.array_join(F.slice(parent, F.lit(1), F.greatest(F.size(parent) - dots + 1, F.lit(0))), "/")
-        py_key = F.when(
-            dots > 0,
-            F.concat_ws("/", F.nullif(base, F.lit("")), F.nullif(rest, F.lit(""))),
-        ).otherwise(py_key)
-    target = _joined(F.col("path"), spec)
-    script = F.col("language").isin(*JS_FAMILY) & _relative(spec)
-    keyed = imports.withColumn(
-        "_k",
-        F.when((F.col("language") == "python") & name.isNotNull(),
-               F.struct(F.lit("py").alias("kind"), py_key.alias("key")))
-        .when(script, F.struct(
-            F.when(extension(target) != "", F.lit("file")).otherwise(F.lit("script")).alias("kind"),
-            target.alias("key"),
-        ))
-        .otherwise(F.struct(F.lit("none").alias("kind"), F.col("path").alias("key"))),
+        # more dots than directories lead out of the repository
+        inside = (dots - 1 <= F.size(parent)) & ((dots == 1) | (dirname(F.col("path")) != ""))
+        key = F.when(dots == 0, key).when(inside, F.concat_ws("/", _filled(base), _filled(rest))).otherwise(key)
+    # Never NULL, and known to be: a join adds no test of it that would be pushed
+    # below these projections and repeat them.
+    return _located(imports).select(
+        *imports.columns,
+        F.when(name.isNotNull(), F.lit("py"))
+        .when(F.col("_exact"), F.lit("file"))
+        .when(F.col("_target").isNotNull(), F.lit("script"))
+        .otherwise(F.lit("none")).alias("kind"),
+        F.coalesce(F.when(name.isNotNull(), key), F.col("_target"), F.col("path"), F.lit("")).alias("key"),
     )
-    return keyed.select(*imports.columns, "_k.kind", "_k.key")
 
 
 def resolve_imports(

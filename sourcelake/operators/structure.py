@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcelake.functions.paths import extension
+from sourcelake.functions.rows import each
+from sourcelake.functions.text import strip
 
 EXTRACTOR_VERSION = "sourcelake-1"
 
@@ -43,13 +44,13 @@ _PY_GAP = r"(?:[ \t]|\\\n)"
 _PY_FROM = rf"from{_PY_GAP}++(?!__future__\b)[.\w\x{{80}}-\x{{10FFFF}}]++{_PY_GAP}++import\b"
 _PY_PARENS = r"\((?:[^()#]++|#[^\n]*+)*+\)"
 # Parenthesised imports keep their comments, as the statement's own text.
-_PY_BLANK = rf"{_PY_TRIPLE}|{_STRING}|((?<![\w.]){_PY_FROM}{_PY_GAP}*+{_PY_PARENS})|#[^\n]*+"
+# The leading lookahead passes over ordinary characters in one step each.
+_PY_BLANK = rf"""(?=["'#f])(?:{_PY_TRIPLE}|{_STRING}|#[^\n]*+|((?<![\w.]){_PY_FROM}{_PY_GAP}*+{_PY_PARENS}))"""
 _PY_IMPORT = (
     rf"(?m)(?:^|[;:])[ \t]*+((?:{_PY_FROM}(?:{_PY_GAP}*+{_PY_PARENS}|(?:[^\n;#(\\]++|\\\n)++))"
     rf"|(?:import{_PY_GAP}++(?:[^\n;#\\]++|\\\n)++))"
 )
-_PY_FUNCTION = rf"(?m)^[ \t]*+(?:async{_PY_GAP}++)?def{_PY_GAP}++({_WORD}++)"
-_PY_CLASS = rf"(?m)^[ \t]*+class{_PY_GAP}++({_WORD}++)"
+_PY_DECLARATION = rf"(?m)^[ \t]*+(?:(?:async{_PY_GAP}++)?def|class){_PY_GAP}++{_WORD}++"
 
 # --- JavaScript and TypeScript --------------------------------------------------
 
@@ -64,18 +65,19 @@ _JS_IMPORT = (
 _JS_REQUIRE = r"""\brequire\s*\(\s*['"][^'"]+['"]\s*\)"""
 # Import statements keep their comments; other comments go, strings stay
 # because they hold the specifiers.
-_JS_BLANK = rf"((?m:^)[ \t]*+{_JS_IMPORT})|{_JS_COMMENT}|({_STRING})|{_JS_TEMPLATE}|{_JS_REGEX}"
+_JS_BLANK = (
+    rf"""(?=[/"'`i])(?:({_STRING})|{_JS_COMMENT}|{_JS_TEMPLATE}|{_JS_REGEX}|((?<![\w$.]){_JS_IMPORT}))"""
+)
 _JS_IMPORTS = rf"(?m)(?:^|;)[ \t]*+({_JS_IMPORT})|({_JS_REQUIRE})"
 _JS_START = r"(?m)(?:^|[;{}])[ \t]*+(?:@[\w.$]++(?:\([^()\n]*+\))?[ \t]++)*+(?:export[ \t]++)?(?:default[ \t]++)?"
 _JS_PARENS = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
-# A body has to follow: overload signatures are not declarations of a function.
-_JS_FUNCTION = (
-    rf"{_JS_START}(?:async[ \t]++)?function\s*+\*?\s*+({_WORD}++)(?=\s*+(?:<[^(]*+>\s*+)?{_JS_PARENS}[^;{{]*+\{{)"
+# A function needs a body (overload signatures have none), a type alias its "=".
+_JS_DECLARATION = (
+    rf"{_JS_START}(?:"
+    rf"(?:async[ \t]++)?function\s*+\*?\s*+{_WORD}++(?=\s*+(?:<[^(]*+>\s*+)?{_JS_PARENS}[^;{{]*+\{{)"
+    rf"|(?:declare[ \t]++)?(?:class|interface|(?:const[ \t]++)?enum)[ \t]++{_WORD}++"
+    rf"|(?:declare[ \t]++)?type[ \t]++{_WORD}++(?=\s*+(?:<[^=;]*+)?=))"
 )
-_JS_CLASS = rf"{_JS_START}(?:declare[ \t]++)?class[ \t]++({_WORD}++)"
-_TS_INTERFACE = rf"{_JS_START}(?:declare[ \t]++)?interface[ \t]++({_WORD}++)"
-_TS_TYPE = rf"{_JS_START}(?:declare[ \t]++)?type[ \t]++({_WORD}++)(?=\s*+(?:<[^=;]*+)?=)"
-_TS_ENUM = rf"{_JS_START}(?:declare[ \t]++)?(?:const[ \t]++)?enum[ \t]++({_WORD}++)"
 
 
 def _balanced(levels: int) -> str:
@@ -99,7 +101,10 @@ _JS_EXPORT = (
     rf"|(?:[^(){{}}\[\]\"'`/;\n]++|{_STRING}|{_JS_TEMPLATE}|{_JS_COMMENT}|{_JS_GROUP}|/"
     r"|\n(?=\s*+[.?:|&+*=<>,])|(?<=[=,+*|&?:<>][ \t]{0,8})\n)*+;?)"
 )
-_JS_EXPORTS = rf"{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}|(?m:^)[ \t]*+({_JS_EXPORT})"
+_JS_EXPORTS = (
+    rf"""(?=[/"'`e])(?:{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}"""
+    rf"|((?<![\w$.])(?=export\b)(?<=(?:\A|\n)[ \t]{{0,32}}){_JS_EXPORT}))"
+)
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -112,10 +117,11 @@ def _none() -> Column:
 
 def detect_language(path: Column) -> Column:
     """Language by lower-cased suffix, ``unknown`` otherwise."""
-    suffix = F.lower(extension(path))
+    lowered = F.lower(path)
+    named = path.rlike(r"[^./][^/]*\.[^./]*$")  # a name of dots and suffix only has no suffix
     out = F.lit("unknown")
-    for ext, language in LANGUAGES.items():
-        out = F.when(suffix == ext, F.lit(language)).otherwise(out)
+    for suffix, language in LANGUAGES.items():
+        out = F.when(F.endswith(lowered, F.lit(suffix)) & named, F.lit(language)).otherwise(out)
     return out
 
 
@@ -133,24 +139,24 @@ def _stringless(code: Column) -> Column:
     return F.regexp_replace(code, _STRING, '""')
 
 
-def python_functions(code: Column) -> Column:
-    return _all(code, _PY_FUNCTION)
+def python_declarations(code: Column) -> Column:
+    """Heads of all functions and classes, in text order."""
+    return _all(code, _PY_DECLARATION, 0)
 
 
-def python_classes(code: Column) -> Column:
-    return _all(code, _PY_CLASS)
+def script_declarations(code: Column) -> Column:
+    """Heads of all functions, classes, interfaces, types and enums."""
+    return _all(F.regexp_replace(code, _STRING, '""'), _JS_DECLARATION, 0)
 
 
-def python_imports(code: Column) -> Column:
-    return F.transform(_all(code, _PY_IMPORT), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-
+def declared(heads: Column, keyword: str) -> Column:
+    """Names among declaration heads that ``keyword`` introduces."""
+    names = F.transform(heads, lambda h: F.regexp_extract(h, rf"\b{keyword}\b[\s*\\]*+({_WORD}++)$", 1))
+    return F.filter(names, lambda n: n != "")
 
-def script_functions(code: Column) -> Column:
-    return _all(_stringless(code), _JS_FUNCTION)
 
-
-def script_classes(code: Column) -> Column:
-    return _all(_stringless(code), _JS_CLASS)
+def python_imports(code: Column) -> Column:
+    return F.transform(_all(code, _PY_IMPORT), strip)
 
 
 def script_imports(code: Column) -> Column:
@@ -158,30 +164,15 @@ def script_imports(code: Column) -> Column:
     return F.transform(
         _all(code, _JS_IMPORTS, 0),
         lambda x: F.when(
-            x.rlike(r"^require\b"),
+            F.startswith(x, F.lit("require")),
             F.concat(F.lit("require:"), F.regexp_extract(x, r"""['"]([^'"]+)['"]""", 1)),
-        ).otherwise(F.regexp_replace(x, r"^[;\s]+|\s+$", "")),
+        ).otherwise(strip(F.ltrim(x, F.lit(";")))),
     )
 
 
 def script_exports(content: Column) -> Column:
     """Whole export statements, taken from the unblanked text."""
-    return F.transform(
-        F.filter(_all(content, _JS_EXPORTS), lambda x: x != ""),
-        lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""),
-    )
-
-
-def script_interfaces(code: Column) -> Column:
-    return _all(_stringless(code), _TS_INTERFACE)
-
-
-def script_types(code: Column) -> Column:
-    return _all(_stringless(code), _TS_TYPE)
-
-
-def script_enums(code: Column) -> Column:
-    return _all(_stringless(code), _TS_ENUM)
+    return F.transform(F.filter(_all(content, _JS_EXPORTS), lambda x: x != ""), strip)
 
 
 def split_languages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,12 +188,13 @@ def extract_structure(files: DataFrame) -> DataFrame:
 
     Arrays that only scripts have are NULL for Python."""
     readable, _ = split_languages(files)
-    language, content = F.col("language"), F.col("content")
-    python, typed = language == "python", language.isin(*TYPED)
-    coded = readable.withColumn(
-        "code", F.when(python, python_code(content)).otherwise(script_code(content))
+    content, code, heads = F.col("content"), F.col("code"), F.col("heads")
+    python, typed = F.col("language") == "python", F.col("language").isin(*TYPED)
+    # One projection per stage: text is blanked once, declarations found once.
+    coded = readable.withColumn("code", F.when(python, python_code(content)).otherwise(script_code(content)))
+    coded = coded.withColumn(
+        "heads", F.when(python, python_declarations(code)).otherwise(script_declarations(code))
     )
-    code = F.col("code")
 
     def script_only(value: Column, when: Column = ~python) -> Column:
         return F.when(when, value).when(~python, _none())
@@ -214,13 +206,13 @@ def extract_structure(files: DataFrame) -> DataFrame:
         F.length("content").cast("bigint").alias("n_chars"),
         "language",
         F.lit(EXTRACTOR_VERSION).alias("extractor_version"),
-        F.when(python, python_functions(code)).otherwise(script_functions(code)).alias("functions"),
-        F.when(python, python_classes(code)).otherwise(script_classes(code)).alias("classes"),
+        F.when(python, declared(heads, "def")).otherwise(declared(heads, "function")).alias("functions"),
+        declared(heads, "class").alias("classes"),
         F.when(python, python_imports(code)).otherwise(script_imports(code)).alias("imports"),
         script_only(script_exports(content)).alias("exports"),
-        script_only(script_interfaces(code), typed).alias("interfaces"),
-        script_only(script_types(code), typed).alias("types"),
-        script_only(script_enums(code), typed).alias("enums"),
+        script_only(declared(heads, "interface"), typed).alias("interfaces"),
+        script_only(declared(heads, "type"), typed).alias("types"),
+        script_only(declared(heads, "enum"), typed).alias("enums"),
     )
 
 
@@ -239,4 +231,4 @@ def symbols(structures: DataFrame, kinds=SYMBOL_KINDS) -> DataFrame:
         return F.coalesce(named, none)
 
     every = F.concat(*[tagged(kind) for kind in kinds])
-    return structures.select("repo", "path", F.explode(every).alias("s")).select("repo", "path", "s.*")
+    return each(structures, ["repo", "path"], every, "s").select("repo", "path", "s.*")

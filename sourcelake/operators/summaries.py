@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelake.functions.paths import stem
-from sourcelake.functions.text import quoted_list
+from sourcelake.functions.text import quoted_list, strip
 
 # Summary sentences and prompt wording.
 SPECIAL_SUMMARIES = {
@@ -61,12 +61,12 @@ def dependency_mentions(imports: Column) -> Column:
     only, so a JavaScript statement keeps its ``";``."""
 
     def mention(entry: Column) -> Column:
-        text = F.regexp_replace(entry, r"^\s+|\s+$", "")
+        text = strip(entry)
         unquote = lambda s: F.btrim(s, F.lit("'\""))
-        after_from = F.regexp_replace(F.regexp_extract(text, r"(?s)^.*? from (.*)$", 1), r"^\s+|\s+$", "")
+        after_from = strip(F.regexp_extract(text, r"(?s)^.*? from (.*)$", 1))
         word = F.regexp_extract(text, r"^import\s+(\S+)", 1)
         return (
-            F.when(F.startswith(text, F.lit("require:")), _short(F.regexp_replace(text, r"^require:", "")))
+            F.when(F.startswith(text, F.lit("require:")), _short(F.substring(text, len("require:") + 1, 1 << 30)))
             .when(F.contains(text, F.lit(" from ")), _short(unquote(after_from)))
             .when(F.startswith(text, F.lit("import ")), _short(unquote(word)))
         )

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcelake.functions.rows import each, each_pos
+
 # Tags that are closed where they are opened; void and optional-end tags would
 # unbalance the stream.
 BALANCED_TAGS = (
@@ -28,10 +30,9 @@ def html_tree_nodes(pages: DataFrame, tree_id: str, html: str, tags=BALANCED_TAG
     descending position of the closing tag."""
     names = "|".join(tags)
     text = F.regexp_replace(F.col(html), _NOT_MARKUP, "")
-    events = pages.select(
-        F.col(tree_id).cast("string").alias("tree_id"),
-        F.posexplode(F.regexp_extract_all(text, F.lit(rf"(?i)</?(?:{names})\b"), F.lit(0))).alias("pos", "tag"),
-    ).withColumn("opens", ~F.startswith(F.col("tag"), F.lit("</")))
+    tags_found = F.regexp_extract_all(text, F.lit(rf"(?i)</?(?:{names})\b"), F.lit(0))
+    events = each_pos(pages, [F.col(tree_id).cast("string").alias("tree_id")], tags_found, "pos", "tag")
+    events = events.withColumn("opens", ~F.startswith(F.col("tag"), F.lit("</")))
     order = Window.partitionBy("tree_id").orderBy("pos")
     running = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(order)
     events = events.withColumn("depth", running + F.when(F.col("opens"), 0).otherwise(1))
@@ -88,17 +89,14 @@ def subtree_hash(nodes: DataFrame, depth: int = 4, colocate: bool = True) -> Dat
         state = state.repartition("tree_id")
     payload = F.struct(*[F.col(c) for c in nodes.columns])
     for _ in range(depth):
-        roles = F.filter(
-            F.array(
-                F.struct(F.col("node_id").alias("id"), F.lit(None).cast("int").alias("ord"),
-                         F.lit(None).cast("string").alias("child_h"), payload.alias("node")),
-                F.struct(F.col("parent_id").alias("id"), F.col("child_ord").cast("int").alias("ord"),
-                         F.col("h").alias("child_h"), F.lit(None).cast(nodes.schema.simpleString()).alias("node")),
-            ),
-            lambda r: r["id"].isNotNull(),
+        roles = F.array(
+            F.struct(F.col("node_id").alias("id"), F.lit(None).cast("int").alias("ord"),
+                     F.lit(None).cast("string").alias("child_h"), payload.alias("node")),
+            F.struct(F.col("parent_id").alias("id"), F.col("child_ord").cast("int").alias("ord"),
+                     F.col("h").alias("child_h"), F.lit(None).cast(nodes.schema.simpleString()).alias("node")),
         )
         state = (
-            state.select("tree_id", F.explode(roles).alias("r"))
+            each(state, ["tree_id"], roles, "r").where(F.col("r.id").isNotNull())
             .groupBy("tree_id", F.col("r.id").alias("id"))
             .agg(
                 F.first("r.node", ignorenulls=True).alias("node"),

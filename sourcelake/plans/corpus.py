@@ -77,6 +77,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash ``df`` over all cores if its files give fewer splits than there are
+    cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _render(template: str, **values: Column) -> Column:
     out = F.lit(template)
     for name, value in values.items():
@@ -98,7 +105,8 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("items")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    rows = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+    # The lines are about as many as the orders: never a side to broadcast.
+    rows = orders.join(lines.hint("shuffle_hash"), orders.o_orderkey == lines.l_orderkey, "left")
     key = F.col("o_orderkey")
     k = key.cast("string")
     statement = lambda before, after: F.coalesce(F.array_join(F.transform(
@@ -117,7 +125,9 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         _repo(key).alias("repo"),
         F.concat(F.lit("orders/order_"), k, order_suffix(key)).alias("path"),
-        F.when(which == 1, typescript).when(which == 3, javascript).otherwise(python).alias("content"),
+        F.coalesce(  # never NULL, and known to be: no test of it is pushed below the rendering
+            F.when(which == 1, typescript).when(which == 3, javascript).otherwise(python), F.lit("")
+        ).alias("content"),
         _midnight(F.col("o_orderdate")).alias("mtime"),
     )
 
@@ -143,9 +153,10 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(plain, entry(".ts", _TS_PART)).otherwise(entry("/index.js", _JS_PART)),
     )
     return (
-        table(spark, sf_dir, "part")
-        .select(_repo(key).alias("repo"), F.explode(F.filter(variants, lambda v: v.isNotNull())).alias("v"))
-        .select("repo", "v.path", "v.content", F.timestamp_seconds(F.lit(946684800)).alias("mtime"))
+        spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+        .select(_repo(key).alias("repo"), F.explode_outer(variants).alias("v"))
+        .where(F.col("v").isNotNull())
+        .select("repo", "v.path", F.coalesce("v.content", F.lit("")).alias("content"), F.timestamp_seconds(F.lit(946684800)).alias("mtime"))
     )
 
 
@@ -162,10 +173,13 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 2 == 0, F.concat(F.lit("from docs.doc_"), target, F.lit(" import body\n")))
         .otherwise(F.concat(F.lit("import docs.doc_"), target, F.lit("\n")))
     )
-    return table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(documents, "doc_id").select(
         F.col("lang").alias("repo"),
         F.concat(F.lit("docs/doc_"), key.cast("string"), F.lit(".py")).alias("path"),
-        F.concat(statement, F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))).alias("content"),
+        F.coalesce(
+            F.concat(statement, F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))), F.lit("")
+        ).alias("content"),
         F.timestamp_seconds(F.lit(1577836800) + key).alias("mtime"),
     )
 
@@ -196,7 +210,8 @@ def scattered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("orders/"), name)
     for i, shape in shapes.items():
         path = F.when(place == i, shape).otherwise(path)
-    return table(spark, sf_dir, "orders").select(_repo(key).alias("repo"), path.alias("path"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    return orders.select(_repo(key).alias("repo"), path.alias("path"))
 
 
 IGNORE_TEXT = "# generated\n\ntemp\nx/*\n!keep_*\ngen_0/\ndeep/**/out/\n*.spec.?s\n/logs/order_*[02468].*\n"
