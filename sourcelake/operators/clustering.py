@@ -16,6 +16,9 @@ compared with its buckets only.  That is linear in the family.
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from sourcelake.operators.similarity import (
 from sourcelake.session import materialize
 
 HOT_BUCKET = 4096  # open classes in one bucket that make peeling worth its passes
+ROUNDS = 4  # rounds before components are looked at
+LOCAL_EDGES = 200_000  # edges of a component one task may settle
 FINGERPRINT_BLOCK = 100_000  # members hashed as one string
 
 
@@ -70,23 +75,80 @@ def _peel(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def independent_rounds(edges: DataFrame) -> DataFrame:
+def _round(active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over open edges: ``(nodes taken, edges still open)``.
+
+    A node without a smaller open neighbour opens a cluster and takes its
+    neighbours; edges of taken nodes close."""
+    blocked = active.select("repo", F.col("v").alias("u")).distinct()
+    out = materialize(
+        active.join(blocked, ["repo", "u"], "left_anti").select("repo", "v").distinct(), "taken"
+    )
+    rest = active.join(out, ["repo", "v"], "left_anti").join(
+        out.select("repo", F.col("v").alias("u")), ["repo", "u"], "left_anti"
+    )
+    return out, materialize(rest, "active")
+
+
+def component_labels(edges: DataFrame) -> DataFrame:
+    """``(repo, node, label)``: the smallest node each node is connected to.
+
+    Labels spread to neighbours and then jump to their label's label, which
+    halves a chain every round."""
+    links = edges.select("repo", F.col("u").alias("node"), F.col("v").alias("other"))
+    links = links.unionByName(links.select("repo", F.col("other").alias("node"), F.col("node").alias("other")))
+    links = materialize(links.distinct(), "links")
+    labels = materialize(
+        links.groupBy("repo", "node").agg(F.least(F.first("node"), F.min("other")).alias("label")), "labels"
+    )
+    while True:
+        of = lambda name, alias: labels.select("repo", F.col("node").alias(name), F.col("label").alias(alias))
+        near = links.join(of("other", "l"), ["repo", "other"]).groupBy("repo", "node").agg(F.min("l").alias("near"))
+        jumped = (
+            labels.join(near, ["repo", "node"])
+            .join(of("label", "far"), ["repo", "label"])
+            .select("repo", "node", "label", F.least("label", "near", "far").alias("next"))
+        )
+        jumped = materialize(jumped, "labels")
+        if jumped.where("next < label").isEmpty():
+            return jumped.select("repo", "node", "label")
+        labels = jumped.select("repo", "node", F.col("next").alias("label"))
+
+
+def _solve_component(edges: pd.DataFrame) -> pd.DataFrame:
+    """Nodes taken in one component, visited in ascending order."""
+    taken: set[str] = set()
+    for node, smaller in edges.sort_values("v").groupby("v", sort=False)["u"]:
+        if any(u not in taken for u in smaller):
+            taken.add(node)
+    return pd.DataFrame({"repo": edges["repo"].iloc[0], "v": sorted(taken)}, columns=["repo", "v"])
+
+
+def independent_rounds(edges: DataFrame, rounds: int = ROUNDS, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Nodes of ``(repo, u, v)``, ``u < v``, outside the lexicographically first
-    maximal independent set, as ``(repo, v)``."""
-    spark = edges.sparkSession
-    taken = spark.createDataFrame([], edges.select("repo", "v").schema)
-    active = materialize(edges, "active")
-    while not active.isEmpty():
-        blocked = active.select("repo", F.col("v").alias("u")).distinct()
-        out = active.join(blocked, ["repo", "u"], "left_anti").select("repo", "v").distinct()
-        out = materialize(out, "taken")
+    maximal independent set, as ``(repo, v)``.
+
+    Few rounds settle most graphs.  What is then left are chains, say versions
+    that each resemble the next: their components of at most ``local_edges``
+    edges are settled one per task, larger ones by further rounds."""
+    active = materialize(edges.select("repo", "u", "v"), "active")
+    taken = active.select("repo", "v").where(F.lit(False))
+    for done in itertools.count(1):
+        if active.isEmpty():
+            return taken
+        out, active = _round(active)
         taken = taken.unionByName(out)
-        active = materialize(
-            active.join(out, ["repo", "v"], "left_anti")
-            .join(out.select("repo", F.col("v").alias("u")), ["repo", "u"], "left_anti"),
-            "active",
-        )
-    return taken
+        if done == rounds and not active.isEmpty():
+            labels = component_labels(active)
+            labelled = active.join(labels.withColumnRenamed("node", "u"), ["repo", "u"])
+            sizes = labelled.groupBy("repo", "label").agg(F.count("*").alias("edges"))
+            small = sizes.where(F.col("edges") <= local_edges).select("repo", "label")
+            local = labelled.join(small, ["repo", "label"], "left_semi")
+            settled = local.groupBy("repo", "label").applyInPandas(_solve_component, "repo string, v string")
+            taken = taken.unionByName(materialize(settled, "taken"))
+            active = materialize(
+                labelled.join(small, ["repo", "label"], "left_anti").select("repo", "u", "v"), "active"
+            )
 
 
 def assign_openers(

@@ -129,21 +129,28 @@ def test_large_cluster_fingerprint_depends_on_all_members(spark):
     assert digest(base) == digest(base[::-1]) != digest(base[:-1] + [("r", "m000", "other")])
 
 
-def test_independent_rounds_on_random_graphs(spark):
-    rng = random.Random(7)
-    edges = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(80)}
-    names = [("r", f"{u:02d}", f"{v:02d}") for u, v in edges]
-    taken = {r.v for r in independent_rounds(spark.createDataFrame(names, "repo string, u string, v string")).collect()}
+def first_independent(edges, nodes):
     chosen = set()
-    for v in range(40):
-        if not any((u, v) in edges for u in chosen if u < v):
+    for v in sorted(nodes):
+        if not any((u, v) in edges for u in chosen):
             chosen.add(v)
+    return chosen
+
+
+@pytest.mark.parametrize("seed,rounds,local", [(7, 4, 1000), (8, 1, 1000), (9, 1, 5)])
+def test_independent_rounds_on_random_graphs(spark, seed, rounds, local):
+    rng = random.Random(seed)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)}
+    names = [("r", f"{u:02d}", f"{v:02d}") for u, v in edges]
+    df = spark.createDataFrame(names, "repo string, u string, v string")
+    taken = {int(r.v) for r in independent_rounds(df, rounds, local).collect()}
     touched = {x for e in edges for x in e}
-    assert taken == {f"{v:02d}" for v in touched - chosen}
+    assert taken == touched - first_independent(edges, touched)
 
 
 def test_long_chain_of_versions(spark):
     """Each version resembles only its neighbours, in path order."""
-    names = [("r", f"{i:04d}", f"{i + 1:04d}") for i in range(300)]
-    taken = {r.v for r in independent_rounds(spark.createDataFrame(names, "repo string, u string, v string")).collect()}
-    assert taken == {f"{i:04d}" for i in range(301) if i % 2}
+    names = [("r", f"{i:04d}", f"{i + 1:04d}") for i in range(600)]
+    df = spark.createDataFrame(names, "repo string, u string, v string")
+    taken = {r.v for r in independent_rounds(df, rounds=2).collect()}
+    assert taken == {f"{i:04d}" for i in range(601) if i % 2}
