@@ -74,7 +74,7 @@ _JS_PARENS = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)
 # A function needs a body (overload signatures have none), a type alias its "=".
 _JS_DECLARATION = (
     rf"{_JS_START}(?:"
-    rf"(?:async[ \t]++)?function\s*+\*?\s*+{_WORD}++(?=\s*+(?:<[^(]*+>\s*+)?{_JS_PARENS}[^;{{]*+\{{)"
+    rf"(?:async[ \t]++)?function\s*+\*?\s*+{_WORD}++(?=\s*+(?:<[^(]*>\s*+)?{_JS_PARENS}[^;{{]*+\{{)"
     rf"|(?:declare[ \t]++)?(?:class|interface|(?:const[ \t]++)?enum)[ \t]++{_WORD}++"
     rf"|(?:declare[ \t]++)?type[ \t]++{_WORD}++(?=\s*+(?:<[^=;]*+)?=))"
 )
@@ -90,13 +90,14 @@ def _balanced(levels: int) -> str:
 
 
 _JS_GROUP = _balanced(12)
+_JS_GENERIC = r"<(?:[^<>();]|=>|<(?:[^<>();]|=>)*+>)*+>"
 _JS_BLOCK = _JS_GROUP.replace(r"[({\[]", r"\{", 1)
 _JS_EXPORT = (
     r"export\b(?:"
     # declarations with a body end with it
     r"(?:\s++(?:default|declare|abstract|async|const(?=\s++enum)))*+"
     r"\s++(?:function|class|interface|enum|namespace|module)\b"
-    rf"(?:[^(){{}}\[\]\"'`/;]++|{_STRING}|{_JS_COMMENT}|(?!\{{){_JS_GROUP})*+(?:{_JS_BLOCK}|;)"
+    rf"(?:[^(){{}}\[\]\"'`/;<]++|{_JS_GENERIC}|<|{_STRING}|{_JS_COMMENT}|(?!\{{){_JS_GROUP})*+(?:{_JS_BLOCK}|;)"
     # anything else ends at ';' or at a line end that no operator continues
     rf"|(?:[^(){{}}\[\]\"'`/;\n]++|{_STRING}|{_JS_TEMPLATE}|{_JS_COMMENT}|{_JS_GROUP}|/"
     r"|\n(?=\s*+[.?:|&+*=<>,])|(?<=[=,+*|&?:<>][ \t]{0,8})\n)*+;?)"
