@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourcelake.functions.rows import each, each_pos
 
@@ -87,13 +88,15 @@ def subtree_hash(nodes: DataFrame, depth: int = 4, colocate: bool = True) -> Dat
     state = nodes.withColumn("h", _leaf_hash(F.col("type")))
     if depth > 0 and colocate:
         state = state.repartition("tree_id")
-    payload = F.struct(*[F.col(c) for c in nodes.columns])
+    fields = [f for f in nodes.schema.fields if f.name != "tree_id"]
+    payload = F.struct(*[F.col(f.name) for f in fields])
+    no_payload = F.lit(None).cast(T.StructType(fields))
     for _ in range(depth):
         roles = F.array(
             F.struct(F.col("node_id").alias("id"), F.lit(None).cast("int").alias("ord"),
                      F.lit(None).cast("string").alias("child_h"), payload.alias("node")),
             F.struct(F.col("parent_id").alias("id"), F.col("child_ord").cast("int").alias("ord"),
-                     F.col("h").alias("child_h"), F.lit(None).cast(nodes.schema.simpleString()).alias("node")),
+                     F.col("h").alias("child_h"), no_payload.alias("node")),
         )
         state = (
             each(state, ["tree_id"], roles, "r").where(F.col("r.id").isNotNull())
@@ -106,7 +109,8 @@ def subtree_hash(nodes: DataFrame, depth: int = 4, colocate: bool = True) -> Dat
             )
             .where(F.col("node").isNotNull())
             .select(
-                "node.*",
+                "tree_id",  # the grouping column itself: its partitioning carries over
+                *[F.col(f"node.{f.name}") for f in fields],
                 F.sha1(F.concat(
                     F.col("node.type"), F.lit("("),
                     F.array_join(F.transform("kids", lambda k: k["child_h"]), ","), F.lit(")"),
