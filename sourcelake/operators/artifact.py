@@ -62,7 +62,9 @@ def cluster_fragments(clusters: DataFrame, members: DataFrame, per_fragment: int
     parts = F.ceil(F.col("size") / per_fragment).cast("int")
     grouped = (
         members.join(clusters.select("repo", "representative", parts.alias("parts")), ["repo", "representative"])
-        .groupBy("repo", "representative", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"))
+        .withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+        .repartition("repo", "representative", "part")  # else the join's placement would do
+        .groupBy("repo", "representative", "part")
         .agg(F.array_sort(F.collect_list("member")).alias("names"))
     )
     attribute = lambda name, value: F.concat(F.lit(f' {name}="'), xml_attr(value), F.lit('"'))
@@ -150,13 +152,14 @@ def assemble(fragments: DataFrame, max_bytes: int = 64 << 20) -> tuple[DataFrame
     whose document is at most ``max_bytes``, and the fragments of all others,
     which :func:`sourcelake.sources.artifacts.write_artifact` writes in order."""
     size = fragments.groupBy("repo").agg(F.sum(F.octet_length("xml") + 1).alias("bytes"))
-    small = size.where(F.col("bytes") <= max_bytes).select("repo")
+    large = size.where(F.col("bytes") > max_bytes).select("repo")
     documents = (
-        fragments.join(small, "repo", "left_semi")
+        fragments.join(large, "repo", "left_anti")
+        .repartition("repo")  # apart from the join, whose large repositories may be split
         .groupBy("repo")
         .agg(F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("section", "name", "part", "xml"))), lambda f: f["xml"]),
             "\n",
         ).alias("xml"))
     )
-    return documents, fragments.join(small, "repo", "left_anti")
+    return documents, fragments.join(large, "repo", "left_semi")

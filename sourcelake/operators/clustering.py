@@ -143,7 +143,7 @@ def independent_rounds(edges: DataFrame, rounds: int = ROUNDS, local_edges: int
             labelled = active.join(labels.withColumnRenamed("node", "u"), ["repo", "u"])
             sizes = labelled.groupBy("repo", "label").agg(F.count("*").alias("edges"))
             small = sizes.where(F.col("edges") <= local_edges).select("repo", "label")
-            local = labelled.join(small, ["repo", "label"], "left_semi")
+            local = labelled.join(small, ["repo", "label"], "left_semi").repartition("repo", "label")
             settled = local.groupBy("repo", "label").applyInPandas(_solve_component, "repo string, v string")
             taken = taken.unionByName(materialize(settled, "taken"))
             active = materialize(
@@ -218,6 +218,7 @@ def cluster_fingerprints(members: DataFrame, sizes: DataFrame, block: int = FING
     parts = (
         members.join(sizes.select("repo", "representative", blocks.alias("blocks")), ["repo", "representative"])
         .withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+        .repartition("repo", "representative", "part")  # else the join's placement would do
         .groupBy("repo", "representative", "blocks", "part")
         .agg(F.array_join(F.array_sort(F.collect_list("member")), "|").alias("text"))
         .withColumn("text", F.when(F.col("blocks") == 1, F.col("text")).otherwise(F.sha1("text")))

@@ -20,7 +20,7 @@ SUMMARIES = "### Module Summaries"
 NO_SUMMARY = "(no summary)"
 SEPARATOR = "\n\n---\n\n"
 
-LINES_PER_CHUNK = 20_000
+LINES_PER_CHUNK = 5_000
 
 
 def context_lines(graph: DataFrame, summaries: DataFrame, title: str = TITLE) -> DataFrame:
@@ -53,20 +53,27 @@ def context_lines(graph: DataFrame, summaries: DataFrame, title: str = TITLE) ->
 
 
 def context_block(lines: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
-    """``(repo, chunk, text)``: a repository's context is the concatenation of
-    its chunks in order.  Every chunk but the last ends with a newline."""
-    numbered = ordinals(lines, ["repo"], ["section", "name"], "no").withColumn(
-        "chunk", F.floor((F.col("no") - 1) / lines_per_chunk).cast("int")
-    )
-    total = numbered.groupBy("repo").agg(F.max("chunk").alias("last"))
+    """``(repo, chunk, text, is_last, context_tokens)``: a repository's context is
+    the concatenation of its chunks in order.  Every chunk but the last ends
+    with a newline; ``context_tokens`` counts the whole context.
+
+    Nothing joins on ``repo`` alone: totals come with the line numbers."""
+    chunk = lambda no: F.floor((no - 1) / lines_per_chunk).cast("int")
+    numbered = ordinals(
+        lines, ["repo"], ["section", "name"], "no",
+        {"_lines": F.lit(1), "_chars": F.length("line")},
+    ).withColumns({"chunk": chunk(F.col("no")), "last": chunk(F.col("_lines"))})
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n"
     )
+    is_last = F.col("chunk") == F.col("last")
     return (
-        numbered.groupBy("repo", "chunk").agg(text.alias("text"))
-        .join(total, "repo")
-        .select("repo", "chunk", F.concat("text", F.when(F.col("chunk") < F.col("last"), F.lit("\n")).otherwise(F.lit(""))).alias("text"),
-                (F.col("chunk") == F.col("last")).alias("is_last"))
+        numbered.groupBy("repo", "chunk", "last", "_lines", "_chars").agg(text.alias("text"))
+        .select(
+            "repo", "chunk", F.concat("text", F.when(is_last, F.lit("")).otherwise(F.lit("\n"))).alias("text"),
+            is_last.alias("is_last"),
+            tokens_of_length(F.col("_chars") + F.col("_lines") - 1).alias("context_tokens"),
+        )
     )
 
 
@@ -83,7 +90,7 @@ def prompt_pairs(lines: DataFrame, questions: DataFrame, lines_per_chunk: int =
 
     ``context_prompt`` is whole for ``part`` 0 of a single chunk; longer prompts
     are the concatenation of their parts."""
-    blocks = context_block(lines, lines_per_chunk).join(context_tokens(lines), "repo")
+    blocks = context_block(lines, lines_per_chunk)
     ending = F.when(F.col("is_last"), F.concat(F.lit(SEPARATOR), "question")).otherwise(F.lit(""))
     return questions.join(blocks, "repo").select(
         "repo",

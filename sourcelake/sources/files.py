@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelake.functions.text import newlines
-from sourcelake.operators.filters import DEFAULT_EXTENSIONS, has_extension
+from sourcelake.operators.filters import DEFAULT_EXTENSIONS, has_extension, root_ignore_rules, select_files
 from sourcelake.session import materialize
 
 _ENTRIES = "repo string, root string, path string, is_dir boolean, size bigint, seconds bigint"
@@ -99,12 +99,25 @@ def read_files(listing: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, roots: dict[str, str] | DataFrame, extensions=DEFAULT_EXTENSIONS) -> DataFrame:
-    """Read source trees.  ``roots`` maps repository names to root URIs, or is a
-    ``(repo, root)`` table.  Root ``.gitignore`` files come along, since the
-    ignore rules are read from them."""
+def _roots(spark: SparkSession, roots: dict[str, str] | DataFrame) -> DataFrame:
     if isinstance(roots, dict):
         rows = [(repo, root if "://" in root else "file://" + root) for repo, root in roots.items()]
-        roots = spark.createDataFrame(rows, "repo string, root string")
-    listing = list_trees(roots)
-    return read_files(listing.where(has_extension(F.col("path"), extensions) | (F.col("path") == ".gitignore")))
+        return spark.createDataFrame(rows, "repo string, root string")
+    return roots
+
+
+def scan_files(spark: SparkSession, roots: dict[str, str] | DataFrame, extensions=DEFAULT_EXTENSIONS) -> DataFrame:
+    """Read every file with one of the suffixes.  ``roots`` maps repository names
+    to root URIs, or is a ``(repo, root)`` table."""
+    listing = list_trees(_roots(spark, roots))
+    return read_files(listing.where(has_extension(F.col("path"), extensions)))
+
+
+def scan_selected(spark: SparkSession, roots: dict[str, str] | DataFrame, **selection) -> DataFrame:
+    """Read the files that all selection rules keep, ignore files included.
+
+    The rules work on the listing, so contents of other files are never read
+    and no content moves between tasks.  ``selection`` as for ``select_files``."""
+    listing = list_trees(_roots(spark, roots))
+    rules = root_ignore_rules(read_files(listing.where(F.col("path") == ".gitignore")))
+    return read_files(select_files(listing, rules=rules, **selection))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUESTIONS_PER_RECORD = 100
+QUESTIONS_PER_RECORD = 20
 
 
 def nested_prompts(prompts: DataFrame, per_record: int = QUESTIONS_PER_RECORD) -> DataFrame:

@@ -5,10 +5,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sourcelake import schemas
-from sourcelake.operators import filters
 from sourcelake.operators.ordinals import ordinals
 from sourcelake.operators.structure import extract_structure
-from sourcelake.sources.files import scan_files
+from sourcelake.sources.files import scan_files, scan_selected
 from sourcelake.streaming.incremental import incremental_summaries, read_batches, summarize_stream
 
 
@@ -26,13 +25,13 @@ def test_scan_tree(spark, tmp_path):
     files = scan_files(spark, {"one": str(tmp_path / "one"), "two": str(tmp_path / "two")})
     got = {(r.repo, r.path): r for r in files.collect()}
     assert sorted(p for r, p in got if r == "one") == [
-        ".gitignore", "a.py", "gen/g.py", "pkg/__init__.py", "pkg/_deep/m.ts", "pkg/bad.py", "sp ace/q.js"]
+        "a.py", "gen/g.py", "pkg/__init__.py", "pkg/_deep/m.ts", "pkg/bad.py", "sp ace/q.js"]
     assert got["one", "a.py"].content == "import x\ny = 1\nz\n" and got["one", "pkg/bad.py"].content is None
     assert got["one", "pkg/_deep/m.ts"].content == "// ü\n" and got["two", "b.py"].content == "b"
     seconds = int((tmp_path / "two" / "b.py").stat().st_mtime)
     assert files.where("repo = 'two'").select(F.unix_seconds("mtime")).first()[0] == seconds
-    kept = filters.select_files(files, rules=filters.root_ignore_rules(files))
-    assert sorted(r.path for r in kept.where("repo = 'one'").collect()) == [
+    kept = scan_selected(spark, {"one": str(tmp_path / "one")})
+    assert sorted(r.path for r in kept.collect()) == [
         "a.py", "pkg/__init__.py", "pkg/_deep/m.ts", "pkg/bad.py", "sp ace/q.js"]
 
 
