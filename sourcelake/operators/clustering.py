@@ -197,7 +197,6 @@ def greedy_cluster(
         return keyed.where(F.lit(False)).select(
             "repo", F.col("path").alias("representative"), F.col("path").alias("member")
         )
-    classes = materialize(classes, "classes")
     openers = assign_openers(classes, threshold, hot_bucket=hot_bucket, block=block)
     placed = classes.join(openers, ["repo", "v"], "left").select(
         "repo", "set_key", "copies", F.coalesce("opener", "v").alias("representative")

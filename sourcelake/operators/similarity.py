@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcelake.operators.shingles import jaccard
+from sourcelake.session import materialize
 
 _SLACK = 1e-9  # float guard of the filters; the final test is exact
 BLOCK = 512  # classes per block of a cut bucket
@@ -27,20 +28,20 @@ BLOCK = 512  # classes per block of a cut bucket
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(keyed, classes)``.
 
+    The sets are written down first: computing them reads every text, and the
+    steps below use them several times.
+
     ``keyed``: ``(repo, path, set_key)``.  ``classes``: ``(repo, v, set_key,
     n, copies, hashes)``, one row per distinct set with ``v`` its smallest
     path.  Copies combine map-side, however many there are."""
-    hashed = sets.select(
-        "repo", "path", F.array_sort("hashes").alias("hashes"),
-        F.sha2(F.array_join(F.transform(F.array_sort("hashes"), lambda h: h.cast("string")), ","), 256).alias("set_key"),
-    )
+    ordered = sets.select("repo", "path", F.array_sort("hashes").alias("hashes"))
+    as_text = F.array_join(F.transform("hashes", lambda h: h.cast("string")), ",")
+    hashed = materialize(ordered.withColumn("set_key", F.sha2(as_text, 256)), "sets")
     classes = hashed.groupBy("repo", "set_key").agg(
         F.min("path").alias("v"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")
     )
-    return (
-        hashed.select("repo", "path", "set_key"),
-        classes.select("repo", "v", "set_key", F.size("hashes").alias("n"), "copies", "hashes"),
-    )
+    classes = classes.select("repo", "v", "set_key", F.size("hashes").alias("n"), "copies", "hashes")
+    return hashed.select("repo", "path", "set_key"), materialize(classes, "classes")
 
 
 def prefix_rows(classes: DataFrame, threshold: float) -> DataFrame:
@@ -123,7 +124,7 @@ def class_pairs(classes: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     """All pairs of distinct sets at the threshold."""
     if threshold <= 0:
         raise ValueError("a similarity join needs a positive threshold")
-    rows = prefix_rows(classes, threshold)
+    rows = materialize(prefix_rows(classes, threshold), "prefixes")
     return verify_pairs(candidate_pairs(rows, rows, threshold, block), classes, threshold)
 
 

@@ -58,9 +58,7 @@ def analyze(
     if fingerprints is None:
         readable, _ = structure.split_languages(files)
         fingerprints = shingles.shape_shingles(readable)
-    members = materialize(
-        clustering.greedy_cluster(materialize(fingerprints, "fingerprints"), threshold), "members"
-    )
+    members = materialize(clustering.greedy_cluster(fingerprints, threshold), "members")
     clusters = materialize(clustering.cluster_ids(members, threshold), "clusters")
     computed = summaries.summarize(structures) if cache is None else summaries.cached_summaries(structures, cache)
     modules = summaries.inject_summaries(artifact.placeholder_modules(structures), computed)
