@@ -53,7 +53,10 @@ def hashes(items: Column) -> Column:
     return F.array_distinct(F.transform(items, lambda s: F.xxhash64(s)))
 
 
-def shape_shingles(files: DataFrame, k: int = 5) -> DataFrame:
+SHAPE_RUN = 5  # tokens in a run
+
+
+def shape_shingles(files: DataFrame, k: int = SHAPE_RUN) -> DataFrame:
     """``(repo, path, hashes)``: the structural fingerprint of each file."""
     shaped = files.select("repo", "path", shape_tokens(F.col("content")).alias("_t"))
     return shaped.select("repo", "path", hashes(shingles(F.col("_t"), k)).alias("hashes"))

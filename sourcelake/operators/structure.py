@@ -8,7 +8,8 @@ therefore iterative: a file of any size needs no regex stack.
 
 Known limits: JavaScript functions count only as statements that start a line
 or follow ``;``, ``{`` or ``}``; text inside ``${}`` of a template string is
-not code here; ``require`` counts once per textual occurrence.
+not code here; ``require`` counts once per textual occurrence; an export
+statement ends early where brackets nest more than 20 deep.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sourcelake.functions.rows import each
 from sourcelake.functions.text import strip
+from sourcelake.operators.shingles import hashes, shape_tokens, shingles
 
 EXTRACTOR_VERSION = "sourcelake-1"
 
@@ -89,7 +91,7 @@ def _balanced(levels: int) -> str:
     return rf"[({{\[]{inner}[)}}\]]"
 
 
-_JS_GROUP = _balanced(12)
+_JS_GROUP = _balanced(20)
 _JS_GENERIC = r"<(?:[^<>();]|=>|<(?:[^<>();]|=>)*+>)*+>"
 _JS_BLOCK = _JS_GROUP.replace(r"[({\[]", r"\{", 1)
 _JS_EXPORT = (
@@ -184,10 +186,11 @@ def split_languages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.where(known), tagged.where(~known)
 
 
-def extract_structure(files: DataFrame) -> DataFrame:
+def extract_structure(files: DataFrame, shingle: int | None = None) -> DataFrame:
     """One row per readable file with its structure; ``content`` is dropped.
 
-    Arrays that only scripts have are NULL for Python."""
+    Arrays that only scripts have are NULL for Python.  With ``shingle`` the
+    file's shape fingerprint comes along as ``hashes``, from the same scan."""
     readable, _ = split_languages(files)
     content, code, heads = F.col("content"), F.col("code"), F.col("heads")
     python, typed = F.col("language") == "python", F.col("language").isin(*TYPED)
@@ -197,6 +200,11 @@ def extract_structure(files: DataFrame) -> DataFrame:
         "heads", F.when(python, python_declarations(code)).otherwise(script_declarations(code))
     )
 
+    extra = []
+    if shingle:
+        coded = coded.withColumn("tokens", shape_tokens(content))
+        extra.append(hashes(shingles(F.col("tokens"), shingle)).alias("hashes"))
+
     def script_only(value: Column, when: Column = ~python) -> Column:
         return F.when(when, value).when(~python, _none())
 
@@ -214,6 +222,7 @@ def extract_structure(files: DataFrame) -> DataFrame:
         script_only(declared(heads, "interface"), typed).alias("interfaces"),
         script_only(declared(heads, "type"), typed).alias("types"),
         script_only(declared(heads, "enum"), typed).alias("enums"),
+        *extra,
     )
 
 

@@ -45,19 +45,21 @@ def analyze(
     """Select files, extract structure, resolve imports, cluster, summarise,
     and lay out artifacts and metrics.
 
-    ``files`` is read twice, for structure and for fingerprints (unless given);
-    everything after works on the small derived tables, written once."""
+    ``files`` is scanned once, for structure and shape fingerprints; everything
+    after works on the small derived tables, written once.  ``fingerprints``
+    replaces the shape fingerprints by other sets."""
     if select:
         files = select_files(files, rules=rules)
     _, rejected = structure.split_languages(files)
-    structures = materialize(structure.extract_structure(files), "structures")
+    run = shingles.SHAPE_RUN if fingerprints is None else None
+    scanned = materialize(structure.extract_structure(files, run), "structures")
+    structures = scanned.drop("hashes")
     resolved = graph.resolve_imports(
         structures, resolve_relative=resolve_relative, source_roots=source_roots, keep_empty=True
     )
     nodes = materialize(graph.adjacency(resolved), "graph")
     if fingerprints is None:
-        readable, _ = structure.split_languages(files)
-        fingerprints = shingles.shape_shingles(readable)
+        fingerprints = scanned.select("repo", "path", "hashes")
     members = materialize(clustering.greedy_cluster(fingerprints, threshold), "members")
     clusters = materialize(clustering.cluster_ids(members, threshold), "clusters")
     computed = summaries.summarize(structures) if cache is None else summaries.cached_summaries(structures, cache)
