@@ -9,7 +9,7 @@ cluster and takes every unassigned path similar *to it*.  Equivalently:
 
 Openers are found in rounds of joins (Blelloch, Fineman and Shun 2012).
 Families of near copies would fill that graph with all their pairs, so while
-large buckets exist, openers are first *peeled*: a class that is the smallest
+buckets are large, openers are first *peeled*: a class that is the smallest
 open one in all its buckets is an opener, whatever its neighbours, and is
 compared with its buckets only.  That is linear in the family.
 """
@@ -33,16 +33,17 @@ from sourcelake.operators.similarity import (
 )
 from sourcelake.session import materialize
 
-HOT_BUCKET = 4096  # open classes in one bucket that make peeling worth its passes
+HOT_BUCKET = 64  # open classes the average row shares a bucket with, above which peeling pays
 ROUNDS = 4  # rounds before components are looked at
 LOCAL_EDGES = 200_000  # edges of a component one task may settle
 FINGERPRINT_BLOCK = 100_000  # members hashed as one string
 
 
-def _bucket_load(rows: DataFrame):
-    """Largest number of open classes in a bucket, and the pairs buckets imply."""
+def _bucket_load(rows: DataFrame) -> tuple[float, float]:
+    """Open rows, and the pairs their buckets imply."""
     sizes = rows.where(F.col("opener").isNull()).groupBy("repo", "h").agg(F.count("*").cast("double").alias("m"))
-    return sizes.agg(F.coalesce(F.max("m"), F.lit(0.0)), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0))).first()
+    total, pairs = sizes.agg(F.sum("m"), F.sum(F.col("m") * F.col("m"))).first()
+    return total or 0.0, pairs or 0.0
 
 
 def _peel(rows: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -158,10 +159,10 @@ def assign_openers(
     rows = materialize(
         prefix_rows(classes, threshold).withColumn("opener", F.lit(None).cast("string")), "prefixes"
     )
-    largest, load = _bucket_load(rows)
-    while largest > hot_bucket:
+    total, load = _bucket_load(rows)
+    while load > hot_bucket * total:
         rows = materialize(_peel(rows, classes, threshold), "prefixes")
-        largest, remaining = _bucket_load(rows)
+        total, remaining = _bucket_load(rows)
         if remaining > 0.7 * load:  # many dissimilar classes: pairs are cheaper than passes
             break
         load = remaining
