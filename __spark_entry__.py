@@ -34,6 +34,14 @@ from sourcelake.sources.cache import read_cache, write_cache
 from sourcelake.sources.prompts import write_prompts
 from sourcelake.streaming.incremental import incremental_summaries, read_batches
 
+try:
+    import corpus_pipeline
+    from sourcelake.llm import queries as llm
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "sourcelake.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 THRESHOLD = 0.85
 STAMP = "2024-01-01T00:00:00Z"
@@ -294,9 +302,13 @@ def _resolved(spark, sf):
     return graph.resolve_imports(_code(spark, sf))
 
 
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     paths = corpus.scattered_paths
-    return {
+    return _llm_queries() | {
         "filter_extension": lambda s, d: filters.filter_extension(paths(s, d), filters.DEFAULT_EXTENSIONS),
         "filter_ignored": q_filter_ignored,
         "filter_tests": lambda s, d: filters.filter_tests(paths(s, d)),
@@ -360,4 +372,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    if llm:
+        found |= llm.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
