@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.llm import simhash_dedup
+from sourcelake.llm import simhash_dedup, token_counts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash_dedup.simhash_groups(table(spark, sf, "documents"), words=4, max_distance=4)
     return groups.select("doc_id", "fingerprint", "component_id", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_simhash_near_dedup,)
+    f.__name__: f for f in (op1_token_counts, op5_simhash_near_dedup)
 }
 
 ORACLES: dict[str, str] = {}
