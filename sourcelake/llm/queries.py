@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcelake.llm import simhash_dedup, token_counts
+from sourcelake.llm import exact_dedup, simhash_dedup, token_counts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,13 +18,28 @@ def op1_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op2_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash_dedup.simhash_groups(table(spark, sf, "documents"), words=4, max_distance=4)
     return groups.select("doc_id", "fingerprint", "component_id", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op5_simhash_near_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op5_simhash_near_dedup)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": r"""
+        WITH bare AS (
+            SELECT doc_id, length(coalesce(text, '')) AS points,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t
+            FROM documents
+        )
+        SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
+        FROM bare WINDOW best AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
+    """,
+}
