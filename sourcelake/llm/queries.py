@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelake.llm import exact_dedup, pii, simhash_dedup, token_counts
+from sourcelake.llm import exact_dedup, pii, secrets, simhash_dedup, token_counts
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,8 +43,20 @@ def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """``n_assign`` to ``n_hex`` count the base spans, ``n_random`` the others."""
+    found = secrets.secret_spans(table(spark, sf, "documents"))
+    said = lambda spans: pii.span_list(spans, secrets.KINDS)
+    return found.select(
+        "doc_id", *[pii.count_kind(F.col("base"), i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])],
+        F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        said(_all_spans(F.col("base"), F.col("added"))).alias("spans"),
+        F.size("added").cast("bigint").alias("n_random"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op5_simhash_near_dedup)
+    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op5_simhash_near_dedup, op9_secrets)
 }
 
 ORACLES: dict[str, str] = {
