@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelake.llm import exact_dedup, pii, secrets, simhash_dedup, token_counts
+from sourcelake.llm import exact_dedup, pii, secrets, simhash_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +38,20 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf, "pages"), rules)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash_dedup.simhash_groups(table(spark, sf, "documents"), words=4, max_distance=4)
     return groups.select("doc_id", "fingerprint", "component_id", "n_links")
@@ -56,10 +70,41 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op5_simhash_near_dedup, op9_secrets)
+    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op9_secrets)
 }
 
 ORACLES: dict[str, str] = {
+    "op4_url_filters": r"""
+        WITH RECURSIVE rules(h, p, v) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                   ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), cut AS (
+            SELECT row_number() OVER () AS r, page_id, html,
+                   CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), parsed AS (
+            SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query,
+                   regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?[a-z]+://([^"''\s>#]+)', 1) AS named
+            FROM cut
+        ), ruled AS (
+            SELECT r, page_id, host, path, host || CASE path WHEN '' THEN '/' ELSE path END || query AS key, named,
+                   (SELECT struct_pack(rule := h || p, verdict := v) FROM rules
+                    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+                    ORDER BY length(h || p) DESC, v <> 'allow', h || p LIMIT 1) AS found
+            FROM parsed
+        ), links AS (
+            SELECT key AS a, named AS b FROM ruled WHERE host <> '' AND named <> ''
+            UNION SELECT named, key FROM ruled WHERE host <> '' AND named <> ''
+        ), reach(a, b) AS (
+            SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), said AS (
+            SELECT reach.a AS key, min(found.verdict) AS verdict FROM reach JOIN ruled ON reach.b = ruled.key GROUP BY 1
+        )
+        SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, said.verdict, 'allow') AS verdict,
+               CASE WHEN found.verdict IS NOT NULL THEN 'rule' WHEN said.verdict IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
+        FROM ruled LEFT JOIN said USING (key)
+    """,
     "op2_exact_dedup": r"""
         WITH bare AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
