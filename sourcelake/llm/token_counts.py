@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,35 +22,54 @@ from sourcelake.session import materialize
 #: handed to every task; there can be no more of them than this.
 COMMON = 1 << 19
 #: Words a task remembers or counts before it lets go of them, which bounds its memory.
-REMEMBERED = 1 << 19
-#: Marks a key that is a whole word, to be encoded as it stands.
-WHOLE = "\0"
+REMEMBERED = 1 << 18
 
 
 class PreTokenizer:
     """Splits words into the pre-tokens of a tokenizer file, and counts the pieces of one.
 
     Words are what ASCII white space separates; the tokenizer must drop white
-    space, so that no piece spans two words."""
+    space, so that no piece spans two words.  Pre-tokens are kept as readable
+    text.  Words of Latin letters, whose classes and lower case are the same
+    everywhere, go through the file's own pattern here; all others, and all
+    words of a tokenizer of another make, through the library."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern = _latin_pattern(json.loads(self.tokenizer.to_str()))
 
     def split(self, word: bytes) -> list[str]:
         text = word.decode("utf-8", "replace")
-        if any(a in text for a in self.added):
-            return [WHOLE + text]
+        for a in self.added:
+            if a in text:
+                return [text]
+        if self.pattern and (word.isascii() or not _BEYOND_LATIN.search(text)):
+            return self.pattern.findall(text.lower())
         if self.tokenizer.normalizer:
             text = self.tokenizer.normalizer.normalize_str(text)
-        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def pieces(self, pretoken: str) -> int:
-        if pretoken.startswith(WHOLE):
-            return len(self.tokenizer.encode(pretoken[1:], add_special_tokens=False).ids)
-        return len(self.tokenizer.model.tokenize(pretoken))
+        return len(self.tokenizer.encode(pretoken, add_special_tokens=False).ids)
+
+
+_BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
+
+
+def _latin_pattern(spec: dict) -> regex.Pattern | None:
+    """The pattern whose matches are the pre-tokens, if the file lower-cases,
+    splits by one pattern and does nothing else to Latin letters."""
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or spec["normalizer"]["normalizers"][1]["pattern"] != {"Regex": r"\s+"}:
+        return None
+    if [s["type"] for s in splits] != ["Split", "ByteLevel"] or splits[1]["use_regex"] or splits[1]["add_prefix_space"]:
+        return None
+    split = splits[0]
+    return regex.compile(split["pattern"]["Regex"]) if split["invert"] and split["behavior"] == "Removed" and "Regex" in split["pattern"] else None
 
 
 @lru_cache(maxsize=4)

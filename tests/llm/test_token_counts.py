@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -23,6 +25,17 @@ def test_counts_are_the_librarys(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_latin_words_split_as_in_the_library():
+    random.seed(5)
+    ours = tc.pre_tokenizer(PATH)
+    signs = [chr(c) for c in range(33, 0x250) if not chr(c).isspace()] + list("stmdrvel'" * 20)
+    for _ in range(3000):
+        word = "".join(random.choices(signs, k=random.randint(1, 9)))
+        normal = ours.tokenizer.normalizer.normalize_str(word)
+        want = [normal[a:b] for _, (a, b) in ours.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        assert ours.split(word.encode()) == want, word
+
+
 def test_rare_pretokens_are_joined(spark, monkeypatch):
     monkeypatch.setattr(tc, "COMMON", 3)
     docs = spark.createDataFrame([(1, "the the the cat"), (2, "the dog, the cat"), (2**60 + 1, "zyzzyva")], "doc_id bigint, text string")
