@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelake.llm import exact_dedup, pii, secrets, simhash_dedup, token_counts, url_filter
+from sourcelake.llm import exact_dedup, mixing, pii, secrets, simhash_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf, "documents"), weights=(5, 2, 1), seed=1)
+
+
 URL_RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -70,7 +74,7 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op9_secrets)
+    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op9_secrets, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {
