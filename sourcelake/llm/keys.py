@@ -43,3 +43,19 @@ def one_of_each(df: DataFrame, key: list[str], saved: Callable[[DataFrame, str],
     single = whole.join(repeated.alias("b"), same, "left_anti")
     first = whole.join(repeated.alias("b"), same, "left_semi").dropDuplicates(key)
     return single.unionByName(first)
+
+
+#: Remainders that :func:`possible` tells keys apart by: the bound of what it broadcasts.
+SLOTS = 1 << 20
+
+
+def possible(df: DataFrame, key: Column, among: DataFrame, among_key: Column, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose 64-bit ``key`` may be among those of ``among``, with
+    none that is left out; or with ``left_anti`` those whose key surely is not.
+
+    Keys are told apart by their remainder, so the broadcast side has at most
+    :data:`SLOTS` rows whatever the input, and rows that cannot match need not
+    move to a join.  Far beyond that many keys more rows pass, which costs
+    time only."""
+    slots = among.select(F.pmod(among_key, F.lit(SLOTS)).alias("_slot")).distinct()
+    return df.withColumn("_slot", F.pmod(key, F.lit(SLOTS))).join(F.broadcast(slots), "_slot", how).drop("_slot")

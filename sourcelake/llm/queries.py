@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelake.llm import exact_dedup, mixing, pii, secrets, simhash_dedup, token_counts, url_filter
+from sourcelake.llm import exact_dedup, line_dedup, mixing, pii, secrets, simhash_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id", "n_links")
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     """``n_assign`` to ``n_hex`` count the base spans, ``n_random`` the others."""
     found = secrets.secret_spans(table(spark, sf, "documents"))
@@ -74,7 +79,7 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op9_secrets, op10_mixing)
+    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op6_line_dedup, op9_secrets, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {
