@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelake.llm import decontaminate, exact_dedup, line_dedup, mixing, pii, secrets, simhash_dedup, token_counts, url_filter
+from sourcelake.llm import decontaminate, exact_dedup, line_dedup, mixing, pii, quality, secrets, simhash_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.select("doc_id", "p_text", "p_meta", "score", "keep")
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -83,7 +88,7 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op6_line_dedup, op8_decontamination, op9_secrets, op10_mixing)
+    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op6_line_dedup, op7_quality, op8_decontamination, op9_secrets, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {
