@@ -20,7 +20,6 @@ from sourcelake.operators import (
     graph,
     metrics,
     shingles,
-    similarity,
     structure,
     summaries,
     trees,
@@ -28,9 +27,9 @@ from sourcelake.operators import (
 from sourcelake.plans import corpus
 from sourcelake.plans.oracles import ORACLES
 from sourcelake.plans.pipeline import analyze
-from sourcelake.session import fresh_path
+from sourcelake.session import fresh_path, materialize
 from sourcelake.sources.artifacts import scan_artifact, write_artifact
-from sourcelake.sources.cache import read_cache, write_cache
+from sourcelake.sources.cache import append_cache, read_cache, write_cache
 from sourcelake.sources.prompts import write_prompts
 from sourcelake.streaming.incremental import incremental_summaries, read_batches
 
@@ -63,7 +62,7 @@ def _doc_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return shingles.line_fingerprints(corpus.doc_files(spark, sf))
+    return shingles.line_fingerprints(corpus.doc_texts(spark, sf))
 
 
 def _symbols(spark: SparkSession, sf: str, kinds: list[str], languages: list[str]) -> DataFrame:
@@ -86,8 +85,14 @@ def q_filter_ignored(spark, sf):
     return filters.filter_ignored(paths, filters.parse_ignore_rules(corpus.ignore_files(paths)))
 
 
+def q_select_files(spark, sf):
+    """All selection rules together."""
+    paths = corpus.scattered_paths(spark, sf)
+    return filters.select_files(paths, rules=filters.parse_ignore_rules(corpus.ignore_files(paths)))
+
+
 def q_extract_structure(spark, sf):
-    long = structure.symbols(_code(spark, sf), ["functions", "classes", "imports", "exports"])
+    long = structure.symbols(_code(spark, sf))
     return long.groupBy("repo", "path", "kind").agg(
         F.count("*").alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]), "|").alias("names"),
@@ -157,8 +162,8 @@ def q_jaccard(spark, sf):
 
 
 def q_similar_pairs(spark, sf):
-    pairs = similarity.similar_pairs(_doc_lines(spark, sf), THRESHOLD)
-    return pairs.select("repo", "u", "v", F.round("similarity", 6).alias("similarity"))
+    pairs = clustering.similar_pairs(_doc_lines(spark, sf), THRESHOLD)
+    return pairs.select("repo", "opener", "member", F.round("similarity", 6).alias("similarity"))
 
 
 def q_greedy_cluster(spark, sf):
@@ -171,8 +176,7 @@ def q_cluster_ids(spark, sf):
 
 
 def q_summary_prompt(spark, sf):
-    files = corpus.doc_files(spark, sf)
-    prompts = summaries.summary_prompt(files, structure.extract_structure(files))
+    prompts = summaries.summary_prompt(structure.extract_structure(corpus.doc_files(spark, sf), keep_content=True))
     return prompts.select("repo", "path", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("chars"))
 
 
@@ -194,12 +198,19 @@ def q_cached_summaries(spark, sf):
 
 
 def q_cache_upsert(spark, sf):
-    return summaries.cache_upsert(_seed_cache(spark, sf), summaries.summarize(_code(spark, sf)))
+    """A cache that a run appended its misses to, one entry per key."""
+    path = write_cache(_seed_cache(spark, sf))
+    append_cache(spark, path, _code(spark, sf))
+    return summaries.cache_entries(read_cache(spark, path))
 
 
 def q_read_cache(spark, sf):
-    path = write_cache(summaries.cache_upsert(_seed_cache(spark, sf), summaries.summarize(_code(spark, sf))))
-    return read_cache(spark, path)
+    """Twice appended, which adds nothing the second time."""
+    code = materialize(_code(spark, sf), "structures")
+    path = write_cache(_seed_cache(spark, sf))
+    append_cache(spark, path, code)
+    append_cache(spark, path, code)
+    return read_cache(spark, path).where("summary <> ''")
 
 
 def q_inject_summaries(spark, sf):
@@ -209,15 +220,21 @@ def q_inject_summaries(spark, sf):
 
 
 def q_incremental_summaries(spark, sf):
-    """Events arrive as versions of a user's file, one version per day."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """Events arrive in daily files, several to a batch, as versions of a user's
+    file, one version per day: batches see keys again that earlier ones added."""
+    events, daily = spark.read.parquet(f"{sf}/events.parquet"), fresh_path(spark, "daily-events")
+    part = F.pmod(F.col("event_id"), F.lit(4))
+    events.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(daily)
+    events = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(daily)
     day = F.unix_date(F.col("ts").cast("date"))
     versions = events.select(
         F.col("event_type").alias("repo"),
         F.concat(F.lit("users/user_"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"),
         F.timestamp_seconds(day.cast("bigint") * 86400).alias("mtime"),
-        F.lit("import events\n").alias("content"),
+        F.concat(
+            F.lit("import "), F.col("event_type"), F.lit("\n\n\ndef handle_"), F.col("user_id").cast("string"),
+            F.lit("(event):\n    return event\n"),
+        ).alias("content"),
     )
     summarized = summaries.summarize(structure.extract_structure(versions)).select("key", "summary")
     cache, marks = fresh_path(spark, "stream-cache"), fresh_path(spark, "stream-marks")
@@ -226,11 +243,7 @@ def q_incremental_summaries(spark, sf):
 
 
 def q_build_artifact(spark, sf):
-    docs = _docs(spark, sf)
-    nodes = graph.adjacency(graph.resolve_imports(docs, keep_empty=True))
-    modules = summaries.inject_summaries(artifact.placeholder_modules(docs), summaries.summarize(docs))
-    fragments = artifact.build_artifact(nodes, modules, generated_at=F.lit(STAMP))
-    return fragments.withColumn("section", F.col("section").cast("bigint")).select("repo", "section", "name", "xml")
+    return _artifact(spark, sf).fragments.withColumn("section", F.col("section").cast("bigint")).select("repo", "section", "name", "xml")
 
 
 def _artifact(spark, sf):
@@ -241,15 +254,17 @@ def _artifact(spark, sf):
 
 
 def q_scan_artifact(spark, sf):
-    """Documents written in parts and read back: edges and modules."""
+    """Documents written in parts and read back: every table of them."""
     path = fresh_path(spark, "artifacts")
     write_artifact(_artifact(spark, sf).fragments, path)
     loaded = scan_artifact(spark, path)
-    repo = F.regexp_extract("document", "/repo=([^/]*)/", 1)
-    edges = loaded.edges.select(repo.alias("repo"), F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    modules = loaded.modules.select(repo.alias("repo"), F.lit("module").alias("kind"), F.col("path").alias("a"), F.col("summary").alias("b"))
-    members = loaded.clusters.select(repo.alias("repo"), F.lit("member").alias("kind"), F.col("representative").alias("a"), F.col("member").alias("b"))
-    return edges.unionByName(modules).unionByName(members)
+    rows = lambda df, kind, a, b: df.select("repo", kind.alias("kind"), a.alias("a"), b.alias("b"))
+    edges = rows(loaded.edges, F.lit("edge"), F.col("src"), F.col("dst"))
+    modules = rows(loaded.modules, F.lit("module"), F.col("path"), F.col("summary"))
+    members = rows(loaded.clusters, F.lit("member"), F.col("representative"), F.col("member"))
+    nodes = rows(loaded.nodes, F.coalesce("type", F.lit("node")), F.col("path"), F.lit(None).cast("string"))
+    files = rows(loaded.metadata, F.lit("files"), F.col("files_count").cast("string"), F.col("generated_at"))
+    return edges.unionByName(modules).unionByName(members).unionByName(nodes).unionByName(files)
 
 
 def q_artifact_size(spark, sf):
@@ -270,26 +285,28 @@ def q_artifact_status(spark, sf):
 
 
 def _context_lines(spark, sf):
-    docs = _docs(spark, sf)
+    docs = materialize(_docs(spark, sf), "structures")
     nodes = graph.adjacency(graph.resolve_imports(docs, keep_empty=True))
     return context.context_lines(nodes, summaries.summarize(docs))
 
 
 def q_context_block(spark, sf):
-    return context.context_block(_context_lines(spark, sf)).select("repo", F.col("chunk").cast("bigint").alias("chunk"), "text")
+    return context.context_block(_context_lines(spark, sf))
 
 
 def q_prompt_pairs(spark, sf):
     pairs = context.prompt_pairs(_context_lines(spark, sf), corpus.questions(spark, sf))
-    return pairs.select("id", "question", "baseline_prompt", F.col("part").cast("bigint").alias("part"), "context_prompt", "context_tokens")
+    return pairs.select("id", "question", "baseline_prompt", "context_suffix", "context_tokens", "prompt_tokens")
 
 
 def q_write_prompts(spark, sf):
-    path = fresh_path(spark, "prompts")
-    write_prompts(context.prompt_pairs(_context_lines(spark, sf), corpus.questions(spark, sf)), path)
-    schema = "repo string, part int, questions array<struct<id:string,context_prompt:string>>"
-    return spark.read.schema(schema).json(path).select("repo", F.explode("questions").alias("q")).select(
-        "repo", "q.id", F.md5("q.context_prompt").alias("prompt_md5")
+    """Written and read back: the lines of every context, and every question's part of its prompt."""
+    path, lines = fresh_path(spark, "prompts"), _context_lines(spark, sf)
+    write_prompts(context.context_block(lines), context.prompt_pairs(lines, corpus.questions(spark, sf)), path)
+    written = spark.read.schema("repo string, no bigint, line string").json(f"{path}/context")
+    asked = spark.read.schema("repo string, id string, context_suffix string").json(f"{path}/questions")
+    return written.select("repo", F.col("no").cast("string").alias("id"), F.md5("line").alias("text_md5")).unionByName(
+        asked.select("repo", "id", F.md5("context_suffix").alias("text_md5"))
     )
 
 
@@ -311,6 +328,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _llm_queries() | {
         "filter_extension": lambda s, d: filters.filter_extension(paths(s, d), filters.DEFAULT_EXTENSIONS),
         "filter_ignored": q_filter_ignored,
+        "select_files": q_select_files,
         "filter_tests": lambda s, d: filters.filter_tests(paths(s, d)),
         "filter_filenames": lambda s, d: filters.filter_filenames(paths(s, d)),
         "count_source_files": lambda s, d: filters.count_source_files(paths(s, d)),

@@ -1,9 +1,9 @@
 """The per-repository XML document, as ordered fragments.
 
 A repository may hold a large share of all files, so its document is never one
-row: a fragment is one node, one module, one cluster (or a slice of a large
-one), or a line that opens or closes a section.  Fragments ordered by
-``(section, name, part)`` and joined by newlines are the document.
+row: a fragment is one node, one module, one line of a cluster, or a line that
+opens or closes a section.  Fragments ordered by :data:`ORDER` and joined by
+newlines are the document.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 PLACEHOLDER_SUMMARY = "PLACEHOLDER - will be filled by LLM summarizer in Phase 2"
 ROOT_TAG = "sourcelake"
 
+ORDER = ("section", "name", "part", "item")
 HEADER, GRAPH, NODE, GRAPH_END, PATTERNS, CLUSTER, PATTERNS_END, MODULES, MODULE, END = range(10)
-MEMBERS_PER_FRAGMENT = 10_000
 
 
 def _list_element(tag: str, child: str, items: Column, indent: str) -> Column:
@@ -37,7 +37,7 @@ def node_fragments(graph: DataFrame) -> DataFrame:
         F.lit('    <node name="'), xml_attr(F.col("path")), F.lit('"'), leaf, F.lit(">\n"),
         _list_element("depends_on", "dep", F.col("depends_on"), " " * 6), F.lit("\n    </node>"),
     )
-    return graph.select("repo", F.lit(NODE).alias("section"), F.col("path").alias("name"), F.lit(0).alias("part"), xml.alias("xml"))
+    return graph.select("repo", F.lit(NODE).alias("section"), F.col("path").alias("name"), F.lit(0).alias("part"), F.lit("").alias("item"), xml.alias("xml"))
 
 
 def module_fragments(modules: DataFrame) -> DataFrame:
@@ -53,32 +53,33 @@ def module_fragments(modules: DataFrame) -> DataFrame:
         _list_element("imports", "import", F.col("imports"), pad), F.lit("\n"),
         summary, F.lit("\n    </module>"),
     )
-    return modules.select("repo", F.lit(MODULE).alias("section"), F.col("path").alias("name"), F.lit(0).alias("part"), xml.alias("xml"))
-
-
-def cluster_fragments(clusters: DataFrame, members: DataFrame, per_fragment: int = MEMBERS_PER_FRAGMENT) -> DataFrame:
-    """One ``<cluster>`` per cluster; larger ones continue in further elements
-    with the same attributes, each holding a share of the members."""
-    parts = F.ceil(F.col("size") / per_fragment).cast("int")
-    grouped = (
-        members.join(clusters.select("repo", "representative", parts.alias("parts")), ["repo", "representative"])
-        .withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-        .repartition("repo", "representative", "part")  # else the join's placement would do
-        .groupBy("repo", "representative", "part")
-        .agg(F.array_sort(F.collect_list("member")).alias("names"))
-    )
+    return modules.select("repo", F.lit(MODULE).alias("section"), F.col("path").alias("name"), F.lit(0).alias("part"), F.lit("").alias("item"), xml.alias("xml"))
+
+
+def cluster_fragments(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """A ``<cluster>`` per cluster: its opening line (part 0), a line per member
+    (part 1, in order of ``item``) and its closing line (part 2)."""
     attribute = lambda name, value: F.concat(F.lit(f' {name}="'), xml_attr(value), F.lit('"'))
-    xml = F.concat(
+    opening = F.concat(
         F.lit("    <cluster"),
         attribute("id", F.col("cluster_id")),
         attribute("representative", F.col("representative")),
         attribute("threshold", F.col("threshold").cast("string")),
         attribute("fingerprint", F.col("fingerprint")),
-        F.lit(">\n"), _list_element("members", "member", F.col("names"), " " * 6), F.lit("\n    </cluster>"),
+        F.lit(">\n      <members>"),
     )
-    return grouped.join(clusters, ["repo", "representative"]).select(
-        "repo", F.lit(CLUSTER).alias("section"), F.col("representative").alias("name"), "part", xml.alias("xml")
+    ends = F.array(
+        F.struct(F.lit(0).alias("part"), opening.alias("xml")),
+        F.struct(F.lit(2).alias("part"), F.lit("      </members>\n    </cluster>").alias("xml")),
     )
+    frame = clusters.select("repo", F.col("representative").alias("name"), F.explode(ends).alias("e")).select(
+        "repo", F.lit(CLUSTER).alias("section"), "name", "e.part", F.lit("").alias("item"), "e.xml"
+    )
+    line = F.concat(F.lit("        <member>"), xml_text(F.col("member")), F.lit("</member>"))
+    return frame.unionByName(members.select(
+        "repo", F.lit(CLUSTER).alias("section"), F.col("representative").alias("name"), F.lit(1).alias("part"),
+        F.col("member").alias("item"), line.alias("xml"),
+    ))
 
 
 def frame_fragments(totals: DataFrame, generated_at: Column | None = None, root_tag: str = ROOT_TAG) -> DataFrame:
@@ -104,7 +105,7 @@ def frame_fragments(totals: DataFrame, generated_at: Column | None = None, root_
         line(END, F.lit(f"  </modules>\n</{root_tag}>")),
     )
     return totals.select("repo", F.explode(F.filter(frame, lambda f: f.isNotNull())).alias("f")).select(
-        "repo", "f.section", F.lit("").alias("name"), F.lit(0).alias("part"), "f.xml"
+        "repo", "f.section", F.lit("").alias("name"), F.lit(0).alias("part"), F.lit("").alias("item"), "f.xml"
     )
 
 
@@ -123,7 +124,7 @@ def build_artifact(
     generated_at: Column | None = None,
     root_tag: str = ROOT_TAG,
 ) -> DataFrame:
-    """``(repo, section, name, part, xml)`` of every repository's document.
+    """``(repo, section, name, part, item, xml)`` of every repository's document.
 
     ``graph`` comes from ``adjacency``, ``modules`` from ``placeholder_modules``
     and ``inject_summaries``."""
@@ -145,21 +146,3 @@ def artifact_size(fragments: DataFrame) -> DataFrame:
         tokens_of_length(F.sum(F.length("xml")) + breaks).alias("artifact_tokens"),
         (F.sum(F.octet_length("xml")) + breaks).alias("artifact_bytes"),
     )
-
-
-def assemble(fragments: DataFrame, max_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """``(documents, rest)``: whole documents ``(repo, xml)`` for repositories
-    whose document is at most ``max_bytes``, and the fragments of all others,
-    which :func:`sourcelake.sources.artifacts.write_artifact` writes in order."""
-    size = fragments.groupBy("repo").agg(F.sum(F.octet_length("xml") + 1).alias("bytes"))
-    large = size.where(F.col("bytes") > max_bytes).select("repo")
-    documents = (
-        fragments.join(large, "repo", "left_anti")
-        .repartition("repo")  # apart from the join, whose large repositories may be split
-        .groupBy("repo")
-        .agg(F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("section", "name", "part", "xml"))), lambda f: f["xml"]),
-            "\n",
-        ).alias("xml"))
-    )
-    return documents, fragments.join(large, "repo", "left_semi")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcelake.operators.ordinals import ordinals
+from sourcelake.operators.shingles import jaccard
 from sourcelake.operators.similarity import (
     BLOCK,
     candidate_pairs,
@@ -36,7 +37,6 @@ from sourcelake.session import materialize
 HOT_BUCKET = 64  # open classes the average row shares a bucket with, above which peeling pays
 ROUNDS = 4  # rounds before components are looked at
 LOCAL_EDGES = 200_000  # edges of a component one task may settle
-FINGERPRINT_BLOCK = 100_000  # members hashed as one string
 
 
 def _bucket_load(rows: DataFrame) -> tuple[float, float]:
@@ -207,36 +207,36 @@ def greedy_cluster(
     return keyed.join(placed, ["repo", "set_key"]).select("repo", "representative", F.col("path").alias("member"))
 
 
-def cluster_fingerprints(members: DataFrame, sizes: DataFrame, block: int = FINGERPRINT_BLOCK) -> DataFrame:
-    """``(repo, representative, fingerprint)``: SHA-1 of the representative and
-    the sorted members, joined by ``|``.
-
-    A cluster larger than ``block`` is hashed in two levels, members into
-    blocks and block digests into the fingerprint, so that no task holds it
-    whole; the value then still depends on every member."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    parts = (
-        members.join(sizes.select("repo", "representative", blocks.alias("blocks")), ["repo", "representative"])
-        .withColumn("part", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-        .repartition("repo", "representative", "part")  # else the join's placement would do
-        .groupBy("repo", "representative", "blocks", "part")
-        .agg(F.array_join(F.array_sort(F.collect_list("member")), "|").alias("text"))
-        .withColumn("text", F.when(F.col("blocks") == 1, F.col("text")).otherwise(F.sha1("text")))
-    )
-    return parts.groupBy("repo", "representative").agg(
-        F.sha1(F.concat_ws(
-            "|", "representative",
-            F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]),
-        )).alias("fingerprint")
+def similar_pairs(sets: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``(repo, opener, member, similarity)``: what the rule compares and finds.
+
+    One row for each member of a cluster but its opener, so a family of copies
+    or near copies costs its size and not its pairs."""
+    members = greedy_cluster(sets, threshold).where(F.col("representative") != F.col("member"))
+    hashes = lambda path, name: sets.select("repo", F.col("path").alias(path), F.col("hashes").alias(name))
+    both = members.join(hashes("member", "a"), ["repo", "member"]).join(hashes("representative", "b"), ["repo", "representative"])
+    return both.select("repo", F.col("representative").alias("opener"), "member", jaccard(F.col("a"), F.col("b")).alias("similarity"))
+
+
+def cluster_fingerprints(members: DataFrame) -> DataFrame:
+    """``(repo, representative, size, fingerprint)``: SHA-1 of the representative,
+    the size, and the sums of five 32-bit slices of the members' SHA-1.
+
+    Sums combine before the shuffle, so the value is the same for every size
+    and order and no task holds a cluster."""
+    slices = [F.conv(F.substring(F.sha1("member"), 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(5)]
+    sums = members.groupBy("repo", "representative").agg(
+        F.count("*").alias("size"), *[F.sum(s).alias(f"_{i}") for i, s in enumerate(slices)]
     )
+    parts = [F.col(c).cast("string") for c in ("size", "_0", "_1", "_2", "_3", "_4")]
+    return sums.select("repo", "representative", "size", F.sha1(F.concat_ws("|", "representative", *parts)).alias("fingerprint"))
 
 
-def cluster_ids(members: DataFrame, threshold: float = 0.85, block: int = FINGERPRINT_BLOCK) -> DataFrame:
+def cluster_ids(members: DataFrame, threshold: float = 0.85) -> DataFrame:
     """One row per cluster: ``cluster_<n>`` numbered by representative within the
     repository, its size, threshold and fingerprint."""
-    sizes = members.groupBy("repo", "representative").agg(F.count("*").alias("size"))
-    numbered = ordinals(sizes, ["repo"], ["representative"], "no")
-    return numbered.join(cluster_fingerprints(members, sizes, block), ["repo", "representative"]).select(
+    numbered = ordinals(cluster_fingerprints(members), ["repo"], ["representative"], "no")
+    return numbered.select(
         "repo",
         F.concat(F.lit("cluster_"), F.col("no").cast("string")).alias("cluster_id"),
         "representative",

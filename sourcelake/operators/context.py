@@ -1,8 +1,6 @@
 """Readable context of a repository, and question prompts built on it.
 
-The context is a table of lines.  Text is assembled in chunks of a bounded
-number of lines, so a huge repository's context becomes many rows; a usual one
-is a single chunk.
+The context is a table of lines, at every size; prompts refer to it.
 """
 
 from __future__ import annotations
@@ -20,8 +18,6 @@ SUMMARIES = "### Module Summaries"
 NO_SUMMARY = "(no summary)"
 SEPARATOR = "\n\n---\n\n"
 
-LINES_PER_CHUNK = 5_000
-
 
 def context_lines(graph: DataFrame, summaries: DataFrame, title: str = TITLE) -> DataFrame:
     """``(repo, section, name, line)``; order by section and name.
@@ -52,55 +48,44 @@ def context_lines(graph: DataFrame, summaries: DataFrame, title: str = TITLE) ->
     return frame.unionByName(nodes).unionByName(modules)
 
 
-def context_block(lines: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
-    """``(repo, chunk, text, is_last, context_tokens)``: a repository's context is
-    the concatenation of its chunks in order.  Every chunk but the last ends
-    with a newline; ``context_tokens`` counts the whole context.
+def context_block(lines: DataFrame) -> DataFrame:
+    """``(repo, no, line)``: a repository's context is its lines in order of
+    ``no``, from 1, joined by newlines.
 
-    Nothing joins on ``repo`` alone: totals come with the line numbers."""
-    chunk = lambda no: F.floor((no - 1) / lines_per_chunk).cast("int")
-    numbered = ordinals(
-        lines, ["repo"], ["section", "name"], "no",
-        {"_lines": F.lit(1), "_chars": F.length("line")},
-    ).withColumns({"chunk": chunk(F.col("no")), "last": chunk(F.col("_lines"))})
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n"
-    )
-    is_last = F.col("chunk") == F.col("last")
-    return (
-        numbered.groupBy("repo", "chunk", "last", "_lines", "_chars").agg(text.alias("text"))
-        .select(
-            "repo", "chunk", F.concat("text", F.when(is_last, F.lit("")).otherwise(F.lit("\n"))).alias("text"),
-            is_last.alias("is_last"),
-            tokens_of_length(F.col("_chars") + F.col("_lines") - 1).alias("context_tokens"),
-        )
-    )
+    No repository's lines meet in one task, so the shape is the same for every
+    size."""
+    return ordinals(lines, ["repo"], ["section", "name"], "no").select("repo", "no", "line")
+
+
+def context_lengths(lines: DataFrame) -> DataFrame:
+    """``(repo, chars)``: the length of each context."""
+    return lines.groupBy("repo").agg((F.sum(F.length("line")) + F.count("*") - 1).alias("chars"))
 
 
 def context_tokens(lines: DataFrame) -> DataFrame:
     """Tokens of each context, from line lengths."""
-    return lines.groupBy("repo").agg(
-        tokens_of_length(F.sum(F.length("line")) + F.count("*") - 1).alias("context_tokens")
-    )
+    return context_lengths(lines).select("repo", tokens_of_length(F.col("chars")).alias("context_tokens"))
 
 
-def prompt_pairs(lines: DataFrame, questions: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
-    """``(repo, id, q_no, question, baseline_prompt, part, context_prompt,
-    context_tokens)`` for each question of a repository that has a context.
+def prompt_pairs(lines: DataFrame, questions: DataFrame) -> DataFrame:
+    """``(repo, id, q_no, question, baseline_prompt, context_suffix,
+    context_tokens, prompt_tokens)`` for each question of a repository that has
+    a context.
 
-    ``context_prompt`` is whole for ``part`` 0 of a single chunk; longer prompts
-    are the concatenation of their parts."""
-    blocks = context_block(lines, lines_per_chunk)
-    ending = F.when(F.col("is_last"), F.concat(F.lit(SEPARATOR), "question")).otherwise(F.lit(""))
-    return questions.join(blocks, "repo").select(
+    The prompt with context is the repository's :func:`context_block` followed
+    by ``context_suffix``: the context is referred to by ``repo`` and not
+    repeated for every question.  ``prompt_tokens`` counts the whole."""
+    totals = context_lengths(lines)
+    suffix = F.concat(F.lit(SEPARATOR), "question")
+    return questions.join(totals, "repo").select(
         "repo",
         F.concat("repo", F.lit("_q"), F.col("q_no").cast("string")).alias("id"),
         "q_no",
         "question",
         F.col("question").alias("baseline_prompt"),
-        F.col("chunk").alias("part"),
-        F.concat("text", ending).alias("context_prompt"),
-        "context_tokens",
+        suffix.alias("context_suffix"),
+        tokens_of_length(F.col("chars")).alias("context_tokens"),
+        tokens_of_length(F.col("chars") + F.length(suffix)).alias("prompt_tokens"),
     )
 
 

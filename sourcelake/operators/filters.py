@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcelake.functions.paths import ancestors, basename
+from sourcelake.functions.paths import ancestors, basename, dirname
+from sourcelake.session import materialize
 
 # The selection conventions every corpus is read with.
 DEFAULT_EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx")
@@ -129,36 +130,50 @@ def _builtin_pattern() -> str:
     return "^(?:.+/)?(?:" + "|".join(names) + ")(?:/.*)?$"
 
 
+def _merged(rules: DataFrame) -> DataFrame:
+    """``(repo, _rules)``: each repository's rules in order, neighbours of one
+    sign as one pattern."""
+    order = Window.partitionBy("repo").orderBy("ord")
+    turn = F.coalesce((F.col("ignore") != F.lag("ignore").over(order)).cast("int"), F.lit(0))
+    runs = rules.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(order))
+    merged = runs.groupBy("repo", "_run", "ignore").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "regex"))), lambda r: F.concat(F.lit("(?:"), r["regex"], F.lit(")"))
+    ), "|").alias("regex"))
+    return merged.groupBy("repo").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_run", "regex", "ignore"))),
+        lambda r: F.struct(r["regex"].alias("regex"), r["ignore"].alias("ignore")),
+    ).alias("_rules"))
+
+
 def filter_ignored(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Drop files the ignore rules exclude.
 
     For a path the last matching rule wins, built-ins first.  A file goes when
     it or any directory above it is ignored, so nothing is re-included below an
-    ignored directory.  Rules reach their files through an equi-join on
-    ``repo`` with one row per repository; they are never broadcast by hint."""
+    ignored directory.  Directories are judged once each; a file is then tested
+    by its own path, and dropped by an anti-join on its directory.  Rules and
+    ignored directories are written first, so that Spark broadcasts them by
+    their real size and leaves ``content`` where it is."""
     builtin = _builtin_pattern()
     if rules is None:
         hit = lambda p: p.rlike(builtin)
         return files.where(~(hit(F.col("path")) | F.exists(ancestors(F.col("path")), hit)))
-    per_repo = rules.groupBy("repo").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("ord", "regex", "ignore"))),
-            lambda r: F.struct(r["regex"].alias("regex"), r["ignore"].alias("ignore")),
-        ).alias("_rules")
-    )
-    joined = files.join(per_repo, "repo", "left").withColumn(
-        "_rules", F.coalesce("_rules", F.array().cast("array<struct<regex:string,ignore:boolean>>"))
-    )
+    per_repo = materialize(_merged(rules), "ignore-rules")
+    none = F.array().cast("array<struct<regex:string,ignore:boolean>>")
 
     def ignored(p: Column) -> Column:
         return F.aggregate(
-            "_rules",
+            F.coalesce("_rules", none),
             p.rlike(builtin),
             lambda acc, r: F.when(F.rlike(p, r["regex"]), r["ignore"]).otherwise(acc),
         )
 
-    keep = ~(ignored(F.col("path")) | F.exists(ancestors(F.col("path")), ignored))
-    return joined.where(keep).select(*files.columns)
+    directories = files.select("repo", dirname(F.col("path")).alias("_dir")).where("_dir <> ''").distinct()
+    above = ancestors(F.concat("_dir", F.lit("/")))
+    gone = directories.join(per_repo, "repo", "left").where(F.exists(above, ignored)).select("repo", "_dir")
+    gone = materialize(gone, "ignored-directories")
+    kept = files.join(per_repo, "repo", "left").where(~ignored(F.col("path"))).withColumn("_dir", dirname(F.col("path")))
+    return kept.join(gone, ["repo", "_dir"], "left_anti").select(*files.columns)
 
 
 def select_files(

@@ -128,7 +128,7 @@ def class_pairs(classes: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     return verify_pairs(candidate_pairs(rows, rows, threshold, block), classes, threshold)
 
 
-def similar_pairs(sets: DataFrame, threshold: float = 0.85, block: int = BLOCK) -> DataFrame:
+def all_pairs(sets: DataFrame, threshold: float = 0.85, block: int = BLOCK) -> DataFrame:
     """All similar files of a repository, ``(repo, u, v, similarity)``, ``u < v``.
 
     Copies are given once, as ``(smallest path, copy, 1.0)``, and stand in for

@@ -73,41 +73,20 @@ _JS_BLANK = (
 _JS_IMPORTS = rf"(?m)(?:^|;)[ \t]*+({_JS_IMPORT})|({_JS_REQUIRE})"
 _JS_START = r"(?m)(?:^|[;{}])[ \t]*+(?:@[\w.$]++(?:\([^()\n]*+\))?[ \t]++)*+(?:export[ \t]++)?(?:default[ \t]++)?"
 _JS_PARENS = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
-# A function needs a body (overload signatures have none), a type alias its "=".
+# An overload signature, which ends at ";" behind its parameters, is no function; a type alias needs its "=".
 _JS_DECLARATION = (
     rf"{_JS_START}(?:"
-    rf"(?:async[ \t]++)?function\s*+\*?\s*+{_WORD}++(?=\s*+(?:<[^(]*>\s*+)?{_JS_PARENS}[^;{{]*+\{{)"
+    rf"(?:async[ \t]++)?function\s*+\*?\s*+{_WORD}++(?!\s*+(?:<[^(]*>\s*+)?{_JS_PARENS}[^;{{]*+(?:;|\z))"
     rf"|(?:declare[ \t]++)?(?:class|interface|(?:const[ \t]++)?enum)[ \t]++{_WORD}++"
     rf"|(?:declare[ \t]++)?type[ \t]++{_WORD}++(?=\s*+(?:<[^=;]*+)?=))"
 )
 
 
-def _balanced(levels: int) -> str:
-    """One bracketed group, brackets nested up to ``levels`` deep."""
-    atoms = rf"[^(){{}}\[\]\"'`/]++|{_STRING}|{_JS_TEMPLATE}|{_JS_COMMENT}|/"
-    inner = rf"(?:{atoms})*+"
-    for _ in range(levels):
-        inner = rf"(?:{atoms}|[({{\[]{inner}[)}}\]])*+"
-    return rf"[({{\[]{inner}[)}}\]]"
-
-
-_JS_GROUP = _balanced(20)
-_JS_GENERIC = r"<(?:[^<>();]|=>|<(?:[^<>();]|=>)*+>)*+>"
-_JS_BLOCK = _JS_GROUP.replace(r"[({\[]", r"\{", 1)
+# The head of an export statement: a list or star with its ``from`` clause, or what is left of the line.
 _JS_EXPORT = (
-    r"export\b(?:"
-    # declarations with a body end with it
-    r"(?:\s++(?:default|declare|abstract|async|const(?=\s++enum)))*+"
-    r"\s++(?:function|class|interface|enum|namespace|module)\b"
-    rf"(?:[^(){{}}\[\]\"'`/;<]++|{_JS_GENERIC}|<|{_STRING}|{_JS_COMMENT}|(?!\{{){_JS_GROUP})*+(?:{_JS_BLOCK}|;)"
-    # anything else ends at ';' or at a line end that no operator continues
-    rf"|(?:[^(){{}}\[\]\"'`/;\n]++|{_STRING}|{_JS_TEMPLATE}|{_JS_COMMENT}|{_JS_GROUP}|/"
-    r"|\n(?=\s*+[.?:|&+*=<>,])|(?<=[=,+*|&?:<>][ \t]{0,8})\n)*+;?)"
-)
-_JS_EXPORTS = (
-    rf"""(?=[/"'`e])(?:{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}"""
-    rf"|((?<![\w$.])(?=export\b)(?<=(?:\A|\n)[ \t]{{0,32}}){_JS_EXPORT}))"
+    rf"export\b(?:\s*+(?:type\b\s*+)?(?:\*(?:\s*+as\s++{_WORD}++)?+|\{{[^{{}}]*+\}})(?:\s*+from\s*+(?:\"[^\"\n]*+\"|'[^'\n]*+'))?+;?+|[^\n]*+)"
 )
+_JS_EXPORTS = rf"""(?m)(?=[/"'`]|^[ \t]*+export\b)(?:{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}|^[ \t]*+({_JS_EXPORT}))"""
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -138,10 +117,6 @@ def script_code(content: Column) -> Column:
     return F.regexp_replace(content, _JS_BLANK, "$1$2")
 
 
-def _stringless(code: Column) -> Column:
-    return F.regexp_replace(code, _STRING, '""')
-
-
 def python_declarations(code: Column) -> Column:
     """Heads of all functions and classes, in text order."""
     return _all(code, _PY_DECLARATION, 0)
@@ -174,7 +149,7 @@ def script_imports(code: Column) -> Column:
 
 
 def script_exports(content: Column) -> Column:
-    """Whole export statements, taken from the unblanked text."""
+    """Heads of export statements, taken from the unblanked text."""
     return F.transform(F.filter(_all(content, _JS_EXPORTS), lambda x: x != ""), strip)
 
 
@@ -186,8 +161,9 @@ def split_languages(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.where(known), tagged.where(~known)
 
 
-def extract_structure(files: DataFrame, shingle: int | None = None) -> DataFrame:
-    """One row per readable file with its structure; ``content`` is dropped.
+def extract_structure(files: DataFrame, shingle: int | None = None, keep_content: bool = False) -> DataFrame:
+    """One row per readable file with its structure; ``content`` is dropped
+    unless it is to be kept.
 
     Arrays that only scripts have are NULL for Python.  With ``shingle`` the
     file's shape fingerprint comes along as ``hashes``, from the same scan."""
@@ -200,7 +176,7 @@ def extract_structure(files: DataFrame, shingle: int | None = None) -> DataFrame
         "heads", F.when(python, python_declarations(code)).otherwise(script_declarations(code))
     )
 
-    extra = []
+    extra = [content] if keep_content else []
     if shingle:
         coded = coded.withColumn("tokens", shape_tokens(content))
         extra.append(hashes(shingles(F.col("tokens"), shingle)).alias("hashes"))

@@ -33,11 +33,13 @@ Instructions:
 Summary:"""
 
 
-def summary_prompt(files: DataFrame, structures: DataFrame) -> DataFrame:
-    """``(repo, path, prompt)``: the request a summarising model would get."""
-    shape = structures.select("repo", "path", "classes", "functions", "imports")
+def summary_prompt(structures: DataFrame) -> DataFrame:
+    """``(repo, path, prompt)``: the request a summarising model would get.
+
+    ``structures`` carries ``content``, so each text is read once and stays
+    where it is."""
     head, (classes, functions, imports) = F.lit(PROMPT_HEAD), map(F.lit, PROMPT_STRUCTURE)
-    return files.select("repo", "path", "content").join(shape, ["repo", "path"]).select(
+    return structures.select(
         "repo", "path",
         F.concat(
             head, "path",
@@ -54,8 +56,8 @@ def _short(name: Column) -> Column:
     return F.replace(F.replace(last, F.lit(".js"), F.lit("")), F.lit(".ts"), F.lit(""))
 
 
-def dependency_mentions(imports: Column) -> Column:
-    """Short names of the first three imports that have one.
+def dependency_mentions(imports: Column, most: int | None = None) -> Column:
+    """Short names of the imports that have one, or of the first ``most`` of them.
 
     A Python ``from x import y`` has none; quotes are trimmed from the ends
     only, so a JavaScript statement keeps its ``";``."""
@@ -71,7 +73,7 @@ def dependency_mentions(imports: Column) -> Column:
             .when(F.startswith(text, F.lit("import ")), _short(unquote(word)))
         )
 
-    return F.filter(F.transform(F.slice(imports, 1, 3), mention), lambda m: m.isNotNull() & (m != ""))
+    return F.filter(F.transform(imports if most is None else F.slice(imports, 1, most), mention), lambda m: m.isNotNull() & (m != ""))
 
 
 def template_summary(path: Column, classes: Column, functions: Column, imports: Column) -> Column:
@@ -101,30 +103,43 @@ def cache_key(repo: Column, path: Column, mtime: Column, version: Column) -> Col
     return F.concat_ws("|", repo, path, seconds, F.coalesce(version, F.lit("unknown")))
 
 
+def _key() -> Column:
+    return cache_key(F.col("repo"), F.col("path"), F.col("mtime"), F.col("extractor_version"))
+
+
+def _template() -> Column:
+    return template_summary(F.col("path"), F.col("classes"), F.col("functions"), F.col("imports"))
+
+
 def summarize(structures: DataFrame) -> DataFrame:
     """``(repo, path, key, summary)`` computed for every file."""
-    return structures.select(
-        "repo", "path",
-        cache_key(F.col("repo"), F.col("path"), F.col("mtime"), F.col("extractor_version")).alias("key"),
-        template_summary(F.col("path"), F.col("classes"), F.col("functions"), F.col("imports")).alias("summary"),
-    )
+    return structures.select("repo", "path", _key().alias("key"), _template().alias("summary"))
 
 
 def cached_summaries(structures: DataFrame, cache: DataFrame) -> DataFrame:
-    """Cached text where it is a non-empty string, else the computed one."""
-    known = cache.select("key", F.col("summary").alias("cached"))
-    return summarize(structures).join(known, "key", "left").select(
-        "repo", "path", "key", F.coalesce(F.nullif("cached", F.lit("")), F.col("summary")).alias("summary")
+    """Cached text where it is a non-empty string, else the computed one.
+
+    A summary is computed above the join, for the rows that found none."""
+    known = cache.where("summary <> ''").select("key", F.col("summary").alias("cached"))
+    keyed = structures.select("repo", "path", "classes", "functions", "imports", _key().alias("key"))
+    return keyed.join(known, "key", "left").select(
+        "repo", "path", "key",
+        F.when(F.col("cached").isNotNull(), F.col("cached")).otherwise(_template()).alias("summary"),
     )
 
 
-def cache_upsert(cache: DataFrame, computed: DataFrame) -> DataFrame:
-    """The cache after a run: filled entries stay, the rest is added; nothing
-    is evicted.  Write it to a new location, never over its own input."""
-    fresh = computed.select("key", F.col("summary").alias("fresh"))
-    return cache.select("key", "summary").join(fresh, "key", "full_outer").select(
-        "key", F.coalesce(F.nullif("summary", F.lit("")), F.col("fresh"), F.col("summary")).alias("summary")
-    )
+def cache_misses(cache: DataFrame, structures: DataFrame) -> DataFrame:
+    """``(key, summary)`` of files whose key the cache lacks or holds empty:
+    what a run appends.  Nothing else is computed."""
+    known = cache.where("summary <> ''").select("key")
+    keyed = structures.select("path", "classes", "functions", "imports", _key().alias("key"))
+    return keyed.join(known, "key", "left_anti").select("key", _template().alias("summary"))
+
+
+def cache_entries(cache: DataFrame) -> DataFrame:
+    """One entry per key of a cache that grows by appending: a filled one if
+    there is one.  Entries of one key never differ otherwise."""
+    return cache.groupBy("key").agg(F.coalesce(F.max(F.nullif("summary", F.lit(""))), F.max("summary")).alias("summary"))
 
 
 def inject_summaries(modules: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -13,61 +13,77 @@ from pyspark.sql import types as T
 
 from sourcelake.functions.rows import each, each_pos
 
-# Tags that are closed where they are opened; void and optional-end tags would
-# unbalance the stream.
-BALANCED_TAGS = (
-    "html", "head", "title", "body", "nav", "ul", "li", "div", "a", "article", "h1", "footer",
+# Elements without content, which are never closed.
+VOID_ELEMENTS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
 )
 _NOT_MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 
 
-def html_tree_nodes(pages: DataFrame, tree_id: str, html: str, tags=BALANCED_TAGS) -> DataFrame:
-    """Markup -> ``(tree_id, node_id, parent_id, child_ord, visit_ord, type)``.
+def html_tree_nodes(pages: DataFrame, tree_id: str, html: str) -> DataFrame:
+    """Markup -> ``(tree_id, node_id, parent_id, child_ord, visit_ord, type)``,
+    with a node for every opening tag.
 
-    Opening and closing tags form an event stream with a running depth.  At one
-    depth events alternate open/close, so a window over ``(tree, depth)`` finds
-    each node's end; the same window with the events of the level above finds
-    its parent.  ``visit_ord`` numbers nodes in last-child-first pre-order:
-    descending position of the closing tag."""
-    names = "|".join(tags)
+    Tags of one name open and close in turn at each level of their own nesting:
+    an opening tag whose next one there is a closing tag is closed by it.  These
+    pairs form an event stream with a running depth.  At one depth events
+    alternate open/close, so a window over ``(tree, depth)`` finds each node's
+    end; the same window with the events of the level above finds its parent.
+    Of the other opening tags void elements are leaves; the rest hold all that
+    follows in what they stand in and end with it.  ``visit_ord`` numbers nodes
+    in last-child-first pre-order: descending position of their end."""
     text = F.regexp_replace(F.col(html), _NOT_MARKUP, "")
-    tags_found = F.regexp_extract_all(text, F.lit(rf"(?i)</?(?:{names})\b"), F.lit(0))
+    tags_found = F.regexp_extract_all(text, F.lit("</?[A-Za-z][A-Za-z0-9]*+"), F.lit(0))
     events = each_pos(pages, [F.col(tree_id).cast("string").alias("tree_id")], tags_found, "pos", "tag")
-    events = events.withColumn("opens", ~F.startswith(F.col("tag"), F.lit("</")))
+    events = events.select(
+        "tree_id", "pos", (~F.startswith(F.col("tag"), F.lit("</"))).alias("opens"),
+        F.lower(F.regexp_replace("tag", "^</?", "")).alias("type"),
+    )
+    opens = F.col("opens")
+    own_level = F.sum(F.when(opens, 1).otherwise(-1)).over(Window.partitionBy("tree_id", "type").orderBy("pos"))
+    events = events.withColumn("nesting", own_level + F.when(opens, 0).otherwise(1))
+    alike = Window.partitionBy("tree_id", "type", "nesting").orderBy("pos")
+    filled = F.when(opens, ~F.lead("opens").over(alike)).otherwise(F.lag("opens").over(alike))
+    events = events.withColumn("filled", F.coalesce(filled, F.lit(False))).where("opens or filled")
     order = Window.partitionBy("tree_id").orderBy("pos")
-    running = F.sum(F.when(F.col("opens"), 1).otherwise(-1)).over(order)
-    events = events.withColumn("depth", running + F.when(F.col("opens"), 0).otherwise(1))
-
-    # Each opening tag is seen at its own depth (as a possible parent) and one
-    # level up (as a child); closing tags only at their own depth.
-    seen = events.select(
-        "tree_id", "pos", "tag", "opens", "depth",
-        F.explode(F.when(F.col("opens"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("child"),
-    ).withColumn("level", F.col("depth") - F.col("child").cast("int"))
+    inside = F.col("opens") & F.col("filled")
+    running = F.sum(F.when(inside, 1).when(F.col("filled"), -1).otherwise(0)).over(order)
+    events = events.withColumn("depth", running + F.when(inside, 0).otherwise(1))
+
+    # Each opening tag that is closed is seen at its own depth (as a possible
+    # parent) and one level up (as a child); other opening tags only as children,
+    # closing tags only at their own depth.
+    roles = F.when(inside, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.col("opens")))
+    seen = events.select("tree_id", "pos", "type", "opens", "filled", "depth", F.explode(roles).alias("child")).withColumn(
+        "level", F.col("depth") - F.col("child").cast("int")
+    )
     own = ~F.col("child")
     level = Window.partitionBy("tree_id", "level").orderBy("pos", "child")
     before = level.rowsBetween(Window.unboundedPreceding, -1)
     after = level.rowsBetween(1, Window.unboundedFollowing)
+    unclosed = F.col("child") & ~F.col("filled") & ~F.col("type").isin(*VOID_ELEMENTS)
     placed = seen.select(
         "*",
+        F.last(F.when(unclosed, F.col("pos")), ignorenulls=True).over(before).alias("held_by"),
         F.last(F.when(own & F.col("opens"), F.col("pos")), ignorenulls=True).over(before).alias("parent"),
         F.first(F.when(own & ~F.col("opens"), F.col("pos")), ignorenulls=True).over(after).alias("close"),
     ).where("opens")
     nodes = placed.groupBy("tree_id", F.col("pos").alias("node_id")).agg(
-        F.lower(F.substring(F.first("tag"), 2, 64)).alias("type"),
+        F.first("type").alias("type"),
         F.first("depth").alias("depth"),
-        F.max(F.when(F.col("child"), F.col("parent"))).alias("parent_id"),
-        F.max(F.when(own, F.col("close"))).alias("close"),
+        F.first("filled").alias("filled"),
+        F.max(F.when(F.col("child"), F.greatest("parent", "held_by"))).alias("parent_id"),
+        F.max(F.when(own | ~F.col("filled"), F.col("close"))).alias("close"),
     )
-    # Tags never closed end with the document, outermost last.
-    end = F.coalesce(F.col("close").cast("bigint"), F.lit(1 << 40) - F.col("depth"))
+    void = ~F.col("filled") & F.col("type").isin(*VOID_ELEMENTS)
+    end = F.when(void, F.col("node_id").cast("bigint")).otherwise(F.coalesce(F.col("close").cast("bigint"), F.lit(1 << 40)))
     siblings = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
     return nodes.select(
         "tree_id",
         F.col("node_id").cast("bigint").alias("node_id"),
         F.col("parent_id").cast("bigint").alias("parent_id"),
         F.row_number().over(siblings).alias("child_ord"),
-        F.row_number().over(Window.partitionBy("tree_id").orderBy(end.desc())).cast("bigint").alias("visit_ord"),
+        F.row_number().over(Window.partitionBy("tree_id").orderBy(end.desc(), "node_id")).cast("bigint").alias("visit_ord"),
         "type",
     )
 
@@ -120,8 +136,8 @@ def subtree_hash(nodes: DataFrame, depth: int = 4, colocate: bool = True) -> Dat
     return state
 
 
-def fingerprint_set(hashed: DataFrame, max_nodes: int = 5000) -> DataFrame:
-    """Distinct subtree hashes of the first ``max_nodes`` visited nodes: the
-    bound is part of the fingerprint's definition.  ``hashed`` comes from
-    :func:`subtree_hash`."""
-    return hashed.where(F.col("visit_ord") <= max_nodes).select("tree_id", "h").distinct()
+def fingerprint_set(hashed: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """Distinct subtree hashes of a tree, or of its first ``max_nodes`` visited
+    nodes.  ``hashed`` comes from :func:`subtree_hash`."""
+    seen = hashed if max_nodes is None else hashed.where(F.col("visit_ord") <= max_nodes)
+    return seen.select("tree_id", "h").distinct()

@@ -184,6 +184,13 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' own texts, under the paths of :func:`doc_files`."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    path = F.concat(F.lit("docs/doc_"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return documents.select(F.col("lang").alias("repo"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+
+
 def scattered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo, path)``: one path per order, in all the places selection rules
     care about."""

@@ -7,6 +7,7 @@ whole line sets and cluster one vertex at a time.
 
 from __future__ import annotations
 
+# The wording of summaries, prompts, context and documents in this module.
 THRESHOLD = 0.85
 STAMP = "2024-01-01T00:00:00Z"
 VERSION = "sourcelake-1"
@@ -54,19 +55,14 @@ CTE = {
             FROM ord WHERE k % 4 = 1
         UNION ALL SELECT repo, path, 'exports', 1, 'export type Key' || k || ' = string;' FROM ord WHERE k % 4 = 1
         UNION ALL SELECT repo, path, 'exports', 2, 'export enum Status' || k || ' { Open, Closed }' FROM ord WHERE k % 4 = 1
-        UNION ALL SELECT repo, path, 'exports', 3, 'export class Order' || k || ' {' || chr(10)
-            || '  total(): string { return "// not a comment"; }' || chr(10) || '}' FROM ord WHERE k % 4 = 1
-        UNION ALL SELECT repo, path, 'exports', 4, 'export function load' || k || '(key: Key' || k || '): Key' || k || ' {'
-            || chr(10) || '  const note = `import hidden from "hidden";`;' || chr(10) || '  return key;' || chr(10) || '}'
-            FROM ord WHERE k % 4 = 1
-        UNION ALL SELECT repo, path, 'exports', 0, 'export class Item {' || chr(10) || '  price(): number { return ' || k
-            || '; }' || chr(10) || '}' FROM prt_file WHERE suffix = '.ts'""",
+        UNION ALL SELECT repo, path, 'exports', 3, 'export class Order' || k || ' {' FROM ord WHERE k % 4 = 1
+        UNION ALL SELECT repo, path, 'exports', 4, 'export function load' || k || '(key: Key' || k || '): Key' || k || ' {' FROM ord WHERE k % 4 = 1
+        UNION ALL SELECT repo, path, 'exports', 0, 'export class Item {' FROM prt_file WHERE suffix = '.ts'""",
     "ts_types": """SELECT repo, path, 'interfaces' AS kind, 0 AS pos, 'Line' || k AS name FROM ord WHERE k % 4 = 1
         UNION ALL SELECT repo, path, 'types', 0, 'Key' || k FROM ord WHERE k % 4 = 1
         UNION ALL SELECT repo, path, 'enums', 0, 'Status' || k FROM ord WHERE k % 4 = 1""",
     "mention": """SELECT repo, path, coalesce(string_agg(m, ', ' ORDER BY pos) FILTER (WHERE m IS NOT NULL), '') AS mentions
         FROM (SELECT c.repo, c.path, i.pos, CASE
-                WHEN i.pos >= 3 THEN NULL
                 WHEN i.text LIKE 'require:%' THEN split_part(i.text, '/', -1)
                 WHEN i.text LIKE 'import {%' THEN split_part(i.text, '/', -1)
                 WHEN i.text = 'import fs from "fs";' THEN 'fs";'
@@ -109,8 +105,8 @@ CTE = {
     "doc_summary": f"""SELECT repo, path, 'Module doc_' || doc_id || ' with 0 functions, 0 classes.' || CASE
             WHEN stmt = '' THEN ' {LEAF}' WHEN stmt LIKE 'import %' THEN ' Depends on: ' || stmt[8:] || '.' ELSE '' END AS summary
         FROM doc""",
-    "doc_set": """SELECT repo, path, list_distinct(list_filter(list_transform(string_split(content, chr(10)),
-            lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '')) AS lines FROM doc_content""",
+    "doc_set": """SELECT repo, path, list_distinct(list_filter(list_transform(string_split(text, chr(10)),
+            lambda s: trim(s, ' ' || chr(9) || chr(13))), lambda s: s <> '')) AS lines FROM doc""",
     # -- similarity ------------------------------------------------------------
     "class_of": """SELECT repo, path, lines, min(path) OVER (PARTITION BY repo, list_sort(lines)) AS v FROM doc_set""",
     "class": "SELECT repo, path AS v, lines, len(lines) AS n FROM class_of WHERE path = v",
@@ -134,8 +130,11 @@ CTE = {
         QUALIFY count(*) OVER (PARTITION BY repo, representative) > 1""",
     "cluster": f"""SELECT repo, 'cluster_' || row_number() OVER (PARTITION BY repo ORDER BY representative) AS cluster_id,
             representative, count(*) AS size, {THRESHOLD}::DOUBLE AS threshold,
-            sha1(representative || '|' || string_agg(member, '|' ORDER BY member)) AS fingerprint
-        FROM member GROUP BY repo, representative""",
+            sha1(representative || '|' || count(*) || '|' || sum(s1)::BIGINT || '|' || sum(s2)::BIGINT || '|' || sum(s3)::BIGINT || '|'
+                || sum(s4)::BIGINT || '|' || sum(s5)::BIGINT) AS fingerprint
+        FROM (SELECT *, ('0x' || d[1:8])::BIGINT AS s1, ('0x' || d[9:16])::BIGINT AS s2, ('0x' || d[17:24])::BIGINT AS s3,
+                ('0x' || d[25:32])::BIGINT AS s4, ('0x' || d[33:40])::BIGINT AS s5 FROM (SELECT *, sha1(member) AS d FROM member))
+        GROUP BY repo, representative""",
     # -- artifact --------------------------------------------------------------
     "doc_total": """SELECT d.repo, count(*) AS files, any_value(coalesce(c.n, 0)) AS clusters FROM doc d
         LEFT JOIN (SELECT repo, count(*) AS n FROM cluster GROUP BY repo) c ON d.repo = c.repo GROUP BY d.repo""",
@@ -151,13 +150,11 @@ CTE = {
                 || '</import>' || chr(10) || '      </imports>' END || chr(10)
             || '      <summary>' || summary || '</summary>' || chr(10) || '    </module>' AS xml
         FROM doc d JOIN doc_summary s ON d.repo = s.repo AND d.path = s.path""",
-    "cluster_xml": """SELECT c.repo, 5 AS section, c.representative AS name, '    <cluster id="' || cluster_id
-            || '" representative="' || c.representative || '" threshold="0.85" fingerprint="' || fingerprint || '">' || chr(10)
-            || '      <members>' || chr(10)
-            || string_agg('        <member>' || m.member || '</member>' || chr(10), '' ORDER BY m.member)
-            || '      </members>' || chr(10) || '    </cluster>' AS xml
-        FROM cluster c JOIN member m ON c.repo = m.repo AND c.representative = m.representative
-        GROUP BY c.repo, c.representative, cluster_id, fingerprint""",
+    "cluster_xml": """SELECT repo, 5 AS section, representative AS name, '    <cluster id="' || cluster_id
+            || '" representative="' || representative || '" threshold="0.85" fingerprint="' || fingerprint || '">' || chr(10)
+            || '      <members>' AS xml FROM cluster
+        UNION ALL SELECT repo, 5, representative, '      </members>' || chr(10) || '    </cluster>' FROM cluster
+        UNION ALL SELECT repo, 5, representative, '        <member>' || member || '</member>' FROM member""",
     "context_line": """SELECT repo, 0 AS section, '' AS name, '## Codebase Context' AS line FROM plain_total
         UNION ALL SELECT repo, 1, '', 'Repository: ' || repo FROM plain_total
         UNION ALL SELECT t.repo, 2, '', 'Files: ' || files || ' | Dependencies: '
@@ -175,17 +172,25 @@ CTE = {
     "tag": r"""SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM (
         SELECT page_id, regexp_extract_all(regexp_replace(html,
             '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
-            '(?i)</?(?:html|head|title|body|nav|ul|li|div|a|article|h1|footer)\b') AS tags FROM pages)""",
-    "event": """SELECT page_id, pos, tag, tag NOT LIKE '</%' AS opens,
-            sum(CASE WHEN tag NOT LIKE '</%' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY pos)
-            + CASE WHEN tag NOT LIKE '</%' THEN 0 ELSE 1 END AS depth FROM tag""",
-    "raw_node": """SELECT page_id, pos, lower(tag[2:]) AS type, depth,
-            (SELECT max(b.pos) FROM event b WHERE b.page_id = e.page_id AND b.opens AND b.depth = e.depth - 1 AND b.pos < e.pos) AS parent,
-            (SELECT min(b.pos) FROM event b WHERE b.page_id = e.page_id AND NOT b.opens AND b.depth = e.depth AND b.pos > e.pos) AS closing
+            '</?[A-Za-z][A-Za-z0-9]*') AS tags FROM pages)""",
+    "nested": """SELECT page_id, pos, tag NOT LIKE '</%' AS opens, lower(ltrim(tag, '</')) AS type,
+            sum(CASE WHEN tag NOT LIKE '</%' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, lower(ltrim(tag, '</')) ORDER BY pos)
+            + CASE WHEN tag NOT LIKE '</%' THEN 0 ELSE 1 END AS nesting FROM tag""",
+    "filled": """SELECT *, coalesce(CASE WHEN opens THEN NOT lead(opens) OVER alike ELSE lag(opens) OVER alike END, false) AS filled
+        FROM nested WINDOW alike AS (PARTITION BY page_id, type, nesting ORDER BY pos)""",
+    "event": """SELECT page_id, pos, type, opens, filled, type IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link',
+                'meta', 'source', 'track', 'wbr') AS void,
+            sum(CASE WHEN opens AND filled THEN 1 WHEN filled THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos)
+            + CASE WHEN opens AND filled THEN 0 ELSE 1 END AS depth FROM filled WHERE opens OR filled""",
+    "raw_node": """SELECT page_id, pos, type, depth,
+            (SELECT max(b.pos) FROM event b WHERE b.page_id = e.page_id AND b.opens AND b.pos < e.pos
+                AND (b.filled AND b.depth = e.depth - 1 OR NOT b.filled AND NOT b.void AND b.depth = e.depth)) AS parent,
+            CASE WHEN void AND NOT filled THEN pos ELSE (SELECT min(b.pos) FROM event b WHERE b.page_id = e.page_id AND NOT b.opens
+                AND b.depth = CASE WHEN e.filled THEN e.depth ELSE e.depth - 1 END AND b.pos > e.pos) END AS closing
         FROM event e WHERE opens""",
     "node": """SELECT CAST(page_id AS VARCHAR) AS tree_id, CAST(pos AS BIGINT) AS node_id, CAST(parent AS BIGINT) AS parent_id, type,
             row_number() OVER (PARTITION BY page_id, parent ORDER BY pos) AS child_ord,
-            row_number() OVER (PARTITION BY page_id ORDER BY coalesce(closing, 1099511627776 - depth) DESC) AS visit_ord
+            row_number() OVER (PARTITION BY page_id ORDER BY coalesce(closing, 1099511627776) DESC, pos) AS visit_ord
         FROM raw_node""",
     "h0": "SELECT *, sha1(type) AS h FROM node",
 }
@@ -299,6 +304,7 @@ _CANDIDATES = """SELECT repo, path, pos, unnest(range(len(c))) AS ord, unnest(c)
 _SELECTS = {
     "filter_extension": _kept("place NOT IN (3, 4)"),
     "filter_ignored": _kept(f"NOT ({_IGNORED})"),
+    "select_files": _kept(f"place NOT IN (0, 3, 4, 5) AND NOT ({_IGNORED})"),
     "filter_tests": _kept("place NOT IN (0, 5)"),
     "filter_filenames": _kept("place <> 4"),
     "count_source_files": """SELECT repo, count(*) AS source_files FROM scattered
@@ -312,7 +318,7 @@ _SELECTS = {
     "extract_functions_js": f"{_SYMBOL} fn WHERE path NOT LIKE '%.py'",
     "extract_ts_types": f"{_SYMBOL} ts_types UNION ALL {_SYMBOL} exported",
     "extract_structure": """SELECT repo, path, kind, count(*) AS n, string_agg(name, '|' ORDER BY pos) AS names FROM (
-        SELECT * FROM fn UNION ALL SELECT * FROM cls UNION ALL SELECT * FROM exported
+        SELECT * FROM fn UNION ALL SELECT * FROM cls UNION ALL SELECT * FROM exported UNION ALL SELECT * FROM ts_types
         UNION ALL SELECT repo, path, 'imports', pos, text FROM imp) GROUP BY repo, path, kind""",
     "module_name": """SELECT repo, path, pos, CASE WHEN text LIKE 'from parts%' THEN 'parts.' || regexp_extract(text, 'part_[0-9]+')
         WHEN text LIKE 'from tools%' THEN 'tools' ELSE text[8:] END AS module FROM imp WHERE k % 2 = 0""",
@@ -330,13 +336,15 @@ _SELECTS = {
         FROM code c LEFT JOIN imp i ON c.repo = i.repo AND c.path = i.path GROUP BY c.repo, c.path""",
     "html_tree_nodes": "SELECT tree_id, node_id, parent_id, child_ord, visit_ord, type FROM node",
     "subtree_hash": "SELECT tree_id, node_id, h FROM h4",
-    "fingerprint_set": "SELECT DISTINCT tree_id, h FROM h4 WHERE visit_ord <= 5000",
+    "fingerprint_set": "SELECT DISTINCT tree_id, h FROM h4 ",
     "shape_shingles": _shingle_sql(),
     "jaccard": """SELECT e.repo, e.src, e.dst, round(len(list_intersect(a.lines, b.lines))
             / len(list_distinct(list_concat(a.lines, b.lines))), 6) AS similarity
         FROM doc_edge e JOIN doc_set a ON e.repo = a.repo AND e.src = a.path JOIN doc_set b ON e.repo = b.repo AND e.dst = b.path""",
-    "similar_pairs": """SELECT repo, u, v, round(similarity, 6) AS similarity FROM pair
-        UNION ALL SELECT repo, v, path, 1.0 FROM class_of WHERE path <> v""",
+    "similar_pairs": """SELECT m.repo, representative AS opener, member, round(len(list_intersect(a.lines, b.lines))
+            / len(list_distinct(list_concat(a.lines, b.lines))), 6) AS similarity
+        FROM member m JOIN doc_set a ON m.repo = a.repo AND m.member = a.path
+        JOIN doc_set b ON m.repo = b.repo AND m.representative = b.path WHERE representative <> member""",
     "greedy_cluster": "SELECT repo, representative, member FROM member",
     "cluster_ids": "SELECT repo, cluster_id, representative, size, threshold, fingerprint FROM cluster",
     "summary_prompt": f"""SELECT repo, path, md5({_PROMPT}) AS prompt_md5, length({_PROMPT}) AS chars FROM doc_content""",
@@ -351,13 +359,15 @@ _SELECTS = {
         FROM summary""",
     "incremental_summaries": f"""SELECT DISTINCT event_type || '|users/user_' || user_id || '.py|' || epoch(ts::DATE)::BIGINT
             || '|{VERSION}' AS key,
-        'Module user_' || user_id || ' with 0 functions, 0 classes. Depends on: events.' AS summary FROM events""",
+        'Module user_' || user_id || ' with 1 functions, 0 classes. Depends on: ' || event_type || '.' AS summary FROM events""",
     "count_tokens": "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents",
     "raw_tokens": "SELECT repo, raw_tokens FROM raw",
-    "build_artifact": "SELECT repo, CAST(section AS BIGINT) AS section, name, xml FROM plain_xml",
-    "scan_artifact": """SELECT repo, 'edge' AS kind, src AS a, dst AS b FROM doc_edge
+    "build_artifact": "SELECT repo, CAST(section AS BIGINT) AS section, name, xml FROM full_xml",
+    "scan_artifact": f"""SELECT repo, 'edge' AS kind, src AS a, dst AS b FROM doc_edge
         UNION ALL SELECT repo, 'module', path, summary FROM doc_summary
-        UNION ALL SELECT repo, 'member', representative, member FROM member""",
+        UNION ALL SELECT repo, 'member', representative, member FROM member
+        UNION ALL SELECT repo, CASE WHEN dst IS NULL THEN 'leaf' ELSE 'node' END, path, NULL FROM doc_graph
+        UNION ALL SELECT repo, 'files', CAST(files AS VARCHAR), '{STAMP}' FROM plain_total""",
     "artifact_size": "SELECT repo, artifact_tokens, artifact_bytes FROM size",
     "compression_ratio": """SELECT repo, raw_tokens, artifact_tokens, round(artifact_tokens / raw_tokens, 6) AS compression_ratio
         FROM metric""",
@@ -365,13 +375,17 @@ _SELECTS = {
     "artifact_status": f"""SELECT repo, count(*) AS modules, count(*) AS files,
         CAST((SELECT count(*) FROM imp i WHERE i.repo = c.repo AND dst IS NOT NULL) AS BIGINT) AS edges, '{STAMP}' AS generated_at
         FROM code c GROUP BY repo""",
-    "context_block": "SELECT repo, CAST(0 AS BIGINT) AS chunk, text FROM context",
-    "prompt_pairs": """SELECT q.repo || '_q' || q_no AS id, question, question AS baseline_prompt, CAST(0 AS BIGINT) AS part,
-        text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || question AS context_prompt,
-        CAST(ceil(length(text) / 4.0) AS BIGINT) AS context_tokens FROM question q JOIN context c ON q.repo = c.repo""",
-    "write_prompts": """SELECT q.repo, q.repo || '_q' || q_no AS id,
-        md5(text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || question) AS prompt_md5
+    "context_block": """SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY section, name) AS BIGINT) AS no, line
+        FROM context_line""",
+    "prompt_pairs": """SELECT q.repo || '_q' || q_no AS id, question, question AS baseline_prompt,
+        chr(10) || chr(10) || '---' || chr(10) || chr(10) || question AS context_suffix,
+        CAST(ceil(length(text) / 4.0) AS BIGINT) AS context_tokens,
+        CAST(ceil((length(text) + length(question) + 7) / 4.0) AS BIGINT) AS prompt_tokens
         FROM question q JOIN context c ON q.repo = c.repo""",
+    "write_prompts": """SELECT repo, CAST(row_number() OVER (PARTITION BY repo ORDER BY section, name) AS VARCHAR) AS id, md5(line) AS text_md5
+        FROM context_line
+        UNION ALL SELECT q.repo, q.repo || '_q' || q_no,
+        md5(chr(10) || chr(10) || '---' || chr(10) || chr(10) || question) FROM question q JOIN context c ON q.repo = c.repo""",
     "avg_context_tokens": """SELECT count(*) AS questions, round(avg(ceil(length(text) / 4.0)), 6) AS avg_context_tokens
         FROM question q JOIN context c ON q.repo = c.repo""",
 }

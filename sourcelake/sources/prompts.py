@@ -1,24 +1,13 @@
-"""Prompt pairs as JSON."""
+"""Prompts as JSON."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-QUESTIONS_PER_RECORD = 20
 
-
-def nested_prompts(prompts: DataFrame, per_record: int = QUESTIONS_PER_RECORD) -> DataFrame:
-    """``(repo, part, block, questions)``: pairs nested per repository.
-
-    A repository with many questions, or with prompts of several parts, takes
-    several records, each of bounded length."""
-    entry = F.struct("q_no", "id", "question", "baseline_prompt", "context_prompt", "context_tokens")
-    return (
-        prompts.groupBy("repo", "part", F.floor((F.col("q_no") - 1) / per_record).cast("int").alias("block"))
-        .agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("q_no")).alias("questions"))
-    )
-
-
-def write_prompts(prompts: DataFrame, path: str) -> None:
-    nested_prompts(prompts).write.json(path)
+def write_prompts(context: DataFrame, prompts: DataFrame, path: str) -> None:
+    """Write ``path/context``, a record per context line, and ``path/questions``,
+    a record per question: the prompt with context is the repository's lines
+    in order, joined by newlines, and the question's ``context_suffix``."""
+    context.select("repo", "no", "line").write.json(f"{path}/context")
+    prompts.write.json(f"{path}/questions")

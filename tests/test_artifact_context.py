@@ -26,11 +26,13 @@ def run(spark):
     return analyze(files, generated_at=F.lit(STAMP))
 
 
+def assembled(fragments):
+    return "\n".join(r.xml for r in fragments.orderBy(*artifact.ORDER).collect())
+
+
 @pytest.fixture(scope="module")
 def document(run):
-    docs, rest = artifact.assemble(run.fragments)
-    assert rest.isEmpty()
-    return docs.first().xml
+    return assembled(run.fragments)
 
 
 def test_structures_and_clusters(run):
@@ -88,51 +90,65 @@ def test_escaping(spark):
     graph = spark.createDataFrame([('r"<', 'a&"\n.py', ["b<.py"])], "repo string, path string, depends_on array<string>")
     modules = spark.createDataFrame([('r"<', 'a&"\n.py', [], ["f"], ["import <x> & 'y'"], "")],
                                     "repo string, path string, classes array<string>, functions array<string>, imports array<string>, summary string")
-    docs, _ = artifact.assemble(artifact.build_artifact(graph, modules, generated_at=F.lit(STAMP)))
-    root = ET.fromstring(docs.first().xml)
+    root = ET.fromstring(assembled(artifact.build_artifact(graph, modules, generated_at=F.lit(STAMP))))
     assert root.get("repo") == 'r"<' and root.find(".//node").get("name") == 'a&"\n.py'
     assert root.find(".//dep").text == "b<.py" and root.find(".//import").text == "import <x> & 'y'"
     assert root.find("patterns") is None and root.find(".//summary").text is None
 
 
-def test_large_documents_stay_fragments(run):
-    docs, rest = artifact.assemble(run.fragments, max_bytes=100)
-    assert docs.isEmpty() and rest.count() == run.fragments.count()
-
-
-def test_large_clusters_continue(spark):
+def test_cluster_lines(spark):
     members = spark.createDataFrame([("r", "m00", f"m{i:02d}") for i in range(30)], "repo string, representative string, member string")
     clusters = spark.createDataFrame([("r", "cluster_1", "m00", 30, 0.85, "f")], schemas.CLUSTERS)
-    parts = [r.xml for r in artifact.cluster_fragments(clusters, members, per_fragment=10).collect()]
-    assert len(parts) == 3
-    assert sorted(m.text for p in parts for m in ET.fromstring(p).iter("member")) == [f"m{i:02d}" for i in range(30)]
+    fragments = artifact.cluster_fragments(clusters, members)
+    assert fragments.count() == 32
+    cluster = ET.fromstring(assembled(fragments))
+    assert [m.text for m in cluster.iter("member")] == [f"m{i:02d}" for i in range(30)] and cluster.get("id") == "cluster_1"
+
+
+def test_documents_in_parts_are_read_as_one(spark, tmp_path):
+    nodes = [(repo, f"f{i:03d}.py", [f"f{i - 1:03d}.py"] if i else []) for repo in ("a b/c+d", "ü%2F=x") for i in range(60)]
+    graph = spark.createDataFrame(nodes, "repo string, path string, depends_on array<string>")
+    modules = graph.select("repo", "path", F.array().cast("array<string>").alias("classes"), F.array().cast("array<string>").alias("functions"),
+                           F.array().cast("array<string>").alias("imports"), F.lit("s").alias("summary"))
+    members = graph.select("repo", F.lit("f000.py").alias("representative"), F.col("path").alias("member"))
+    clusters = spark.createDataFrame([(r, "cluster_1", "f000.py", 60, 0.85, "f") for r in ("a b/c+d", "ü%2F=x")], schemas.CLUSTERS)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_artifact(artifact.build_artifact(graph, modules, clusters, members, generated_at=F.lit(STAMP)), str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert len(list((tmp_path / "out").rglob("part-*"))) > 2
+    loaded = scan_artifact(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, loaded.metadata.collect())) == [("a b/c+d", 60, STAMP), ("ü%2F=x", 60, STAMP)]
+    for table, n in ((loaded.nodes, 60), (loaded.edges, 59), (loaded.modules, 60), (loaded.clusters, 60)):
+        assert sorted(map(tuple, table.groupBy("repo").count().collect())) == [("a b/c+d", n), ("ü%2F=x", n)]
 
 
 def test_context_and_prompts(spark, run, tmp_path):
     lines = run.context_lines()
-    whole = context.context_block(lines).collect()
-    assert len(whole) == 1
-    text = whole[0].text
+    block = context.context_block(lines).orderBy("no").collect()
+    assert [r.no for r in block] == list(range(1, len(block) + 1)) and context.context_block(lines).columns == ["repo", "no", "line"]
+    text = "\n".join(r.line for r in block)
     assert text.startswith("## Codebase Context\nRepository: app\nFiles: 6 | Dependencies: 4\n\n### Architecture\n  a.ts -> util.ts\n")
     assert "  util.ts (leaf)\n\n### Module Summaries\na.ts: Module a with 1 functions, 0 classes." in text
-    chunks = sorted(context.context_block(lines, lines_per_chunk=4).collect(), key=lambda r: r.chunk)
-    assert len(chunks) == 5 and "".join(c.text for c in chunks) == text
 
     questions = spark.createDataFrame([("app", 1, "Why?"), ("app", 2, "How?"), ("gone", 1, "Who?")], schemas.QUESTIONS)
     pairs = {r.id: r for r in context.prompt_pairs(lines, questions).collect()}
     assert sorted(pairs) == ["app_q1", "app_q2"]
-    assert pairs["app_q1"].context_prompt == text + "\n\n---\n\nWhy?" and pairs["app_q1"].baseline_prompt == "Why?"
+    assert pairs["app_q1"].context_suffix == "\n\n---\n\nWhy?" and pairs["app_q1"].baseline_prompt == "Why?"
     assert pairs["app_q1"].context_tokens == -(-len(text) // 4)
-    split = context.prompt_pairs(lines, questions, lines_per_chunk=4).where("q_no = 2").orderBy("part").collect()
-    assert "".join(r.context_prompt for r in split) == text + "\n\n---\n\nHow?"
+    assert pairs["app_q2"].prompt_tokens == -(-len(text + "\n\n---\n\nHow?") // 4)
     average = context.avg_context_tokens(lines, questions).first()
     assert (average.questions, average.avg_context_tokens) == (2, -(-len(text) // 4))
     none = context.avg_context_tokens(lines, questions.where("repo = 'gone'")).first()
     assert (none.questions, none.avg_context_tokens) == (0, 0.0)
 
-    write_prompts(context.prompt_pairs(lines, questions), str(tmp_path / "prompts"))
-    record = spark.read.json(str(tmp_path / "prompts")).first()
-    assert record.repo == "app" and [q.id for q in record.questions] == ["app_q1", "app_q2"]
+    path = str(tmp_path / "prompts")
+    write_prompts(context.context_block(lines), context.prompt_pairs(lines, questions), path)
+    written = spark.read.json(f"{path}/context").where("repo = 'app'").orderBy("no").collect()
+    asked = {r.id: r.context_suffix for r in spark.read.json(f"{path}/questions").collect()}
+    assert "\n".join(r.line for r in written) + asked["app_q2"] == text + "\n\n---\n\nHow?" and sorted(asked) == ["app_q1", "app_q2"]
 
 
 def test_missing_summary(spark):

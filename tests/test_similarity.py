@@ -3,9 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sourcelake.operators.clustering import cluster_ids, greedy_cluster, independent_rounds
+from sourcelake.operators.clustering import cluster_ids, greedy_cluster, independent_rounds, similar_pairs
 from sourcelake.operators.shingles import jaccard
-from sourcelake.operators.similarity import similar_pairs
 
 SETS = "repo string, path string, hashes array<bigint>"
 
@@ -85,27 +84,23 @@ def test_chain_is_not_transitive(spark):
     assert sorted(r.member for r in got) == ["a", "b"]
 
 
-@pytest.mark.parametrize("seed,threshold,block", [(1, 0.85, 512), (2, 0.5, 2), (3, 0.3, 3)])
-def test_similar_pairs_against_brute_force(spark, seed, threshold, block):
+@pytest.mark.parametrize("seed,threshold", [(1, 0.85), (2, 0.5), (3, 0.3)])
+def test_similar_pairs_are_openers_and_members(spark, seed, threshold):
     files = random_files(seed, n=50)
-    got = {(r.repo, r.u, r.v): r.similarity for r in similar_pairs(as_sets(spark, files), threshold, block).collect()}
-    first = {}
-    for (repo, path), h in sorted(files.items()):
-        first.setdefault((repo, frozenset(h)), path)
-    want = {}
-    for (repo, path), h in files.items():
-        mine = first[repo, frozenset(h)]
-        if path != mine:
-            want[repo, mine, path] = 1.0
-            continue
-        for (other, path2), h2 in files.items():
-            if other == repo and path < path2 and first[repo, frozenset(h2)] == path2 and h != h2:
-                s = similarity(h, h2)
-                if s >= threshold:
-                    want[repo, path, path2] = s
+    got = {(r.repo, r.opener, r.member): r.similarity for r in similar_pairs(as_sets(spark, files), threshold).collect()}
+    want = {
+        (repo, first, p): similarity(files[repo, first], files[repo, p])
+        for (repo, first), members in sequential(files, threshold).items() for p in members if p != first
+    }
     assert got == pytest.approx(want)
 
 
+def test_pairs_grow_with_the_family(spark):
+    for n in (60, 120):
+        files = {("r", f"f{i:03d}"): set(range(40)) | {1000 + i} for i in range(n)}
+        assert similar_pairs(as_sets(spark, files), 0.85).count() == n - 1
+
+
 def test_jaccard_of_empty_sets(spark):
     df = spark.createDataFrame([([], []), ([], [1]), ([1, 2], [2, 3])], "a array<int>, b array<int>")
     assert [r[0] for r in df.select(jaccard(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1 / 3]
@@ -118,14 +113,16 @@ def test_cluster_ids_and_fingerprint(spark):
     df = spark.createDataFrame(members, "repo string, representative string, member string")
     got = {(r.repo, r.cluster_id): r for r in cluster_ids(df, 0.85).collect()}
     assert sorted(got) == [("r", "cluster_1"), ("r", "cluster_2"), ("s", "cluster_1")]
-    assert got["r", "cluster_2"].fingerprint == hashlib.sha1(b"c|c|d").hexdigest()
+    digests = [hashlib.sha1(m).hexdigest() for m in (b"c", b"d")]
+    sums = [str(sum(int(d[8 * i:8 * i + 8], 16) for d in digests)) for i in range(5)]
+    assert got["r", "cluster_2"].fingerprint == hashlib.sha1("|".join(["c", "2", *sums]).encode()).hexdigest()
     assert got["s", "cluster_1"].size == 2
 
 
-def test_large_cluster_fingerprint_depends_on_all_members(spark):
+def test_cluster_fingerprint_depends_on_all_members(spark):
     base = [("r", "m000", f"m{i:03d}") for i in range(50)]
     schema = "repo string, representative string, member string"
-    digest = lambda rows: cluster_ids(spark.createDataFrame(rows, schema), 0.85, block=10).first().fingerprint
+    digest = lambda rows: cluster_ids(spark.createDataFrame(rows, schema), 0.85).first().fingerprint
     assert digest(base) == digest(base[::-1]) != digest(base[:-1] + [("r", "m000", "other")])
 
 

@@ -111,9 +111,9 @@ def test_typescript(spark):
         'export default function main<T extends { x: number }>(p: T): string { if (p) { return "}"; } return `}`; }',
         "export function over(a: string): string;",
         "export function over(a: any): any { return a; }",
-        "export const arrow = (x: number) => {\n  return x;\n};",
+        "export const arrow = (x: number) => {",
         'export interface Shape { kind: "circle" | "square" }',
-        'export type Union =\n  | "a"\n  | "b";',
+        "export type Union =",
         "export const enum Color { Red, Green }",
         "export abstract class Base { abstract f(): void; }",
     ]
@@ -156,3 +156,14 @@ def test_symbols_long_form(spark, rows):
     assert rows(long) == [
         ("r", "m.py", "classes", 0, "C"), ("r", "m.py", "imports", 0, "import a"), ("r", "m.py", "imports", 1, "import b"),
     ]
+
+
+def test_no_depth_is_too_deep(spark):
+    deep = "[" * 60 + "]" * 60
+    code = (
+        f"export const a = {deep};\n" + " " * 70 + "export const b = 1;\nexport {\n  c,\n  d,\n} from './x';\n"
+        f"function far(p = {'(' * 12}1{')' * 12}) {{\n  return p;\n}}\nexport * as ns from \"./y\";\n// export const no = 1;\n"
+    )
+    r = structure.extract_structure(spark.createDataFrame([("r", "a.ts", code, None)], schemas.FILES)).first()
+    assert r.exports == [f"export const a = {deep};", "export const b = 1;", "export {\n  c,\n  d,\n} from './x';", 'export * as ns from "./y";']
+    assert r.functions == ["far"]

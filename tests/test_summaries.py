@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sourcelake import schemas
 from sourcelake.operators import structure, summaries
-from sourcelake.sources.cache import import_json_cache, read_cache, write_cache
+from sourcelake.sources.cache import append_cache, import_json_cache, read_cache, write_cache
 
 SHAPE = "path string, classes array<string>, functions array<string>, imports array<string>"
 
@@ -16,7 +16,7 @@ SHAPE = "path string, classes array<string>, functions array<string>, imports ar
     ("x.ts", [], ["h"], ['import { q } from "./util";'], 'Module x with 1 functions, 0 classes. Depends on: util";.'),
     ("x.js", [], [], ["require:./lib/a.js", "require:node:fs"], "Module x with 0 functions, 0 classes. Depends on: a, node:fs."),
     ("x.py", [], [], ["from a import b"], "Module x with 0 functions, 0 classes."),
-    ("x.py", [], [], ["import a.b as c", "from q import r", "import z, y", "import fourth"], "Module x with 0 functions, 0 classes. Depends on: a.b, z,."),
+    ("x.py", [], [], ["import a.b as c", "from q import r", "import z, y", "import fourth"], "Module x with 0 functions, 0 classes. Depends on: a.b, z,, fourth."),
     ("models.py", ["User", "B"], [], ["from d import e"], "Data models. Defines User and fetch_user for DB access."),
     ("models.py", [], [], ["from d import e"], "Data models. Defines entities and fetch_user for DB access."),
     ("d/utils.py", [], [], ["from d import e"], "Utility functions for logging and response formatting."),
@@ -29,7 +29,7 @@ def test_template(spark, path, classes, functions, imports, expected):
 
 def test_prompt(spark):
     files = spark.createDataFrame([("r", "a.py", "import x\nclass A: pass\n", None)], schemas.FILES)
-    text = summaries.summary_prompt(files, structure.extract_structure(files)).first().prompt
+    text = summaries.summary_prompt(structure.extract_structure(files, keep_content=True)).first().prompt
     assert text.startswith("Summarize this Python module for a codebase overview artifact.\n\nFile: a.py\n\nStructure:\n"
                            "Classes: ['A']\nFunctions: []\nImports: ['import x']\n\nSource code:\n```python\nimport x\nclass A: pass\n\n```\n")
     assert text.endswith("not implementation details.\n\nSummary:")
@@ -42,7 +42,7 @@ def test_quoted_like_python(spark):
     assert spark.createDataFrame([(items,)], "a array<string>").select(quoted_list(F.col("a"))).first()[0] == repr(items)
 
 
-def test_cache(spark, rows):
+def test_cache(spark, rows, tmp_path):
     when = datetime(2024, 1, 2, tzinfo=timezone.utc)
     files = spark.createDataFrame([("r", "a.py", "", when), ("r", "b.py", "", when), ("r", "c.py", "", None)], schemas.FILES)
     shape = structure.extract_structure(files)
@@ -51,11 +51,21 @@ def test_cache(spark, rows):
     cache = spark.createDataFrame([(keys["a.py"], "known"), (keys["b.py"], ""), ("old", "kept")], schemas.SUMMARY_CACHE)
     got = {r.path: r.summary for r in summaries.cached_summaries(shape, cache).collect()}
     assert got["a.py"] == "known" and got["b.py"].startswith("Module b") and got["c.py"].startswith("Module c")
-    merged = dict(rows(summaries.cache_upsert(cache, summaries.summarize(shape))))
-    assert merged == {keys["a.py"]: "known", keys["b.py"]: got["b.py"], keys["c.py"]: got["c.py"], "old": "kept"}
-    # a second run changes nothing
-    again = summaries.cache_upsert(spark.createDataFrame(list(merged.items()), schemas.SUMMARY_CACHE), summaries.summarize(shape))
-    assert dict(rows(again)) == merged
+    misses = dict(rows(summaries.cache_misses(cache, shape)))
+    assert misses == {keys["b.py"]: got["b.py"], keys["c.py"]: got["c.py"]}
+    path = write_cache(cache, str(tmp_path / "cache"))
+    for _ in range(2):  # a second run adds nothing
+        append_cache(spark, path, shape)
+        assert read_cache(spark, path).count() == 5
+        merged = dict(rows(summaries.cache_entries(read_cache(spark, path))))
+        assert merged == {keys["a.py"]: "known", keys["b.py"]: got["b.py"], keys["c.py"]: got["c.py"], "old": "kept"}
+
+
+def test_hits_are_not_computed(spark):
+    plan = summaries.cached_summaries(
+        spark.createDataFrame([], schemas.STRUCTURES), spark.createDataFrame([], schemas.SUMMARY_CACHE)
+    )._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Module ") < plan.index("Join ")
 
 
 def test_cache_files(spark, tmp_path, rows):

@@ -74,10 +74,10 @@ def test_html_nodes(spark):
     nodes = {r.node_id: r for r in trees.html_tree_nodes(df, "page_id", "html").collect()}
     types = {n: r.type for n, r in nodes.items()}
     parents = [(types[n], types.get(r.parent_id)) for n, r in sorted(nodes.items())]
-    assert parents == [("html", None), ("head", "html"), ("title", "head"), ("body", "html"), ("div", "body"), ("ul", "div"),
-                       ("li", "ul"), ("li", "ul"), ("div", "body")]
+    assert parents == [("html", None), ("head", "html"), ("title", "head"), ("body", "html"), ("div", "body"), ("p", "div"),
+                       ("br", "p"), ("ul", "p"), ("li", "ul"), ("li", "ul"), ("div", "body")]
     visited = [types[r.node_id] for r in sorted(nodes.values(), key=lambda r: r.visit_ord)]
-    assert visited == ["html", "body", "div", "div", "ul", "li", "li", "head", "title"]
+    assert visited == ["html", "body", "div", "div", "p", "ul", "li", "li", "br", "head", "title"]
     assert [r.child_ord for r in sorted(nodes.values(), key=lambda r: r.node_id) if r.type == "li"] == [1, 2]
 
 
