@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from sourcelake.operators import artifact, clustering, context, graph, metrics, shingles, structure, summaries
 from sourcelake.operators.filters import select_files
@@ -79,12 +78,3 @@ def analyze(
             metrics.pipeline_metrics(structures, nodes, clusters, artifact.artifact_size(fragments))
         ),
     )
-
-
-def edge_report(analysis: CorpusAnalysis) -> DataFrame:
-    """Printable graph: one line per node with what it needs from outside."""
-    return analysis.graph.select(
-        "repo", "path",
-        F.array_join("depends_on", ", ").alias("depends_on"),
-        F.array_join("external_imports", ", ").alias("external"),
-    )
