@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +28,7 @@ KEEP_FROM = 0.5
 TRIGRAMS, LANGS, SOURCES = 128, 8, 16
 TEXT_SIZE, META_SIZE = TRIGRAMS + 2, 10 + LANGS + SOURCES
 _CHUNK = 1 << 20
+_BLOCK = 4096
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -113,25 +113,35 @@ class View:
     shift: float = 0.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * np.clip(_ones((x - self.mean) / self.scale) @ self.weights, -20, 20) + self.shift
+        raw = [np.clip(block @ self.weights, -20, 20) for block in _blocks(x, self.mean, self.scale)]
+        return self.slope * np.concatenate([np.empty(0), *raw]) + self.shift
 
 
-def _ones(x: np.ndarray) -> np.ndarray:
-    return np.hstack((x, np.ones((len(x), 1))))
+def _blocks(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> Iterator[np.ndarray]:
+    """Standardised rows with a column of ones, some at a time."""
+    for at in range(0, len(x), _BLOCK):
+        rows = (x[at:at + _BLOCK] - mean) / scale
+        yield np.hstack((rows, np.ones((len(rows), 1))))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
-    weights = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
+def _newton(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights of a logistic model by Newton's steps, which need sums over the rows only."""
+    size = x.shape[1] + 1
+    weights, ridge = np.zeros(size), np.full(size, penalty)
     ridge[-1] = 1e-6
     for _ in range(12):
-        p = sigmoid(x @ weights)
-        bend = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
-        move = np.linalg.solve(bend, x.T @ (w * (y - p)) - ridge * weights)
+        bend, pull, at = np.diag(ridge), -ridge * weights, 0
+        for rows in _blocks(x, mean, scale):
+            part = slice(at, at + len(rows))
+            p = sigmoid(rows @ weights)
+            bend += (rows * (w[part] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ rows
+            pull += rows.T @ (w[part] * (y[part] - p))
+            at += len(rows)
+        move = np.linalg.solve(bend, pull)
         weights += move
         if np.abs(move).max() < 1e-6:
             break
@@ -140,10 +150,11 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.n
 
 def fit_view(x: np.ndarray, y: np.ndarray, w: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> View:
     """Fits on ``x, y`` at weights ``w``, and calibrates on rows held out."""
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    view = View(mean, scale, _newton(_ones((x - mean) / scale), y, w, 3.0))
+    mean, scale = x.mean(axis=0, dtype=np.float64), np.maximum(x.std(axis=0, dtype=np.float64), 1e-3)
+    view = View(mean, scale, _newton(x, mean, scale, y, w, 3.0))
     if 0 < held_y.sum() < len(held_y):
-        slope, shift = _newton(_ones(view.logits(held_x)[:, None]), held_y, np.ones(len(held_y)), 0.1)
+        z = view.logits(held_x)[:, None]
+        slope, shift = _newton(z, np.zeros(1), np.ones(1), held_y, np.ones(len(held_y)), 0.1)
         view = replace(view, slope=max(float(slope), 0.05), shift=float(shift))
     return view
 
@@ -177,16 +188,22 @@ def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np
     return fitted[0], fitted[1]
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.tolist(), np.float64) if len(column) else np.empty((0, 0))
-
-
-def _drawn(rows: DataFrame, most: int) -> pd.DataFrame:
-    """About ``most`` rows at most, by a hash of id and text, in an order that does not depend on where they lie."""
+def _drawn(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views and ``y`` of about ``most`` rows at most, drawn by a hash of id
+    and text, in an order that does not depend on where they lie."""
     total = rows.count()
     part = F.pmod(F.xxhash64("doc_id", "dk"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, total)))
-    found = rows.where(part).toPandas()
-    return found.sort_values(["dk", "doc_id"], kind="stable").reset_index(drop=True)
+    found = rows.where(part).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "dk", "text_view", "meta_view", "y").toArrow().combine_chunks()
+    order = np.lexsort((found["doc_id"].to_numpy(), found["dk"].to_numpy()))
+    return tuple(
+        _flat(found[name]).reshape(-1, size)[order] for name, size in (("text_view", TEXT_SIZE), ("meta_view", META_SIZE))
+    ) + (found["y"].to_numpy()[order],)
+
+
+def _flat(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -206,11 +223,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     known = materialize(views(docs), "views")
     said = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     labelled = _drawn(known.join(said, "doc_id"), MAX_LABELLED)
-    pool = _drawn(known.join(said, "doc_id", "left_anti"), MAX_POOL)
-    models = None
-    if len(labelled):
-        pools = tuple(_matrix(pool[c]).reshape(len(pool), size) for c, size in (("text_view", TEXT_SIZE), ("meta_view", META_SIZE)))
-        models = co_train((_matrix(labelled["text_view"]), _matrix(labelled["meta_view"]), labelled["y"].to_numpy()), pools, rounds)
+    pool = _drawn(known.join(said, "doc_id", "left_anti").withColumn("y", F.lit(0.0)), MAX_POOL)
+    models = co_train(labelled, pool[:2], rounds)
     if models is None:
         none = F.lit(None).cast("double")
         return known.select("doc_id", "dk", none.alias("p_text"), none.alias("p_meta"), none.alias("score"), F.lit(True).alias("keep"))
@@ -218,7 +232,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = lambda name, size: batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)  # noqa: B023, E731
+            at = lambda name, size: _flat(batch.column(name)).reshape(-1, size)  # noqa: B023, E731
             a, b = text_model.logits(at("text_view", TEXT_SIZE)), meta_model.logits(at("meta_view", META_SIZE))
             chances = [np.round(sigmoid(z), 6) for z in (a, b, (a + b) / 2)]
             yield pa.RecordBatch.from_arrays(
