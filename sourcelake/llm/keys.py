@@ -64,8 +64,8 @@ def possible(df: DataFrame, key: Column, among: DataFrame, among_key: Column, ho
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` less the rows whose ``doc_id`` and text hash are those of a row
     of ``dropped`` (``doc_id, dk``).  Only rows that may be among them move."""
-    rows = docs.withColumn("_dk", F.xxhash64(whole_text()))
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64(whole_text()).alias("_dk"))
     clear = possible(rows, F.col("_dk"), dropped, F.col("dk"), "left_anti")
     same = (F.col("d._dk") == F.col("x.dk")) & F.col("d.doc_id").eqNullSafe(F.col("x.doc_id"))
     asked = possible(rows, F.col("_dk"), dropped, F.col("dk")).alias("d").join(dropped.alias("x"), same, "left_anti")
-    return clear.unionByName(asked).select(*docs.columns)
+    return clear.unionByName(asked).select("_row.*")

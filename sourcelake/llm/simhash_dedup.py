@@ -152,10 +152,11 @@ def near_dedup(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataFr
     stay = materialize(
         heads.groupBy("doc_id", group.alias("g")).agg(first).select("doc_id", "first.k1", "first.k2").distinct(), "stay"
     )
-    rows = docs.select(*[F.col(c) for c in docs.columns], *[k.alias(f"_{n}") for n, k in zip(("k1", "k2"), content_keys(whole_text()), strict=True)])
+    k1, k2 = content_keys(whole_text())
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", k1.alias("_k1"), k2.alias("_k2"))
     kept = rows.alias("d").join(
         stay.alias("s"),
         (F.col("d._k1") == F.col("s.k1")) & (F.col("d._k2") == F.col("s.k2")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")),
         "left_semi",
     )
-    return one_of_each(kept, ["doc_id", "_k1", "_k2"], materialize).drop("_k1", "_k2")
+    return one_of_each(kept, ["doc_id", "_k1", "_k2"], materialize).select("_row.*")

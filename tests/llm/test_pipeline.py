@@ -10,7 +10,7 @@ from sourcelake.llm.quality import quality_scores
 from tests.llm import test_decontaminate, test_line_dedup, test_mixing, test_simhash_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, k1 string, _dk string"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, n_lines string, _dk string"
 
 
 def corpus(seed):
@@ -60,6 +60,8 @@ def plain(df):
 def test_columns(stages):
     _, _, docs = stages
     assert all(d.columns == docs[0].columns for d in docs[1:-1])
+    extra = docs[4].where("doc_id < 200").select("_row", "n_lines", "_dk").distinct().collect()
+    assert [tuple(r) for r in extra] == [("r", "k", "d")]
     assert docs[-1].columns == ["doc_id", "size", "source_size", "target", "taken"]
 
 
