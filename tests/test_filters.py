@@ -57,3 +57,22 @@ def test_rules_belong_to_their_repository(spark):
     df = spark.createDataFrame([("r", "a.py"), ("s", "a.py"), ("s", "venv/a.py")], PATHS)
     assert [tuple(r) for r in filters.filter_ignored(df, rules).collect()] == [("s", "a.py")]
     assert kept(filters.filter_ignored(df)) == ["a.py", "a.py"]
+
+
+def test_content_stays_where_it_is(spark):
+    """Rules and ignored directories come to the files; the last matching rule wins within a merged run, too."""
+    rows = [("r", p, "text", None) for p in ("a/x.py", "gen/y.py", "gen/keep.py", "keep/z.py", "b/keep.ts", "top.js")]
+    files = spark.createDataFrame(rows + [("s", "gen/y.py", "text", None)], "repo string, path string, content string, mtime timestamp")
+    ignore = spark.createDataFrame([("r", "gen/\nz*\n*.ts\n!keep.ts\n*.js\n")], "repo string, content string")
+    kept = filters.select_files(files, rules=filters.parse_ignore_rules(ignore))
+    assert sorted((r.repo, r.path) for r in kept.collect()) == [("r", "a/x.py"), ("r", "b/keep.ts"), ("s", "gen/y.py")]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_prompts_read_each_text_once(spark):
+    from sourcelake.operators import structure, summaries
+
+    files = spark.createDataFrame([("r", "a.py", "import x\n", None)], "repo string, path string, content string, mtime timestamp")
+    plan = summaries.summary_prompt(structure.extract_structure(files, keep_content=True))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
