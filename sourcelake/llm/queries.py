@@ -62,7 +62,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"), every=True)
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
