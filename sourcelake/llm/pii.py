@@ -118,6 +118,7 @@ _SAID = re.compile(
     rf"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]+(?:\x20{_DOT}\x20[A-Za-z0-9_%+-]+)*\x20{_AT}\x20"
     rf"[A-Za-z0-9-]+(?:\x20{_DOT}\x20[A-Za-z0-9-]+)*\x20{_DOT}\x20[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I,
 )
+_SAID_DOT = re.compile(rf"\x20{_DOT}\x20", re.I)
 _SAID_SIGN = re.compile(rf"\x20(?:(?P<at>{_AT})|{_DOT})\x20", re.I)
 
 
@@ -203,7 +204,7 @@ def undo_spelling(text: str) -> Rewritten:
                 changes.append((m.start(), m.end(), digits))
     for m in _BRACKETS.finditer(text):
         changes.append((m.start(), m.end(), "@" if m["at"] else "."))
-    for m in _SAID.finditer(text) if " dot " in text or " pun" in text or " point " in text else ():
+    for m in _SAID.finditer(text) if _SAID_DOT.search(text) else ():
         changes += [(s.start(), s.end(), "@" if s["at"] else ".") for s in _SAID_SIGN.finditer(text, m.start(), m.end())]
     changes.sort()
     apart, end = [], 0
