@@ -107,16 +107,16 @@ _SPELLED = {
 _WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 _DOT = r"(?:dot|punkt|point|punto)"
 _AT = r"(?:at|arroba|arobase)"
-_GAP = rf"(?:[\x20,-]{{1,3}}|\x20{_DOT}\x20)"
+_GAP = rf"(?:[\x20,-]{{1,3}}|\x20{_DOT}\x20|\.)"
 
 _STRANGE = re.compile(r"[^\x00-\x7f]")
-_TWO_SPELLED = re.compile(rf"\b{_WORD}{_GAP}{_WORD}\b", re.I)
+_SPELLED_NEXT = re.compile(rf"\b{_WORD}{_GAP}(?:{_WORD}\b|[0-9])|[0-9]{_GAP}{_WORD}\b", re.I)
 _RUN = re.compile(rf"\b(?:plus\x20)?(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))+\b", re.I)
-_RUN_PART = re.compile(rf"(?P<plus>plus)|(?P<dot>{_DOT})|(?P<word>{_WORD})|(?P<digits>[0-9]+)", re.I)
+_RUN_PART = re.compile(rf"(?P<plus>plus)|(?P<dot>{_DOT}|\.)|(?P<word>{_WORD})|(?P<digits>[0-9]+)", re.I)
 _BRACKETS = re.compile(rf"\s?[\[({{<]\s?(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s?[\])}}>]\s?", re.I)
 _SAID = re.compile(
-    rf"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]+(?:\x20{_DOT}\x20[A-Za-z0-9_%+-]+)*\x20{_AT}\x20"
-    rf"[A-Za-z0-9-]+(?:\x20{_DOT}\x20[A-Za-z0-9-]+)*\x20{_DOT}\x20[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I,
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20{_DOT}\x20[A-Za-z0-9._%+-]++)*+(?:\x20{_AT}\x20|@)"
+    rf"[A-Za-z0-9-]+(?:(?:\x20{_DOT}\x20|\.)[A-Za-z0-9-]+)*(?:\x20{_DOT}\x20|\.)[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I,
 )
 _SAID_DOT = re.compile(rf"\x20{_DOT}\x20", re.I)
 _SAID_SIGN = re.compile(rf"\x20(?:(?P<at>{_AT})|{_DOT})\x20", re.I)
@@ -187,32 +187,38 @@ def undo_lookalikes(text: str) -> Rewritten:
 
 
 def _run_digits(run: str) -> str | None:
-    """A run of digits in words and figures as figures; None if under three are words."""
+    """A run of digits in words and figures as figures; None if all are figures."""
     out, words = [], 0
     for part in _RUN_PART.finditer(run):
         words += part.lastgroup == "word"
         out.append({"plus": "+", "dot": "."}.get(part.lastgroup) or _SPELLED.get(part[0].lower(), part[0]))
-    return "".join(out) if words > 2 else None
+    return "".join(out) if words else None
+
+
+def undo_brackets(text: str) -> Rewritten:
+    """The signs ``@`` and ``.`` put in brackets."""
+    return rewrite(text, [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETS.finditer(text)])
+
+
+def undo_said(source: Rewritten) -> Rewritten:
+    """The signs ``@`` and ``.`` said in words, in addresses where a dot is
+    said, or was put in brackets: ``at example.com`` is a place."""
+    text, changes = source.text, []
+    if len(source.marks) > 1 or _SAID_DOT.search(text):
+        for m in _SAID.finditer(text):
+            if _SAID_DOT.search(m[0]) or source.back(*m.span())[2]:
+                changes += [(s.start(), s.end(), "@" if s["at"] else ".") for s in _SAID_SIGN.finditer(text, m.start(), m.end())]
+    return rewrite(text, changes)
 
 
 def undo_spelling(text: str) -> Rewritten:
-    """Spelled digits, and the signs ``@`` and ``.`` said in words or put in brackets."""
+    """Runs of digits of which some are spelled."""
     changes = []
-    if _TWO_SPELLED.search(text):
+    if _SPELLED_NEXT.search(text):
         for m in _RUN.finditer(text):
             if (digits := _run_digits(m[0])) is not None:
                 changes.append((m.start(), m.end(), digits))
-    for m in _BRACKETS.finditer(text):
-        changes.append((m.start(), m.end(), "@" if m["at"] else "."))
-    for m in _SAID.finditer(text) if _SAID_DOT.search(text) else ():
-        changes += [(s.start(), s.end(), "@" if s["at"] else ".") for s in _SAID_SIGN.finditer(text, m.start(), m.end())]
-    changes.sort()
-    apart, end = [], 0
-    for change in changes:
-        if change[0] >= end:
-            apart.append(change)
-            end = change[1]
-    return rewrite(text, apart)
+    return rewrite(text, changes)
 
 
 def _bare_phones(text: str) -> list[Span]:
@@ -222,19 +228,29 @@ def _bare_phones(text: str) -> list[Span]:
 def disguised(text: str, found: dict[str, list[Span]]) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` in ``text`` of identifiers that show only after
     the disguises are undone and overlap none of ``found`` of their kind."""
-    first = undo_lookalikes(text)
-    second = undo_spelling(first.text)
-    if len(first.marks) == 1 and len(second.marks) == 1:
+    steps = [undo_lookalikes(text)]
+    steps.append(undo_brackets(steps[-1].text))
+    steps.append(undo_said(steps[-1]))
+    steps.append(undo_spelling(steps[-1].text))
+    if all(len(step.marks) == 1 for step in steps):
         return []
-    spans = plain(second.text)
-    spoken = [s for s in _bare_phones(second.text) if second.back(*s)[2]]
+
+    def back(start: int, end: int) -> tuple[int, int, bool]:
+        changed = False
+        for step in reversed(steps):
+            start, end, new = step.back(start, end)
+            changed |= new
+        return start, end, changed
+
+    last = steps[-1]
+    spans = plain(last.text)
+    spoken = [s for s in _bare_phones(last.text) if last.back(*s)[2]]
     spans["phone"] += [s for s in spoken if not any(a < s[1] and s[0] < b for a, b in spans["phone"] + spans["card"])]
     added = []
     for kind in KINDS:
         for start, end in spans[kind]:
-            a, b, changed = second.back(start, end)
-            a, b, strange = first.back(a, b)
-            if (changed or strange) and not any(x < b and a < y for x, y in found[kind]):
+            a, b, changed = back(start, end)
+            if changed and not any(x < b and a < y for x, y in found[kind]):
                 added.append((a, b, kind))
     return added
 

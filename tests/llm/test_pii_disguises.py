@@ -12,3 +12,30 @@ def added(text):
 ])
 def test_signs_said_in_any_case(source):
     assert added(f"mail {source}, please") == [(source, "email")]
+
+
+@pytest.mark.parametrize("source,kind", [
+    ("jane@corp dot org", "email"),
+    ("jane [at] corp dot org", "email"),
+    ("jane at corp [dot] org", "email"),
+    ("jane at mail.corp dot org", "email"),
+    ("jane dot doe@corp dot org", "email"),
+    ("+49 171 555 one two 34", "phone"),
+    ("+49 171 55 five 12 34", "phone"),
+    ("+4 nine 1 seven 1 five 5 five 1 two 3", "phone"),
+    ("4111 1111 1111 11 one one", "card"),
+    ("4111 1111 1111 111 one", "card"),
+    ("192 dot 168 dot zero dot 1", "ip"),
+    ("192.168.zero.1", "ip"),
+])
+def test_partial_disguises(source, kind):
+    assert added(f"see {source}, please") == [(source, kind)]
+
+
+@pytest.mark.parametrize("text", ["meet me (tomorrow) at example.com", "jane [x] at corp.org", "two 10 one 11", "at one. two. 3", "1.2 and 3.4"])
+def test_places_and_numbers_gain_nothing(text):
+    assert added(text) == []
+
+
+def test_long_dotted_runs_take_linear_time():
+    assert added("x dot y " + "a." * 100_000 + " " + "1." * 100_000 + "one 2 " * 50_000) == []
