@@ -14,7 +14,8 @@ from sourcelake.llm.keys import possible, whole_text, without
 from sourcelake.session import materialize
 
 #: Of the words a mask spans, those marked 1 are hashed; the others may be anything.
-MASKS = ("1110110111", "11011100111", "111001011101")
+#: Wherever the words are that may differ in :data:`MIN_WORDS`, one of these fits between them.
+MASKS = ("11101111", "11010010111", "1101110011")
 #: An overlap counts from so many words on (or a whole item that is shorter) ...
 MIN_WORDS = 13
 #: ... of which this share agrees.
