@@ -16,6 +16,17 @@ from sourcelake.session import materialize
 #: Of the words a mask spans, those marked 1 are hashed; the others may be anything.
 #: Wherever the words are that may differ in :data:`MIN_WORDS`, one of these fits between them.
 MASKS = ("11101111", "11010010111", "1101110011")
+#: The same for whole items that are shorter; those of under five words may not differ.
+SHORT_MASKS = {
+    5: ("1101", "111"),
+    6: ("1111", "110011"),
+    7: ("11111", "111011", "1001111"),
+    8: ("1110111", "11011011", "10111101"),
+    9: ("1111011", "10101111"),
+    10: ("110111", "11100011", "1100011001"),
+    11: ("1110111", "110100111", "1111101", "1000110111"),
+    12: ("11110111", "1110100111", "11011101001", "100111111"),
+}
 #: An overlap counts from so many words on (or a whole item that is shorter) ...
 MIN_WORDS = 13
 #: ... of which this share agrees.
@@ -93,14 +104,20 @@ def _seed_rows(texts: DataFrame, id_columns: list[str], masks, keep) -> DataFram
     return texts.mapInArrow(scan, f"{ids}, pos bigint, seed bigint")
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """``item_id, pos, seed``: every seed of every item; an item shorter than
-    the masks has one over all its words."""
+def item_masks(n: int, fuzzy: bool = False) -> tuple[str, ...]:
+    """The masks for an item of ``n`` words; for one of under :data:`MIN_WORDS`
+    with ``fuzzy`` those that find it wherever its words differ, without it
+    those of :data:`MASKS` that fit and one over all its words."""
+    if n >= MIN_WORDS or not n:
+        return MASKS if n else ()
+    if fuzzy:
+        return SHORT_MASKS.get(n, ("1" * n,))
+    return MASKS if n >= max(map(len, MASKS)) else (*(m for m in MASKS if len(m) <= n), "1" * n)
 
-    def masks(n: int) -> tuple[str, ...]:
-        return MASKS if n >= max(map(len, MASKS)) else (*(m for m in MASKS if len(m) <= n), "1" * n) if n else ()
 
-    return _seed_rows(items, ["item_id"], masks, lambda v: np.ones(len(v), bool))
+def benchmark_seeds(items: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """``item_id, pos, seed``: every seed of every item (:func:`item_masks`)."""
+    return _seed_rows(items, ["item_id"], lambda n: item_masks(n, fuzzy), lambda v: np.ones(len(v), bool))
 
 
 def _verify(tokens: np.ndarray, item: np.ndarray, shift: int) -> int:
@@ -118,7 +135,7 @@ def _verify(tokens: np.ndarray, item: np.ndarray, shift: int) -> int:
     return int(width + np.minimum(np.diff(good), width).sum())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, fuzzy: bool = False) -> DataFrame:
     """``doc_id, dk, item_id, words``: overlaps of documents with items of
     ``benchmark`` (``item_id, text``); ``dk`` is the text's hash, ``words`` the
     largest overlap.
@@ -129,7 +146,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and the words along each are compared, which finds all seeds' substitutions
     and any others."""
     items = materialize(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text().cast("binary").alias("text")), "items")
-    wanted = materialize(benchmark_seeds(items), "item-seeds")
+    wanted = materialize(benchmark_seeds(items, fuzzy), "item-seeds")
     lengths = wanted.sparkSession.sparkContext.broadcast(_short_lengths(items))
     filled = np.zeros(SLOTS, bool)
     low, high = (F.col("seed").bitwiseAND(F.lit(SLOTS - 1)), F.shiftrightunsigned("seed", 40).bitwiseAND(F.lit(SLOTS - 1)))
@@ -145,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return hit
 
     def masks(n: int) -> list[str]:
-        return [m for m in (*MASKS, *("1" * k for k in lengths.value)) if len(m) <= n]
+        return [m for m in dict.fromkeys((*MASKS, *(m for k in lengths.value for m in item_masks(k, fuzzy)))) if len(m) <= n]
 
     dk = F.xxhash64(whole_text()).alias("dk")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), dk, whole_text().cast("binary").alias("text"))
@@ -178,13 +195,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _short_lengths(items: DataFrame) -> list[int]:
-    """Word counts, below the masks' longest span, that some item has: fewer than that span."""
+    """Word counts below :data:`MIN_WORDS` that some item has."""
     n = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]++"))
-    rows = items.select(n.alias("n")).where(f"n between 1 and {max(map(len, MASKS)) - 1}").distinct().collect()
+    rows = items.select(n.alias("n")).where(f"n between 1 and {MIN_WORDS - 1}").distinct().collect()
     return sorted(r.n for r in rows)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, fuzzy: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, contaminated, items, words``:
     the items a document overlaps (:func:`contaminated`), in order, and the
     most words it shares with one.
@@ -192,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     NULL and empty texts and items overlap nothing; rows that repeat are each
     reported; items that repeat under one id count once; an empty table gives
     no rows, an empty benchmark flags none; other columns are ignored."""
-    found = contaminated(docs, benchmark).groupBy("doc_id", "dk").agg(
+    found = contaminated(docs, benchmark, fuzzy).groupBy("doc_id", "dk").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"), F.max("words").alias("words")
     )
     found = materialize(found, "contaminated")
@@ -204,6 +221,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, fuzzy: bool = False) -> DataFrame:
     """``docs`` less every document that overlaps an item; all columns stay."""
-    return without(docs, materialize(contaminated(docs, benchmark).select("doc_id", "dk").distinct(), "contaminated"))
+    return without(docs, materialize(contaminated(docs, benchmark, fuzzy).select("doc_id", "dk").distinct(), "contaminated"))

@@ -72,7 +72,7 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), fuzzy=True)
 
 
 def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,9 +23,18 @@ def found(spark, lengths):
         for misses in combinations(range(n), n // 5):
             owner[len(docs)] = n
             docs.append((len(docs), " ".join(["own", "words", *("other" if i in misses else w for i, w in enumerate(words)), "end"])))
-    out = dc.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    out = dc.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), fuzzy=True)
     return {owner[r.doc_id] for r in out.collect() if list(r["items"]) != [owner[r.doc_id]]}
 
 
 def test_overlaps_are_found_wherever_words_differ(spark):
     assert found(spark, [13, 14]) == set()
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_masks_of_short_items_fit_wherever_words_differ(n):
+    assert [x for x in combinations(range(n), n // 5) if not fits(dc.item_masks(n, fuzzy=True), n, x)] == []
+
+
+def test_short_items_are_found_wherever_words_differ(spark):
+    assert found(spark, range(1, 13)) == set()
