@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelake.llm import decontaminate, exact_dedup, line_dedup, mixing, pii, quality, secrets, simhash_dedup, token_counts, url_filter
+from sourcelake.llm import (
+    decontaminate,
+    exact_dedup,
+    filter_audit,
+    line_dedup,
+    mixing,
+    pii,
+    quality,
+    ranked_search,
+    secrets,
+    simhash_dedup,
+    token_counts,
+    token_files,
+    url_filter,
+)
+from sourcelake.session import fresh_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -87,8 +102,23 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+def op12_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Written and read back."""
+    out = fresh_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), out, end=2)
+    return token_files.with_crc32(token_files.read_tokens(spark, out))
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op6_line_dedup, op7_quality, op8_decontamination, op9_secrets, op10_mixing)
+    f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_pii, op4_url_filters, op5_simhash_near_dedup, op6_line_dedup, op7_quality, op8_decontamination, op9_secrets, op10_mixing, op11_ranked_search, op12_token_files, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {
@@ -133,4 +163,66 @@ ORACLES: dict[str, str] = {
                row_number() OVER best = 1 AS kept, sha256(t) AS text_sha256
         FROM bare WINDOW best AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
     """,
+    "op11_ranked_search": r"""
+        WITH found AS (
+            SELECT row_number() OVER () AS d, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), docs AS (
+            SELECT d, doc_id, terms, len(terms) AS n FROM found WHERE len(terms) > 0
+        ), sums AS (
+            SELECT count(*) AS n_all, sum(n)::BIGINT AS l_all FROM docs
+        ), postings AS (
+            SELECT d, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*) AS tf
+            FROM (SELECT d, doc_id, n, unnest(terms) AS t FROM docs) GROUP BY d, t
+        ), weights AS (
+            SELECT t, floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM postings, sums GROUP BY t
+        ), items AS (
+            SELECT q, item_id, unnest(list_distinct(terms)) AS t FROM (
+                SELECT row_number() OVER () AS q, item_id,
+                       regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+                FROM benchmark)
+        ), scored AS (
+            SELECT q, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all))))::BIGINT AS score
+            FROM items JOIN postings USING (t) JOIN weights USING (t), sums GROUP BY q, d
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
+    "op13_filter_audit": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+        ), cut AS (
+            SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS words FROM texts
+        ), masks AS (
+            SELECT doc_id, part,
+                   [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+                    100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] AS bad
+            FROM cut
+        ), known AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1
+        ), counts AS (
+            SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+            FROM masks LEFT JOIN known USING (doc_id) GROUP BY 1, 2
+        ), orders(name) AS (
+            SELECT '' UNION ALL SELECT name || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE length(name) < 5 AND NOT contains(name, f)
+        ), steps AS (
+            SELECT part, name, step, ascii(name[step]) - 64 AS f, bad, n, good, toxic,
+                   list_bool_or([bad[ascii(name[k]) - 64] FOR k IN range(1, step)]) AS gone
+            FROM counts, (SELECT name FROM orders WHERE length(name) = 5), (SELECT unnest(range(1, 6)) AS step)
+        ), sums AS (
+            SELECT part, name AS filter_order, step::INT AS step, any_value(f) AS f,
+                   coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND NOT bad[f]), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND bad[f]), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (gone AND bad[f]), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (bad[f] AND len(list_filter(bad, lambda b: b)) = 1), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (NOT coalesce(gone, false) AND bad[f]), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (NOT coalesce(gone, false) AND bad[f]), 0)::BIGINT AS toxic_lost
+            FROM steps GROUP BY part, name, step
+        )
+        SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM sums
+    """,
 }
