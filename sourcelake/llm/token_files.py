@@ -5,19 +5,23 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sourcelake.llm.keys import whole_text
-from sourcelake.llm.token_counts import pre_tokenizer
 
 #: Words whose ids a task remembers before it lets go of them, which bounds its memory.
-REMEMBERED = 1 << 18
-#: Ids of one batch of rows that a task hands on.
-BATCH_IDS = 1 << 21
+REMEMBERED = 1 << 19
+#: New words that are encoded together.
+TOGETHER = 1 << 12
+#: Bytes of the texts that a task encodes together.
+RUN_BYTES = 1 << 22
 #: Id after every document.
 END = 2
 
@@ -37,27 +41,59 @@ FORMAT = {
 }
 
 
-def _encoder(path: str, end: int):
-    """A function from a text's bytes to its ids.
-
-    The tokenizer drops white space, so words are encoded once each and remembered."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encode = pre_tokenizer(path).tokenizer.encode
-    seen: dict[bytes, list[int]] = {}
-
-    def ids_of(text: bytes) -> list[int]:
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        ids: list[int] = []
-        for word in text.split():
-            found = seen.get(word)
-            if found is None:
-                found = seen[word] = encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids += found
-        ids.append(end)
-        return ids
-
-    return ids_of
+class WordIds:
+    """Ids of texts by those of their words, each word of which is encoded once and remembered.
+
+    The tokenizer must drop white space, so that no piece spans two words: new
+    words are then encoded together, with spaces between, and the offsets of their
+    pieces tell them apart."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[bytes, list[int]] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self.known]
+        for i in range(0, len(new), TOGETHER):
+            some = new[i:i + TOGETHER]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            first = np.array([a for a, _ in found.offsets], dtype=np.int64)
+            cuts = np.searchsorted(first, starts).tolist()
+            ids = found.ids
+            for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
+                self.known[w] = ids[a:b]
+
+    def encode(self, texts: list[bytes], end: int) -> Iterator[list[int]]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.learn({w for text in texts for w in text.split()})
+        for text in texts:
+            ids = list(chain.from_iterable(map(self.known.__getitem__, text.split())))
+            ids.append(end)
+            yield ids
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
+
+
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Cuts rows into runs of :data:`RUN_BYTES`, or of one row."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > RUN_BYTES:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes)
 
 
 def encoded(docs: DataFrame, path: str, end: int = END, files: int | None = None) -> DataFrame:
@@ -73,7 +109,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, files: int | None = None
     texts = ranged.sortWithinPartitions(*order).withColumn("file", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, start = _encoder(path, end), 0
+        ids_of, start = word_ids(path), 0
 
         def rows(keys: list, file: int, starts: list[int], sizes: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
@@ -84,19 +120,13 @@ def encoded(docs: DataFrame, path: str, end: int = END, files: int | None = None
             )
 
         for batch in batches:
-            keys, starts, sizes, ids, held = [], [], [], [], 0
-            for doc_id, text, file in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "file")), strict=True):
-                found = np.array(ids_of(text), dtype=np.int32)
-                keys.append(doc_id)
-                starts.append(start)
-                sizes.append(len(found))
-                ids.append(found)
-                start, held = start + len(found), held + len(found)
-                if held > BATCH_IDS:
-                    yield rows(keys, file, starts, sizes, ids)
-                    keys, starts, sizes, ids, held = [], [], [], [], 0
-            if keys:
-                yield rows(keys, file, starts, sizes, ids)
+            keys, texts, files = (batch.column(c).to_pylist() for c in ("doc_id", "text", "file"))
+            for a, b in _runs([len(t) for t in texts]):
+                ids = [np.array(found, dtype=np.int32) for found in ids_of.encode(texts[a:b], end)]
+                sizes = [len(found) for found in ids]
+                starts = [start, *(start + n for n in accumulate(sizes))]
+                start = starts.pop()
+                yield rows(keys[a:b], files[a], starts, sizes, ids)
 
     return texts.mapInArrow(encode, SCHEMA)
 
@@ -115,14 +145,14 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
     """``doc_id, start, n_tokens, tokens`` of what :func:`write_tokens` wrote;
     ``start`` counts the ids of all documents before.
 
-    Files hold starts within themselves; a row per file, summed from the
-    metadata columns, has the rest.  A filter on ``doc_id`` reaches the
+    Files hold starts within themselves; a row per file, of which there are as many as
+    shuffle partitions, is summed from the metadata columns and has the rest.  A filter on ``doc_id`` reaches the
     files' row groups and pages, and ``tokens`` is read only if it is asked for."""
     rows = spark.read.schema(SCHEMA).parquet(out)
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return rows.join(offsets, "file").select("doc_id", (F.col("offset") + F.col("file_start")).alias("start"), "n_tokens", "tokens")
+    return rows.join(F.broadcast(offsets), "file").select("doc_id", (F.col("offset") + F.col("file_start")).alias("start"), "n_tokens", "tokens")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:

@@ -48,14 +48,24 @@ def test_round_trip(spark, tmp_path):
     assert ids == [w[0] for w in want] and len(glob.glob(f"{out}/*.parquet")) == 3
 
 
-def test_batches_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tf, "BATCH_IDS", 50)
+def test_runs_of_a_task_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "RUN_BYTES", 50)
+    monkeypatch.setattr(tf, "TOGETHER", 3)
     rows = sample(2, 60)
     tf.write_tokens(spark.createDataFrame(rows, SCHEMA), PATH, str(tmp_path / "ids"))
     got = tf.with_crc32(tf.read_tokens(spark, str(tmp_path / "ids"))).collect()
     assert sorted(map(tuple, got), key=repr) == sorted((w[:4] for w in brute(rows)), key=repr)
 
 
+def test_words_encoded_together_are_those_of_the_library():
+    random.seed(6)
+    signs = [chr(c) for c in [*range(33, 0x250), 0x300, 0x301, 0x2003, 0x3000, 0x4f60, 0xfb01, 0x1f926]] + list("stmdrvel'" * 30)
+    words = ["".join(random.choices(signs, k=random.randint(1, 9))).encode() for _ in range(5000)]
+    ours, library = tf.WordIds(PATH), Tokenizer.from_file(PATH)
+    ours.learn(set(words))
+    assert all(ours.known[w] == library.encode(w.decode(), add_special_tokens=False).ids for w in words)
+
+
 def test_format(spark, tmp_path):
     """Lists by dictionary, numbers as deltas, several row groups, a page index."""
     docs = spark.range(40_000).selectExpr("id AS doc_id", "concat('word ', id % 97, ' other ', id % 89) AS text")
