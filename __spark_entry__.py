@@ -15,6 +15,7 @@ from sourcelake.functions.text import count_tokens  # noqa: E402
 from sourcelake.operators import (
     artifact,
     clustering,
+    code_trees,
     context,
     filters,
     graph,
@@ -141,6 +142,24 @@ def q_fingerprint_set(spark, sf):
     return trees.fingerprint_set(trees.subtree_hash(_pages(spark, sf)))
 
 
+def q_code_tree_nodes(spark, sf):
+    nodes = code_trees.code_tree_nodes(corpus.code_files(spark, sf))
+    return nodes.select(
+        "tree_id.repo", "tree_id.path", "node_id", "parent_id", F.col("child_ord").cast("bigint").alias("child_ord"), "visit_ord", "type"
+    )
+
+
+def q_code_fingerprints(spark, sf):
+    """Structural fingerprints of code: subtree hashes of its block trees."""
+    sets = trees.fingerprint_set(trees.subtree_hash(code_trees.code_tree_nodes(corpus.code_files(spark, sf))))
+    return sets.select("tree_id.repo", "tree_id.path", "h")
+
+
+def q_code_clusters(spark, sf):
+    """Files of code clustered by their structural trees."""
+    return clustering.greedy_cluster(code_trees.tree_fingerprints(corpus.code_files(spark, sf)), THRESHOLD).select("repo", "representative", "member")
+
+
 def q_shape_shingles(spark, sf):
     documents = corpus.spread(corpus.table(spark, sf, "documents"), "doc_id")
     tokens = documents.select("doc_id", shingles.shape_tokens(F.col("text")).alias("t"))
@@ -275,6 +294,21 @@ def q_pipeline_metrics(spark, sf):
     return _artifact(spark, sf).metrics.drop("compression_ratio")
 
 
+def q_selected_pipeline(spark, sf):
+    """The whole run from a tree of files: selection by suffix, ignore rules, test
+    directories and lock files, then clusters by block trees."""
+    files = corpus.scattered_files(spark, sf)
+    rules = filters.parse_ignore_rules(corpus.ignore_files(corpus.scattered_paths(spark, sf)))
+    run = analyze(files, rules=rules, threshold=THRESHOLD, generated_at=F.lit(STAMP))
+    return run.metrics.select("repo", "files", "edges", "clusters", "largest_cluster", "raw_tokens")
+
+
+def q_rejected_files(spark, sf):
+    """Selected files of no known language, set aside instead of ending the run."""
+    paths = corpus.scattered_paths(spark, sf).withColumn("content", F.lit(""))
+    return structure.split_languages(paths)[1].select("repo", "path")
+
+
 def q_compression_ratio(spark, sf):
     return _artifact(spark, sf).metrics.select("repo", "raw_tokens", "artifact_tokens", F.round("compression_ratio", 6).alias("compression_ratio"))
 
@@ -352,6 +386,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "html_tree_nodes": q_html_tree_nodes,
         "subtree_hash": q_subtree_hash,
         "fingerprint_set": q_fingerprint_set,
+        "code_tree_nodes": q_code_tree_nodes,
+        "code_fingerprints": q_code_fingerprints,
+        "code_clusters": q_code_clusters,
         "shape_shingles": q_shape_shingles,
         "jaccard": q_jaccard,
         "similar_pairs": q_similar_pairs,
@@ -373,6 +410,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "artifact_size": q_artifact_size,
         "compression_ratio": q_compression_ratio,
         "pipeline_metrics": q_pipeline_metrics,
+        "selected_pipeline": q_selected_pipeline,
+        "rejected_files": q_rejected_files,
         "artifact_status": q_artifact_status,
         "context_block": q_context_block,
         "prompt_pairs": q_prompt_pairs,

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PY_ORDER = '''"""Order {k}.
+PY_ORDER = '''"""Order {k}.
 import decoy_{k}
 def decoy():
 """
@@ -33,9 +33,9 @@ async def load_{k}(key):
     # def commented(): pass
     return key
 {extra}'''
-_PY_WIDE = "from tools import (  # several\n    first,\n    second,\n)\n"
-_PY_EXTRA = "\n\ndef extra_{k}():\n    import json\n    return json\n"
-_TS_ORDER = '''/* Order {k}
+PY_WIDE = "from tools import (  # several\n    first,\n    second,\n)\n"
+PY_EXTRA = "\n\ndef extra_{k}():\n    import json\n    return json\n"
+TS_ORDER = '''/* Order {k}
 import decoy from "./decoy";
 */
 // export function commented() {}
@@ -54,7 +54,7 @@ export function load{k}(key: Key{k}): Key{k} {
   return key;
 }
 '''
-_JS_ORDER = '''"use strict";
+JS_ORDER = '''"use strict";
 {imports}const fs = require("fs");
 
 class Order{k} {
@@ -68,9 +68,9 @@ function load{k}(key) {
 
 module.exports = { Order{k}, load{k} };
 '''
-_PY_PART = "class Item:\n    def price(self):\n        return {k}\n"
-_TS_PART = "export class Item {\n  price(): number { return {k}; }\n}\n"
-_JS_PART = "class Item {\n  price() { return {k}; }\n}\n\nmodule.exports = { Item };\n"
+PY_PART = "class Item:\n    def price(self):\n        return {k}\n"
+TS_PART = "export class Item {\n  price(): number { return {k}; }\n}\n"
+JS_PART = "class Item {\n  price() { return {k}; }\n}\n\nmodule.exports = { Item };\n"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,14 +113,14 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "items", lambda x: F.concat(F.lit(before), x["l_partkey"].cast("string"), F.lit(after))
     ), ""), F.lit(""))
     python = _render(
-        _PY_ORDER,
+        PY_ORDER,
         imports=statement("from parts.part_", " import Item\n"),
-        wide=F.when(key % 5 == 0, F.lit(_PY_WIDE)).otherwise(F.lit("")),
-        extra=F.when(key % 3 == 0, F.lit(_PY_EXTRA)).otherwise(F.lit("")),
+        wide=F.when(key % 5 == 0, F.lit(PY_WIDE)).otherwise(F.lit("")),
+        extra=F.when(key % 3 == 0, F.lit(PY_EXTRA)).otherwise(F.lit("")),
         k=k,
     )
-    typescript = _render(_TS_ORDER, imports=statement('import { Item } from "../parts/part_', '";\n'), k=k)
-    javascript = _render(_JS_ORDER, imports=statement('require("../parts/part_', '");\n'), k=k)
+    typescript = _render(TS_ORDER, imports=statement('import { Item } from "../parts/part_', '";\n'), k=k)
+    javascript = _render(JS_ORDER, imports=statement('require("../parts/part_', '");\n'), k=k)
     which = key % 4
     return rows.select(
         _repo(key).alias("repo"),
@@ -148,9 +148,9 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     none = F.lit(None).cast("struct<path:string,content:string>")
     variants = F.array(
-        F.when(plain, entry(".py", _PY_PART)).otherwise(entry("/__init__.py", _PY_PART)),
-        F.when(key % 16 == 0, entry("/__init__.py", _PY_PART)).otherwise(none),
-        F.when(plain, entry(".ts", _TS_PART)).otherwise(entry("/index.js", _JS_PART)),
+        F.when(plain, entry(".py", PY_PART)).otherwise(entry("/__init__.py", PY_PART)),
+        F.when(key % 16 == 0, entry("/__init__.py", PY_PART)).otherwise(none),
+        F.when(plain, entry(".ts", TS_PART)).otherwise(entry("/index.js", JS_PART)),
     )
     return (
         spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
@@ -221,6 +221,14 @@ def scattered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(_repo(key).alias("repo"), path.alias("path"))
 
 
+def scattered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order files of :func:`code_files` at the places of :func:`scattered_paths`, and its part files."""
+    key = lambda path: F.regexp_extract(path, r"(?:order_|keep_|orders/)(\d+)", 1)
+    orders = order_files(spark, sf_dir).withColumn("k", key(F.col("path"))).drop("path")
+    placed = scattered_paths(spark, sf_dir).select(key(F.col("path")).alias("k"), "path").join(orders, "k")
+    return placed.select("repo", "path", "content", "mtime").unionByName(part_files(spark, sf_dir))
+
+
 IGNORE_TEXT = "# generated\n\ntemp\nx/*\n!keep_*\ngen_0/\ndeep/**/out/\n*.spec.?s\n/logs/order_*[02468].*\n"
 
 

@@ -1,18 +1,35 @@
 """SQL that recomputes each benchmark query from the relational tables.
 
-None of it parses rendered code: names, imports and edges come from the keys
+Only the block trees parse rendered code: names, imports and edges come from the keys
 the corpus was rendered from (see ``corpus``).  The similarity queries compare
 whole line sets and cluster one vertex at a time.
 """
 
 from __future__ import annotations
 
+from sourcelake.operators.code_trees import JS_KEYWORDS, PY_KEYWORDS
+from sourcelake.plans import corpus
+
 # The wording of summaries, prompts, context and documents in this module.
 THRESHOLD = 0.85
 STAMP = "2024-01-01T00:00:00Z"
 VERSION = "sourcelake-1"
 LEAF = "Leaf dependency with no internal imports."
 
+
+
+def _text(template: str) -> str:
+    return "'" + template.replace("'", "''") + "'"
+
+
+def _filled(template: str) -> str:
+    """SQL for a template of the corpus with its places taken by columns; ``k`` last, as they hold it too."""
+    sql = _text(template)
+    for name in ("imports", "wide", "extra"):
+        sql = f"replace({sql}, '{{{name}}}', {name})"
+    return f"replace({sql}, '{{k}}', CAST(k AS VARCHAR))"
+
+
 CTE = {
     # -- rendered code ---------------------------------------------------------
     "ord": """SELECT o_orderkey AS k, 'repo_' || (o_orderkey % 4) AS repo,
@@ -193,11 +210,83 @@ CTE = {
             row_number() OVER (PARTITION BY page_id ORDER BY coalesce(closing, 1099511627776) DESC, pos) AS visit_ord
         FROM raw_node""",
     "h0": "SELECT *, sha1(type) AS h FROM node",
+    # -- block trees of code: the only text read here, by a simpler pattern and joins of each file with itself
+    "code_text": f"""SELECT repo, path, CASE k % 4
+            WHEN 1 THEN {_filled(corpus.TS_ORDER)} WHEN 3 THEN {_filled(corpus.JS_ORDER)} ELSE {_filled(corpus.PY_ORDER)} END AS content
+        FROM (SELECT o.*, coalesce(string_agg(CASE o.k % 4 WHEN 1 THEN 'import {{ Item }} from "../parts/part_' || p || '";'
+                    WHEN 3 THEN 'require("../parts/part_' || p || '");' ELSE 'from parts.part_' || p || ' import Item' END
+                    || chr(10), '' ORDER BY pos), '') AS imports,
+                CASE WHEN o.k % 5 = 0 THEN {_text(corpus.PY_WIDE)} ELSE '' END AS wide,
+                CASE WHEN o.k % 3 = 0 THEN {_text(corpus.PY_EXTRA)} ELSE '' END AS extra
+            FROM ord o LEFT JOIN item i ON o.k = i.k GROUP BY ALL)
+        UNION ALL
+        SELECT repo, path, replace(CASE suffix WHEN '.ts' THEN {_text(corpus.TS_PART)} WHEN '/index.js' THEN {_text(corpus.JS_PART)}
+            ELSE {_text(corpus.PY_PART)} END, '{{k}}', CAST(k AS VARCHAR)) FROM prt_file""",
+    "code_token": r"""SELECT repo, path, py, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM (
+        SELECT repo, path, path LIKE '%.py' AS py, CASE WHEN path LIKE '%.py'
+            THEN regexp_extract_all(chr(10) || content, '"{3}[\s\S]*?"{3}|"(?:[^"\\\n]|\\.)*"|#[^\n]*|\n[ \t]*(?:\w+|"{3}[\s\S]*?"{3})|\w+|[()\[\]{}]')
+            ELSE regexp_extract_all(content, '/\*[\s\S]*?\*/|//[^\n]*|"(?:[^"\\\n]|\\.)*"|`[^`]*`|\w+|[()\[\]{}]') END AS tokens
+        FROM code_text)""",
+    "code_kind": f"""SELECT *, ltrim(token, chr(10) || ' ') AS word, token LIKE chr(10) || '%' AS starts,
+            CASE WHEN py THEN ltrim(token, chr(10) || ' ') IN {PY_KEYWORDS} ELSE token IN {JS_KEYWORDS} END AS keyword,
+            token IN ('(', '[', '{{') AS opens, token IN (')', ']', '}}') AS closes FROM code_token""",
+    "code_depth": """SELECT *, length(token) - length(word) - 1 AS width,
+            sum(opens::INT - closes::INT) OVER (PARTITION BY repo, path ORDER BY pos) - opens::INT AS depth
+        FROM code_kind WHERE starts OR keyword OR opens OR closes""",
+    "code_event": """SELECT *, starts AND depth <= 0 AS line, row_number() OVER (PARTITION BY repo, path ORDER BY pos) AS n
+        FROM code_depth WHERE NOT (starts AND depth > 0 AND NOT keyword)""",
+    "code_placed": """SELECT repo, path, n, CASE WHEN starts AND NOT keyword THEN 'line' ELSE word END AS type,
+            coalesce(CASE WHEN line THEN
+                (SELECT max(b.n) FROM code_event b WHERE b.repo = e.repo AND b.path = e.path AND b.line AND b.n < e.n AND b.width < e.width)
+            WHEN depth > 0 THEN
+                (SELECT max(b.n) FROM code_event b WHERE b.repo = e.repo AND b.path = e.path AND b.opens AND b.n < e.n AND b.depth = e.depth - 1)
+            ELSE (SELECT max(b.n) FROM code_event b WHERE b.repo = e.repo AND b.path = e.path AND b.line AND b.n < e.n) END, 0) AS parent,
+            CASE WHEN line THEN 2 * coalesce((SELECT min(b.n) FROM code_event b
+                    WHERE b.repo = e.repo AND b.path = e.path AND b.line AND b.n > e.n AND b.width <= e.width), 1099511627776) - 1
+                WHEN opens THEN 2 * coalesce((SELECT min(b.n) FROM code_event b
+                    WHERE b.repo = e.repo AND b.path = e.path AND b.closes AND b.n > e.n AND b.depth = e.depth), 1099511627776)
+                ELSE 2 * n END AS ends
+        FROM code_event e WHERE NOT closes
+        UNION ALL SELECT repo, path, 0, 'module', NULL, 4398046511104 FROM code_text""",
+    "code_node": """SELECT repo || chr(9) || path AS tree_id, repo, path, CAST(n AS BIGINT) AS node_id, CAST(parent AS BIGINT) AS parent_id, type,
+            row_number() OVER (PARTITION BY repo, path, parent ORDER BY n) AS child_ord,
+            row_number() OVER (PARTITION BY repo, path ORDER BY ends DESC, n) AS visit_ord
+        FROM code_placed""",
+    "c0": "SELECT *, sha1(type) AS h FROM code_node",
+    # Openers one after the other, over files of one fingerprint set as one: they are alike and have the same neighbours.
+    "code_set": """SELECT repo, path, list_sort(list_distinct(list(h))) AS hs FROM c4 GROUP BY repo, path""",
+    "code_class": """SELECT repo, hs, min(path) AS v, row_number() OVER (ORDER BY repo, min(path)) AS i FROM code_set GROUP BY repo, hs""",
+    "code_near": f"""SELECT a.repo, a.i, list(b.i) AS near FROM code_class a JOIN code_class b ON a.repo = b.repo AND b.i < a.i
+        AND len(list_intersect(a.hs, b.hs)) / len(list_distinct(list_concat(a.hs, b.hs))) >= {THRESHOLD} GROUP BY a.repo, a.i""",
+    "code_scan": """SELECT 0::BIGINT AS i, []::BIGINT[] AS openers
+        UNION ALL SELECT s.i + 1, CASE WHEN n.near IS NOT NULL AND list_has_any(s.openers, n.near) THEN s.openers ELSE list_append(s.openers, s.i + 1) END
+        FROM code_scan s LEFT JOIN code_near n ON n.i = s.i + 1 WHERE s.i < (SELECT count(*) FROM code_class)""",
+    "code_taken": """SELECT c.*, CASE WHEN list_contains(o.openers, c.i) THEN c.i ELSE list_min(list_intersect(o.openers, n.near)) END AS opener
+        FROM code_class c LEFT JOIN code_near n ON c.i = n.i, (SELECT openers FROM code_scan ORDER BY i DESC LIMIT 1) o""",
+    # -- the whole run over selected files
+    "sel_file": """SELECT s.repo, s.path, s.k, t.content, f.hs FROM (SELECT * FROM scattered WHERE {kept}) s
+            JOIN ord o ON o.k = s.k JOIN code_text t ON t.repo = o.repo AND t.path = o.path JOIN code_set f ON f.repo = o.repo AND f.path = o.path
+        UNION ALL SELECT p.repo, p.path, NULL, t.content, f.hs FROM prt_file p
+            JOIN code_text t ON t.repo = p.repo AND t.path = p.path JOIN code_set f ON f.repo = p.repo AND f.path = p.path""",
+    "sel_class": "SELECT repo, hs, min(path) AS v, count(*) AS copies, row_number() OVER (ORDER BY repo, min(path)) AS i FROM sel_file GROUP BY repo, hs",
+    "sel_near": f"""SELECT a.i, list(b.i) AS near FROM sel_class a JOIN sel_class b ON a.repo = b.repo AND b.i < a.i
+        AND len(list_intersect(a.hs, b.hs)) / len(list_distinct(list_concat(a.hs, b.hs))) >= {THRESHOLD} GROUP BY a.i""",
+    "sel_scan": """SELECT 0::BIGINT AS i, []::BIGINT[] AS openers
+        UNION ALL SELECT s.i + 1, CASE WHEN n.near IS NOT NULL AND list_has_any(s.openers, n.near) THEN s.openers ELSE list_append(s.openers, s.i + 1) END
+        FROM sel_scan s LEFT JOIN sel_near n ON n.i = s.i + 1 WHERE s.i < (SELECT count(*) FROM sel_class)""",
+    "sel_cluster": """SELECT repo, opener, sum(copies) AS size FROM (
+            SELECT c.repo, c.copies, CASE WHEN list_contains(o.openers, c.i) THEN c.i ELSE list_min(list_intersect(o.openers, n.near)) END AS opener
+            FROM sel_class c LEFT JOIN sel_near n ON c.i = n.i, (SELECT openers FROM sel_scan ORDER BY i DESC LIMIT 1) o)
+        GROUP BY repo, opener HAVING sum(copies) > 1""",
+    "code_member": """SELECT t.repo, o.v AS representative, s.path AS member FROM code_taken t JOIN code_class o ON t.opener = o.i
+        JOIN code_set s ON s.repo = t.repo AND s.hs = t.hs
+        QUALIFY count(*) OVER (PARTITION BY t.opener) > 1""",
 }
-for _d in range(1, 5):
-    CTE[f"h{_d}"] = f"""SELECT n.*, sha1(n.type || '(' || coalesce(c.kids, '') || ')') AS h FROM node n LEFT JOIN (
-        SELECT tree_id, parent_id, string_agg(h, ',' ORDER BY child_ord) AS kids FROM h{_d - 1} GROUP BY tree_id, parent_id
-        ) c ON n.tree_id = c.tree_id AND n.node_id = c.parent_id"""
+for _name, _of in (("h", "node"), ("c", "code_node")):
+    for _d in range(1, 5):
+        CTE[f"{_name}{_d}"] = f"""SELECT n.*, sha1(n.type || '(' || coalesce(c.kids, '') || ')') AS h FROM {_of} n LEFT JOIN (
+            SELECT tree_id, parent_id, string_agg(h, ',' ORDER BY child_ord) AS kids FROM {_name}{_d - 1} GROUP BY tree_id, parent_id
+            ) c ON n.tree_id = c.tree_id AND n.node_id = c.parent_id"""
 
 
 def _frame(totals: str) -> str:
@@ -262,6 +351,9 @@ def _kept(condition: str) -> str:
 _IGNORED = """place IN (1, 7, 9, 12) OR (place = 10 AND k % 2 = 0) OR (place = 13 AND k % 2 = 1)
     OR (place = 14 AND k % 2 = 0) OR (place = 11 AND k % 4 = 3)"""
 
+_SELECTED = f"place NOT IN (0, 3, 4, 5) AND NOT ({_IGNORED})"
+CTE["sel_file"] = CTE["sel_file"].replace("{kept}", _SELECTED)
+
 _TOKENS = r"""SELECT doc_id, list_transform(regexp_extract_all(text,
     '"{3}[\s\S]*?"{3}|''''''[\s\S]*?''''''|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|\d[\w.]*|[\w$]+|[^\s\w$]'),
     lambda t: CASE WHEN list_contains([{keywords}], t) THEN t WHEN regexp_matches(t, '^[A-Za-z_$]') THEN 'I'
@@ -304,7 +396,7 @@ _CANDIDATES = """SELECT repo, path, pos, unnest(range(len(c))) AS ord, unnest(c)
 _SELECTS = {
     "filter_extension": _kept("place NOT IN (3, 4)"),
     "filter_ignored": _kept(f"NOT ({_IGNORED})"),
-    "select_files": _kept(f"place NOT IN (0, 3, 4, 5) AND NOT ({_IGNORED})"),
+    "select_files": _kept(_SELECTED),
     "filter_tests": _kept("place NOT IN (0, 5)"),
     "filter_filenames": _kept("place <> 4"),
     "count_source_files": """SELECT repo, count(*) AS source_files FROM scattered
@@ -337,6 +429,16 @@ _SELECTS = {
     "html_tree_nodes": "SELECT tree_id, node_id, parent_id, child_ord, visit_ord, type FROM node",
     "subtree_hash": "SELECT tree_id, node_id, h FROM h4",
     "fingerprint_set": "SELECT DISTINCT tree_id, h FROM h4 ",
+    "code_tree_nodes": "SELECT repo, path, node_id, parent_id, child_ord, visit_ord, type FROM code_node",
+    "code_fingerprints": "SELECT DISTINCT repo, path, h FROM c4",
+    "code_clusters": "SELECT repo, representative, member FROM code_member",
+    "selected_pipeline": """SELECT f.repo, count(*) AS files,
+            CAST((SELECT count(*) FROM imp i JOIN sel_file s ON s.k = i.k WHERE i.dst IS NOT NULL AND i.repo = f.repo) AS BIGINT) AS edges,
+            CAST((SELECT count(*) FROM sel_cluster c WHERE c.repo = f.repo) AS BIGINT) AS clusters,
+            CAST(coalesce((SELECT max(size) FROM sel_cluster c WHERE c.repo = f.repo), 0) AS BIGINT) AS largest_cluster,
+            CAST(ceil((sum(length(content)) + count(*) - 1) / 4.0) AS BIGINT) AS raw_tokens
+        FROM sel_file f GROUP BY f.repo""",
+    "rejected_files": "SELECT repo, path FROM scattered WHERE path LIKE '%.lock'",
     "shape_shingles": _shingle_sql(),
     "jaccard": """SELECT e.repo, e.src, e.dst, round(len(list_intersect(a.lines, b.lines))
             / len(list_distinct(list_concat(a.lines, b.lines))), 6) AS similarity

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
-from sourcelake.operators import artifact, clustering, context, graph, metrics, shingles, structure, summaries
+from sourcelake.operators import artifact, clustering, code_trees, context, graph, metrics, shingles, structure, summaries
 from sourcelake.operators.filters import select_files
 from sourcelake.session import materialize
 
@@ -33,6 +33,7 @@ def analyze(
     *,
     rules: DataFrame | None = None,
     fingerprints: DataFrame | None = None,
+    by: str = "trees",
     threshold: float = 0.85,
     cache: DataFrame | None = None,
     resolve_relative: bool = False,
@@ -44,13 +45,16 @@ def analyze(
     """Select files, extract structure, resolve imports, cluster, summarise,
     and lay out artifacts and metrics.
 
-    ``files`` is scanned once, for structure and shape fingerprints; everything
-    after works on the small derived tables, written once.  ``fingerprints``
-    replaces the shape fingerprints by other sets."""
+    Files are clustered ``by`` the subtree hashes of their block trees
+    (``"trees"``), by shingles of token classes (``"shapes"``), or by the sets in
+    ``fingerprints``.  ``files`` is scanned once for structure and shapes, and once
+    more for trees; everything after works on the small derived tables, written once."""
+    if by not in ("trees", "shapes"):
+        raise ValueError(f"by {by!r}")
     if select:
         files = select_files(files, rules=rules)
     _, rejected = structure.split_languages(files)
-    run = shingles.SHAPE_RUN if fingerprints is None else None
+    run = shingles.SHAPE_RUN if fingerprints is None and by == "shapes" else None
     scanned = materialize(structure.extract_structure(files, run), "structures")
     structures = scanned.drop("hashes")
     resolved = graph.resolve_imports(
@@ -58,7 +62,7 @@ def analyze(
     )
     nodes = materialize(graph.adjacency(resolved), "graph")
     if fingerprints is None:
-        fingerprints = scanned.select("repo", "path", "hashes")
+        fingerprints = code_trees.tree_fingerprints(files) if by == "trees" else scanned.select("repo", "path", "hashes")
     members = materialize(clustering.greedy_cluster(fingerprints, threshold), "members")
     clusters = materialize(clustering.cluster_ids(members, threshold), "clusters")
     computed = summaries.summarize(structures) if cache is None else summaries.cached_summaries(structures, cache)
