@@ -6,7 +6,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,8 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, list[int]] = {}
+        #: Ids of each word, as the bytes of 32-bit integers.
+        self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]
@@ -63,19 +64,21 @@ class WordIds:
             found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             starts = np.cumsum([0] + [len(t) + 1 for t in texts])
             first = np.array([a for a, _ in found.offsets], dtype=np.int64)
-            cuts = np.searchsorted(first, starts).tolist()
-            ids = found.ids
+            cuts = (4 * np.searchsorted(first, starts)).tolist()
+            ids = np.array(found.ids, dtype=np.int32).tobytes()
             for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True):
                 self.known[w] = ids[a:b]
 
-    def encode(self, texts: list[bytes], end: int) -> Iterator[list[int]]:
+    def encode(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.learn({w for text in texts for w in text.split()})
-        for text in texts:
-            ids = list(chain.from_iterable(map(self.known.__getitem__, text.split())))
-            ids.append(end)
-            yield ids
+        cut, new = [text.split() for text in texts], set()
+        for words in cut:
+            new.update(words)
+        self.learn(new)
+        last, look_up = np.int32(end).tobytes(), self.known.__getitem__
+        for words in cut:
+            yield np.frombuffer(b"".join(map(look_up, words)) + last, dtype=np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +125,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, files: int | None = None
         for batch in batches:
             keys, texts, files = (batch.column(c).to_pylist() for c in ("doc_id", "text", "file"))
             for a, b in _runs([len(t) for t in texts]):
-                ids = [np.array(found, dtype=np.int32) for found in ids_of.encode(texts[a:b], end)]
+                ids = list(ids_of.encode(texts[a:b], end))
                 sizes = [len(found) for found in ids]
                 starts = [start, *(start + n for n in accumulate(sizes))]
                 start = starts.pop()
