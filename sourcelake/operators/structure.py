@@ -8,8 +8,8 @@ therefore iterative: a file of any size needs no regex stack.
 
 Known limits: JavaScript functions count only as statements that start a line
 or follow ``;``, ``{`` or ``}``; text inside ``${}`` of a template string is
-not code here; ``require`` counts once per textual occurrence; an export
-statement ends early where brackets nest more than 20 deep.
+not code here; ``require`` counts once per textual occurrence; of an export
+statement the head is given.
 """
 
 from __future__ import annotations
