@@ -192,7 +192,7 @@ def secret_spans(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     ``(start, kind, end)`` in code points, end exclusive, ``kind`` an index into
     :data:`KINDS`, sorted.
 
-    ``base`` holds the known shapes, ``added`` the random strings of 16 signs
+    ``base`` holds the known shapes, ``added`` the random strings of 20 signs
     and more (:func:`random_strings`) that lie in no base span.  Finds are laid
     out by the lengths of what lies between them.  NULL counts as empty; an
     empty table gives no rows; rows that repeat are each reported; other
