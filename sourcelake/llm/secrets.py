@@ -29,6 +29,19 @@ ENCODINGS = (
     ("base64", _DIGITS + _LOWER + _UPPER + "+/", ""),
 )
 FOLDED = ("hex", "base36")
+#: Running text that every corpus is taken to hold besides its own.
+RUNNING_TEXT = (
+    "A secret is a string that only its owner should know, and it is drawn by a machine so that nobody can guess it from "
+    "the signs that came before. Words are not like that: some letters come far more often than others, and the next one "
+    "can mostly be told from the last.",
+    "People write names for their files, headings for their pages and long compounds for the things that they work with, and "
+    "these may be as long as a key without being one. Whoever looks for keys has to know how such running text behaves when "
+    "it is measured in the same way.",
+    "The shorter a string is the less can be said about it, for chance alone makes a few letters look even or uneven. "
+    "Therefore each length has its own measure, and what cannot be told from writing at that length is left where it stands.",
+)
+#: Signs of the shortest string that is tested.
+LEAST = 16
 #: ``-log10 p`` is counted in steps of one in so many, up to a bound.
 STEPS, MOST = 50, 60
 #: Random strings depart by 2 on average and by more than this about once in a thousand times.
@@ -40,28 +53,13 @@ def _finds(text: Column, pattern: str) -> Column:
 
 
 def _placed(found: Column, between: Column, kind: int) -> Column:
-    """Each find with the length of the text between it and the one before.
-    Candidates also get a decoy: as many signs as they are long from some place,
-    drawn by their hash, in the words of the text that are no candidate, joined
-    by a hyphen if the candidate has such signs."""
-    bare, joined = (F.regexp_replace(F.array_join(between, " "), "[^A-Za-z0-9]++", sign) for sign in ("", "-"))
+    """Each find with the length of the text between it and the one before."""
     rows = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda hit, before: F.struct(hit.alias("hit"), before.alias("before")))
 
-    def place(r: Column, i: Column, words: Column | None) -> Column:
-        size = F.char_length(r["hit"])
-        letters = F.lit("") if words is None else F.when(r["hit"].rlike("[+/_-]"), words["joined"]).otherwise(words["bare"])
-        room = F.char_length(letters) - size
-        start = F.pmod(F.xxhash64(r["hit"]), F.greatest(room, F.lit(0)) + 1).cast("int")
-        decoy = F.when(room >= 0, F.substring(letters, start + 1, size)) if kind == 3 else F.lit(None).cast("string")
-        gap = F.char_length(r["before"]).cast("bigint")
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), gap.alias("gap"), r["hit"].alias("hit"), decoy.alias("decoy"))
+    def place(r: Column, i: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.char_length(r["before"]).cast("bigint").alias("gap"), r["hit"].alias("hit"))
 
-    if kind == 3:  # the prose is made once for all finds
-        prose = F.array(F.struct(bare.alias("bare"), joined.alias("joined")))
-        each = F.flatten(F.transform(prose, lambda words: F.transform(rows, lambda r, i: place(r, i, words))))
-    else:
-        each = F.transform(rows, lambda r, i: place(r, i, None))
-    return F.when(F.size(found) > 0, each)
+    return F.when(F.size(found) > 0, F.transform(rows, place))
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -76,17 +74,17 @@ def _scan(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", F.concat(*placed).alias("finds"))
 
 
-_FINDS = "array<struct<kind:int,i:int,gap:bigint,hit:string,decoy:string>>"
+_FINDS = "array<struct<kind:int,i:int,gap:bigint,hit:string>>"
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
-    """Finds with their place: ``row, kind, start, end, hit, decoy``."""
+    """Finds with their place: ``row, kind, start, end, hit``."""
     finds = scanned.where(F.size("finds") > 0).select("row", F.explode("finds").alias("f")).select("row", "f.*")
     length = F.char_length("hit").cast("bigint")
     end = F.sum(F.col("gap") + length).over(Window.partitionBy("row", "kind").orderBy("i"))
     placed = finds.withColumn("end", end).withColumn("start", F.col("end") - length)
     long_enough = (F.col("kind") != 0) | (F.char_length(F.regexp_extract("hit", _ASSIGN, 2)) >= 6)
-    return placed.where(long_enough).select("row", "kind", "start", "end", "hit", "decoy")
+    return placed.where(long_enough).select("row", "kind", "start", "end", "hit")
 
 
 # --- the battery --------------------------------------------------------------
@@ -151,30 +149,78 @@ def _log_tail(z: Column) -> Column:
     return F.when(z >= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (density - F.log(mills)) / 2.302585092994046))
 
 
-def random_strings(candidates: DataFrame, rate: float = 0.01) -> DataFrame:
-    """Those rows of ``candidates`` (``hit``, ``decoy`` and others) whose ``hit`` is a random string.
+def _band(length: Column) -> Column:
+    """Half-octave of a length."""
+    return F.floor(2 * F.log2(length)).cast("int")
+
+
+def _symbols(code: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(float(len(e[1]))) for e in ENCODINGS]), code + 1)
+
+
+def running_text(docs: DataFrame, strata: list[tuple[int, int]]) -> DataFrame:
+    """``_code, _band, _k, _m, _sd``: how running text departs from randomness
+    in the encodings and bands of ``strata``.
+
+    Every document gives one decoy for each encoding: as many of its letters
+    from some place, without its candidates, as strings of one of the bands
+    have, which is drawn by a hash of the text; all its letters if it has
+    fewer.  Decoys are in the case of their encoding, and their words are joined
+    by a hyphen in the one that has such signs.  :data:`RUNNING_TEXT` counts as
+    further documents."""
+    spark = docs.sparkSession
+    texts = docs.select(whole_text().alias("text")).union(spark.createDataFrame([(t,) for t in RUNNING_TEXT], "text string"))
+    prose = F.regexp_replace("text", _CANDIDATE, " ")
+    bare, joined = (F.regexp_replace(prose, "[^A-Za-z0-9]++", sign) for sign in ("", "-"))
+    wide = any(ENCODINGS[code][0] == "base64" for code, _ in strata)
+    rows = texts.select(F.xxhash64("text").alias("_h"), bare.alias("bare"), (joined if wide else F.lit("")).alias("joined"))
+
+    def decoy(code: int) -> Column:
+        letters = F.col("joined" if ENCODINGS[code][0] == "base64" else "bare")
+        sizes = F.array(*[F.lit(int(2 ** ((2 * band + 1) / 4))) for c, band in strata if c == code])
+        drawn = F.element_at(sizes, (F.pmod(F.xxhash64("_h", F.lit(code)), F.size(sizes)) + 1).cast("int"))
+        size = F.least(drawn, F.char_length(letters))
+        start = F.pmod(F.xxhash64("_h", F.lit(-1 - code)), F.char_length(letters) - size + 1).cast("int")
+        part = F.substring(letters, start + 1, size)
+        cased = {"base32": F.upper, "lower": F.lower}.get(ENCODINGS[code][0], lambda x: x)(part)
+        return F.struct(F.lit(code).alias("_code"), cased.alias("decoy"))
+
+    each = F.array(*map(decoy, sorted({code for code, _ in strata})))
+    found = rows.select(F.explode_outer(each).alias("x")).select("x.*").where(F.char_length("decoy") >= LEAST)
+    apart = departure(_codes(F.col("decoy"), F.col("_code")), _symbols(F.col("_code")))
+    found = found.select("_code", _band(F.char_length("decoy")).alias("_band"), apart.alias("_d"))
+    return found.groupBy("_code", "_band").agg(F.count("_d").alias("_k"), F.avg("_d").alias("_m"), F.stddev("_d").alias("_sd"))
+
+
+def random_strings(candidates: DataFrame, docs: DataFrame, rate: float = 0.01) -> DataFrame:
+    """Those rows of ``candidates`` (``hit`` and others) whose ``hit`` is a random string.
 
     A candidate's departure from randomness in its own encoding is held
-    against that of running text: letters from elsewhere in the same document,
-    as many as it is long, in the same encoding.  Mean and spread of the latter are taken
-    over the whole corpus for each encoding and band of length, since short
-    strings tell less; the chance that running text lies as near to random is
-    the candidate's p.  In each of those strata the false discovery rate is
+    against that of running text of all ``docs`` (:func:`running_text`) in the same
+    encoding and band of length, since short strings tell less; the chance that
+    running text lies as near to random is the candidate's p.  Where no two
+    texts are as long, the longest band below that has two decoys counts, or
+    the shortest above, or else one with a single decoy, so that every candidate is tested; short text departs
+    less than long text, which makes p larger.  In each stratum
+    the false discovery rate is
     held at ``rate`` by the step-up rule of Benjamini and Hochberg, over counts
     of p in fixed steps: a table of bounded size.  What departs by more than
     :data:`NOT_RANDOM` fails the battery whatever the corpus."""
     hit = F.regexp_replace("hit", "=+$", "")
     rows = candidates.withColumn("_hit", hit).withColumn("_code", encoding(F.col("_hit")))
-    rows = rows.where("_code is not null and char_length(_hit) >= 16")
-    symbols = F.element_at(F.array(*[F.lit(float(len(e[1]))) for e in ENCODINGS]), F.col("_code") + 1)
-    enough = F.char_length("decoy") == F.char_length("hit")
-    rows = rows.withColumn("_s", departure(_codes(F.col("_hit"), F.col("_code")), symbols)).withColumn(
-        "_d", F.when(enough, departure(_codes(F.left("decoy", F.char_length("_hit")), F.col("_code")), symbols))
-    ).withColumn("_band", F.floor(2 * F.log2(F.char_length("_hit"))).cast("int"))
-    rows = materialize(rows.drop("_hit"), "candidates")
+    rows = rows.where(F.col("_code").isNotNull() & (F.char_length("_hit") >= LEAST))
+    rows = rows.withColumn("_s", departure(_codes(F.col("_hit"), F.col("_code")), _symbols(F.col("_code"))))
+    rows = materialize(rows.withColumn("_band", _band(F.char_length("_hit"))).drop("_hit"), "candidates")
     stratum = ["_code", "_band"]
-    null = rows.groupBy(*stratum).agg(F.count("_d").alias("_k"), F.avg("_d").alias("_m"), F.stddev("_d").alias("_sd"))
-    null = F.broadcast(materialize(null.where("_k >= 2"), "null"))
+    # Encodings times half-octaves: a few hundred at most.
+    strata = sorted((r._code, r._band) for r in rows.select(*stratum).distinct().collect())
+    if not strata:
+        return candidates.where("false")
+    null = materialize(running_text(docs, strata), "null")
+    own = rows.sparkSession.createDataFrame(strata, "_code int, _band int")
+    nearest = F.max_by(F.struct("_m", "_sd"), F.struct(F.col("_k") >= 2, F.col("n._band") <= F.col("o._band"), -F.abs(F.col("n._band") - F.col("o._band"))))
+    null = own.alias("o").join(null.alias("n"), F.col("o._code") == F.col("n._code")).groupBy("o._code", "o._band").agg(nearest.alias("_null"))
+    null = F.broadcast(materialize(null.select("_code", "_band", "_null.*"), "nulls"))
     z = (F.col("_s") - F.col("_m")) / F.greatest(F.col("_sd"), F.lit(0.5))
     step = F.floor(F.least(_log_tail(z), F.lit(float(MOST))) * STEPS).cast("int")
     judged = rows.join(null, stratum).withColumn("_step", step)
@@ -201,7 +247,7 @@ def secret_spans(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     spans = materialize(_spans(scanned), "spans")
     span = F.struct("start", "kind", "end")
     base = spans.where("kind < 3").select("row", span.alias("base"), F.lit(None).cast(_SPAN).alias("added"))
-    extra = random_strings(spans.where("kind = 3"), rate).select("row", F.lit(None).cast(_SPAN).alias("base"), span.alias("added"))
+    extra = random_strings(spans.where("kind = 3"), docs, rate).select("row", F.lit(None).cast(_SPAN).alias("base"), span.alias("added"))
     by_row = base.union(extra).groupBy("row").agg(F.array_sort(F.collect_list("base")).alias("base"), F.array_sort(F.collect_list("added")).alias("added"))
     outside = lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     by_row = by_row.select("row", "base", F.filter("added", outside).alias("added"))

@@ -72,6 +72,36 @@ def test_random_strings_are_told_from_words(spark):
     assert len(found & planted) >= 0.9 * len(planted) and len(found - planted) <= 0.02 * len(found)
 
 
+def words_of(n, seed):
+    rng = random.Random(seed)
+    syllables = ["an", "the", "ti", "on", "er", "ing", "sh", "or", "ed", "re", "lo", "mi", "us"]
+    return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n))
+
+
+def test_one_rare_key_is_tested(spark):
+    key = base64.b32encode(random.Random(7).randbytes(35)).decode()
+    assert len(key) == 56
+    texts = [words_of(800, i) for i in range(300)] + [words_of(400, 300) + f" {key} " + words_of(400, 301)]
+    out = secrets.secret_spans(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)).where(F.size("added") > 0).collect()
+    at = texts[300].index(key)
+    assert [(r.doc_id, [(s.start, s.kind, s.end) for s in r.added]) for r in out] == [(300, [(at, 3, at + 56)])]
+
+
+def test_strings_without_text_of_their_length_are_tested(spark):
+    rng = random.Random(8)
+    blob = base64.b64encode(rng.randbytes(30_000)).decode()
+    alone = "".join(rng.choices(secrets.ENCODINGS[5][1], k=90))
+    texts = [blob, alone, "abcdefghijklmnop" * 40, "a" * 300]
+    out = secrets.secret_spans(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r.doc_id for r in out if r.added} == {0, 1}
+
+
+def test_every_encoding_has_a_null(spark):
+    strata = [(code, band) for code in range(len(secrets.ENCODINGS)) for band in (8, 12, 30)]
+    rows = secrets.running_text(spark.createDataFrame([], SCHEMA), strata).collect()
+    assert {r._code for r in rows if r._k >= 1} == set(range(len(secrets.ENCODINGS))) and all(8 <= r._band <= 30 for r in rows)
+
+
 def test_no_rows_and_long_texts(spark):
     assert secrets.secret_spans(spark.createDataFrame([], SCHEMA)).count() == 0
     long = "0123456789abcdef" * 3 + " "
