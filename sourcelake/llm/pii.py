@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -114,10 +114,13 @@ _SPELLED_NEXT = re.compile(rf"\b{_WORD}{_GAP}(?:{_WORD}\b|[0-9])|[0-9]{_GAP}{_WO
 _RUN = re.compile(rf"\b(?:plus\x20)?(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))+\b", re.I)
 _RUN_PART = re.compile(rf"(?P<plus>plus)|(?P<dot>{_DOT}|\.)|(?P<word>{_WORD})|(?P<digits>[0-9]+)", re.I)
 _BRACKETS = re.compile(rf"\s?[\[({{<]\s?(?:(?P<at>{_AT}|@)|{_DOT}|\.)\s?[\])}}>]\s?", re.I)
-_SAID = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20{_DOT}\x20[A-Za-z0-9._%+-]++)*+(?:\x20{_AT}\x20|@)"
-    rf"[A-Za-z0-9-]+(?:(?:\x20{_DOT}\x20|\.)[A-Za-z0-9-]+)*(?:\x20{_DOT}\x20|\.)[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I,
-)
+_SAID_AT = re.compile(rf"\x20{_AT}\x20|@", re.I)
+_SAID_DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:(?:\x20{_DOT}\x20|\.)[A-Za-z0-9-]+)*(?:\x20{_DOT}\x20|\.)[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.I)
+_LAST_SAID_DOT = re.compile(rf"\x20{_DOT}\x20$", re.I)
+_SAID_DOT_WIDTH = len(" punkt ")
+_SAID_POINT = re.compile(rf"(?<=[0-9])\x20{_DOT}\x20(?=[0-9])", re.I)
+_UNDERLINED = re.compile(r"(?<=[A-Za-z0-9])_at_[A-Za-z0-9-]+(?:(?:_dot_|\.)[A-Za-z0-9-]+)*_dot_[A-Za-z]{2,}(?![A-Za-z0-9])", re.I)
+_UNDERLINED_SIGN = re.compile(r"_(?:(?P<at>at)|dot)_", re.I)
 _SAID_DOT = re.compile(rf"\x20{_DOT}\x20", re.I)
 _SAID_SIGN = re.compile(rf"\x20(?:(?P<at>{_AT})|{_DOT})\x20", re.I)
 
@@ -186,13 +189,17 @@ def undo_lookalikes(text: str) -> Rewritten:
     return rewrite(text, [(m.start(), m.end(), new) for m in _STRANGE.finditer(text) if (new := _LOOKS[m[0]]) is not None])
 
 
-def _run_digits(run: str) -> str | None:
-    """A run of digits in words and figures as figures; None if all are figures."""
-    out, words = [], 0
-    for part in _RUN_PART.finditer(run):
+def _run_changes(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """What makes figures of a run of digits in words and figures, part by part; nothing if all are figures."""
+    changes, words, at = [], 0, start
+    for part in _RUN_PART.finditer(text, start, end):
+        if part.start() > at:
+            changes.append((at, part.start(), ""))
         words += part.lastgroup == "word"
-        out.append({"plus": "+", "dot": "."}.get(part.lastgroup) or _SPELLED.get(part[0].lower(), part[0]))
-    return "".join(out) if words else None
+        if part.lastgroup != "digits" and part[0] != ".":
+            changes.append((part.start(), part.end(), {"plus": "+", "dot": "."}.get(part.lastgroup) or _SPELLED[part[0].lower()]))
+        at = part.end()
+    return changes if words else []
 
 
 def undo_brackets(text: str) -> Rewritten:
@@ -200,35 +207,85 @@ def undo_brackets(text: str) -> Rewritten:
     return rewrite(text, [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETS.finditer(text)])
 
 
+def undo_underlined(text: str) -> Rewritten:
+    """The signs ``@`` and ``.`` said between underlines, in addresses where both are."""
+    return rewrite(text, [
+        (s.start(), s.end(), "@" if s["at"] else ".") for m in _UNDERLINED.finditer(text) for s in _UNDERLINED_SIGN.finditer(text, *m.span())
+    ])
+
+
+def _said_local(text: str, low: int, end: int) -> int:
+    """Where the local part before ``end`` begins, its dots said or not; ``end`` if there is none."""
+    start = at = end
+    while True:
+        while at > low and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == start:
+            return start if start == end else start + dot.end() - dot.start()
+        start = at
+        dot = _LAST_SAID_DOT.search(text[max(low, at - _SAID_DOT_WIDTH):at])
+        if dot is None:
+            return start
+        start = at = at - (dot.end() - dot.start())
+
+
+def said_addresses(text: str) -> list[Span]:
+    """Leftmost non-overlapping addresses with signs said in words: each ``at``
+    is found first, then what stands on either side, so every sign is read a
+    few times only."""
+    found, low = [], 0
+    for sign in _SAID_AT.finditer(text):
+        domain = _SAID_DOMAIN.match(text, sign.end()) if sign.start() > low else None
+        if domain:
+            start = _said_local(text, low, sign.start())
+            if start < sign.start():
+                low = domain.end()
+                found.append((start, low))
+    return found
+
+
 def undo_said(source: Rewritten) -> Rewritten:
     """The signs ``@`` and ``.`` said in words, in addresses where a dot is
-    said, or was put in brackets: ``at example.com`` is a place."""
+    said, or was put in brackets: ``at example.com`` is a place.  Dots said between figures."""
     text, changes = source.text, []
-    if len(source.marks) > 1 or _SAID_DOT.search(text):
-        for m in _SAID.finditer(text):
-            if _SAID_DOT.search(m[0]) or source.back(*m.span())[2]:
-                changes += [(s.start(), s.end(), "@" if s["at"] else ".") for s in _SAID_SIGN.finditer(text, m.start(), m.end())]
-    return rewrite(text, changes)
+    said = _SAID_DOT.search(text)
+    if len(source.marks) > 1 or said:
+        for start, end in said_addresses(text):
+            if _SAID_DOT.search(text, start, end) or source.back(start, end)[2]:
+                changes += [(s.start(), s.end(), "@" if s["at"] else ".") for s in _SAID_SIGN.finditer(text, start, end)]
+    if said:
+        taken = {start for start, _, _ in changes}
+        changes += [(m.start(), m.end(), ".") for m in _SAID_POINT.finditer(text) if m.start() not in taken]
+    return rewrite(text, sorted(changes))
 
 
 def undo_spelling(text: str) -> Rewritten:
     """Runs of digits of which some are spelled."""
-    changes = []
-    if _SPELLED_NEXT.search(text):
-        for m in _RUN.finditer(text):
-            if (digits := _run_digits(m[0])) is not None:
-                changes.append((m.start(), m.end(), digits))
-    return rewrite(text, changes)
+    if not _SPELLED_NEXT.search(text):
+        return rewrite(text, [])
+    return rewrite(text, [change for m in _RUN.finditer(text) for change in _run_changes(text, *m.span())])
 
 
 def _bare_phones(text: str) -> list[Span]:
     return [m.span() for m in re.finditer(r"(?<![0-9+.])[0-9]{10,15}(?![0-9.])", text)]
 
 
+def _covers(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether one of ``spans``, in order and apart, has all of a stretch."""
+    starts = [a for a, _ in spans]
+
+    def covers(a: int, b: int) -> bool:
+        k = bisect_right(starts, a) - 1
+        return k >= 0 and b <= spans[k][1]
+
+    return covers
+
+
 def disguised(text: str, found: dict[str, list[Span]]) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` in ``text`` of identifiers that show only after
-    the disguises are undone and overlap none of ``found`` of their kind."""
+    the disguises are undone and are no part of one of ``found`` of their kind."""
     steps = [undo_lookalikes(text)]
+    steps.append(undo_underlined(steps[-1].text))
     steps.append(undo_brackets(steps[-1].text))
     steps.append(undo_said(steps[-1]))
     steps.append(undo_spelling(steps[-1].text))
@@ -242,7 +299,7 @@ def disguised(text: str, found: dict[str, list[Span]]) -> list[tuple[int, int, s
             changed |= new
         return start, end, changed
 
-    last = steps[-1]
+    last, bounds = steps[-1], {kind: _covers(spans) for kind, spans in found.items()}
     spans = plain(last.text)
     spoken = [s for s in _bare_phones(last.text) if last.back(*s)[2]]
     spans["phone"] += [s for s in spoken if not any(a < s[1] and s[0] < b for a, b in spans["phone"] + spans["card"])]
@@ -250,7 +307,7 @@ def disguised(text: str, found: dict[str, list[Span]]) -> list[tuple[int, int, s
     for kind in KINDS:
         for start, end in spans[kind]:
             a, b, changed = back(start, end)
-            if changed and not any(x < b and a < y for x, y in found[kind]):
+            if changed and not bounds[kind](a, b):
                 added.append((a, b, kind))
     return added
 
@@ -305,10 +362,11 @@ def count_kind(spans: Column, kind: int) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by ``[kind]``; of spans that overlap the first counts."""
+    """``text`` with every span replaced by ``[kind]``; spans that overlap are replaced together, by the kind of the first."""
     names = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(
+    wider = lambda s, x: F.struct(s["out"].alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+    step = lambda s, x: F.when(x["start"] < s["at"], wider(s, x)).otherwise(F.struct(
         F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.element_at(names, x["kind"] + 1), F.lit("]")).alias("out"),
         x["end"].alias("at"),
     ))
