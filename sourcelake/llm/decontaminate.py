@@ -31,6 +31,8 @@ SHORT_MASKS = {
 MIN_WORDS = 13
 #: ... of which this share agrees.
 AGREEMENT = 0.8
+#: Items that are laid at a document side by side; a document that meets more takes several rows.
+ITEMS_PER_ROW = 32
 #: Slots of the filter that every task holds: its size whatever the benchmark.
 SLOTS = 1 << 22
 #: Words a task remembers the hashes of.
@@ -143,6 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, fuzzy: bool = False) ->
     Seeds of both sides join on their hash.  Before that a filter of fixed size
     drops nearly all seeds of documents that no item has, so only rows near to
     a hit are shuffled.  Hits are reduced to one per document, item and shift,
+    laid out in rows of some :data:`ITEMS_PER_ROW` items however many a document meets,
     and the words along each are compared, which finds all seeds' substitutions
     and any others."""
     items = materialize(benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), whole_text().cast("binary").alias("text")), "items")
@@ -170,7 +173,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, fuzzy: bool = False) ->
     shift = (F.col("d.pos") - F.col("i.pos")).alias("shift")
     hits = near.alias("d").join(wanted.alias("i"), F.col("d.seed") == F.col("i.seed")).select("doc_id", "dk", "item_id", shift).distinct()
     hits = hits.groupBy("doc_id", "dk", "item_id").agg(F.collect_list("shift").alias("shifts"))
-    laid = hits.join(items.withColumnRenamed("text", "item"), "item_id").groupBy("doc_id", "dk").agg(
+    hits = materialize(hits, "hits")
+    many = hits.groupBy("doc_id", "dk").agg(F.ceil(F.count("*") / ITEMS_PER_ROW).alias("_rows"))
+    same = (F.col("h.dk") == F.col("m.dk")) & F.col("h.doc_id").eqNullSafe(F.col("m.doc_id"))
+    part = F.pmod(F.xxhash64("item_id"), F.col("_rows")).alias("_part")
+    hits = hits.alias("h").join(many.alias("m"), same).select("h.*", part)
+    laid = hits.join(items.withColumnRenamed("text", "item"), "item_id").groupBy("doc_id", "dk", "_part").agg(
         F.collect_list(F.struct("item_id", "item", "shifts")).alias("laid")
     )
     laid = materialize(laid, "laid")

@@ -67,6 +67,44 @@ def test_overlaps_match_plain_comparison(spark):
     assert got == sorted(want, key=repr)
 
 
+def any_overlap(doc, item):
+    """Most words of ``item`` in agreeing stretches over all shifts, whatever seeds they share."""
+    best, width = 0, min(dc.MIN_WORDS, len(item))
+    for shift in range(-len(item) + 1, len(doc) if item else 0):
+        same = [0 <= i + shift < len(doc) and doc[i + shift] == w for i, w in enumerate(item)]
+        covered = set()
+        for p in range(max(0, -shift), min(len(item), len(doc) - shift) - width + 1):
+            if sum(same[p:p + width]) >= dc.AGREEMENT * width - 1e-9:
+                covered |= set(range(p, p + width))
+        best = max(best, len(covered))
+    return best
+
+
+def test_overlaps_wherever_words_differ(spark):
+    docs, items = sample(4)
+    out = dc.contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string"), fuzzy=True)
+    got = sorted(((r.doc_id, r.contaminated, list(r.items), r.words) for r in out.collect()), key=repr)
+    want = []
+    for doc_id, text, *_ in docs:
+        found = {}
+        for item_id, item in items:
+            n = any_overlap(words(text), words(item))
+            if n:
+                found[item_id] = max(n, found.get(item_id, 0))
+        want.append((doc_id, bool(found), sorted(found), max(found.values(), default=0)))
+    assert sum(w[1] for w in want) > 20
+    assert got == sorted(want, key=repr)
+
+
+def test_a_seed_of_many_items_and_documents(spark):
+    phrase = "these eight words are in every single text"
+    items = [(i, phrase + " " + " ".join(f"item{i}word{k}" for k in range(12))) for i in range(150)]
+    docs = [(i, f"start {i} {phrase} " + " ".join(f"doc{i}word{k}" for k in range(12)), "s", 1, "k") for i in range(300)]
+    docs.append((300, " . ".join(text for _, text in items), "s", 1, "k"))
+    out = dc.contamination(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string"), fuzzy=True)
+    assert [(r.doc_id, list(r.items), r.words) for r in out.where("contaminated").collect()] == [(300, list(range(150)), 20)]
+
+
 def test_documents_are_dropped_whole(spark, rows):
     docs, items = sample(2)
     frame, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
