@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from sourcelake.llm.keys import whole_text, without
 from sourcelake.session import materialize
 
-#: The models are fitted on about so many labelled rows at most, drawn by hash,
-#: and exchange labels over about so many unlabelled ones.  All else covers all rows.
+#: The models are fitted on about so many labelled rows at most, drawn by hash, and
+#: on all unlabelled rows that a view is sure of.
 MAX_LABELLED = 16_000
-MAX_POOL = 16_000
 ROUNDS = 3
-#: A view hands over rows whose calibrated chance is this near to 0 or 1, at this weight.
+#: A view hands over rows whose calibrated chance is this near to 0 or 1; together
+#: they weigh so many times what the labelled rows do, however many they are.
 CONFIDENT = 0.02
-PSEUDO_WEIGHT = 0.3
+PSEUDO_SHARE = 1.0
 #: Documents whose combined score is below are rejected.
 KEEP_FROM = 0.5
 
@@ -94,9 +94,9 @@ def views(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(measure, "doc_id bigint, dk bigint, text_view array<float>, meta_view array<float>")
 
 
-def _lists(rows: list[np.ndarray], size: int) -> pa.Array:
+def _lists(rows: list[np.ndarray], size: int, kind: pa.DataType = pa.float32()) -> pa.Array:
     flat = np.concatenate(rows) if rows else np.empty(0, np.float32)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size, pa.int32()), pa.array(flat, pa.float32()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size, pa.int32()), pa.array(flat, kind))
 
 
 # --- the models ---------------------------------------------------------------
@@ -128,64 +128,157 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _newton(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
-    """Weights of a logistic model by Newton's steps, which need sums over the rows only."""
+def newton_sums(x: np.ndarray, view: View, y: np.ndarray) -> np.ndarray:
+    """What a Newton step of a logistic model needs of its rows, in one flat array
+    that adds up: the bend of the loss, its pull, the loss and the number of rows."""
     size = x.shape[1] + 1
-    weights, ridge = np.zeros(size), np.full(size, penalty)
+    bend, pull, loss, at = np.zeros((size, size)), np.zeros(size), 0.0, 0
+    for rows in _blocks(x, view.mean, view.scale):
+        z, said = rows @ view.weights, y[at:at + len(rows)]
+        p = sigmoid(z)
+        bend += (rows * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ rows
+        pull += rows.T @ (said - p)
+        loss += float(np.sum(np.logaddexp(0, z) - said * z))
+        at += len(rows)
+    return np.concatenate((bend.ravel(), pull, [loss, at]))
+
+
+def _descend(view: View, sums: Callable[[View], np.ndarray], penalty: float) -> Iterator[View]:
+    """The view after each Newton step, until steps are small.  A step after which the
+    loss is higher is halved."""
+    size = len(view.weights)
+    ridge = np.full(size, penalty)
     ridge[-1] = 1e-6
-    for _ in range(12):
-        bend, pull, at = np.diag(ridge), -ridge * weights, 0
-        for rows in _blocks(x, mean, scale):
-            part = slice(at, at + len(rows))
-            p = sigmoid(rows @ weights)
-            bend += (rows * (w[part] * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ rows
-            pull += rows.T @ (w[part] * (y[part] - p))
-            at += len(rows)
-        move = np.linalg.solve(bend, pull)
-        weights += move
-        if np.abs(move).max() < 1e-6:
-            break
-    return weights
-
-
-def fit_view(x: np.ndarray, y: np.ndarray, w: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> View:
-    """Fits on ``x, y`` at weights ``w``, and calibrates on rows held out."""
-    mean, scale = x.mean(axis=0, dtype=np.float64), np.maximum(x.std(axis=0, dtype=np.float64), 1e-3)
-    view = View(mean, scale, _newton(x, mean, scale, y, w, 3.0))
+    best, least, move = view, np.inf, np.zeros(size)
+    for _ in range(30):
+        total = sums(view)
+        loss = total[-2] + 0.5 * ridge @ view.weights**2
+        if loss <= least + 1e-9 * abs(least) or np.isinf(least):
+            bend, pull = total[:size * size].reshape(size, size), total[size * size:-2]
+            best, least = view, loss
+            move = np.linalg.solve(bend + np.diag(ridge), pull - ridge * view.weights)
+        else:
+            move = move / 2
+        view = replace(best, weights=best.weights + move)
+        yield view
+        if np.abs(move).max() < 1e-4:
+            return
+    yield best
+
+
+def calibrated(view: View, held_x: np.ndarray, held_y: np.ndarray) -> View:
+    """The view with a line over its logits that fits rows held out."""
+    view = replace(view, slope=1.0, shift=0.0)
     if 0 < held_y.sum() < len(held_y):
         z = view.logits(held_x)[:, None]
-        slope, shift = _newton(z, np.zeros(1), np.ones(1), held_y, np.ones(len(held_y)), 0.1)
-        view = replace(view, slope=max(float(slope), 0.05), shift=float(shift))
+        *_, line = _descend(View(np.zeros(1), np.ones(1), np.zeros(2)), lambda v: newton_sums(z, v, held_y), 0.1)
+        view = replace(view, slope=max(float(line.weights[0]), 0.05), shift=float(line.weights[1]))
     return view
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray, np.ndarray], pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> tuple[View, View] | None:
+# --- the exchange -------------------------------------------------------------
+
+Pair = tuple[View, View]
+
+
+def exchange_sums(rows: tuple[np.ndarray, np.ndarray], teachers: Pair, learners: Pair) -> np.ndarray:
+    """Both learners' :func:`newton_sums` over the rows that the other view's teacher is sure of."""
+    found = []
+    for x, other, teacher, learner in zip(rows, rows[::-1], teachers[::-1], learners, strict=True):
+        p = sigmoid(teacher.logits(other))
+        sure = (p <= CONFIDENT) | (p >= 1 - CONFIDENT)
+        found.append(newton_sums(x[sure], learner, (p[sure] > 0.5).astype(float)))
+    return np.concatenate(found)
+
+
+def moments(rows: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of both views' features, then of their squares."""
+    wide = [x.astype(np.float64) for x in rows]
+    return np.concatenate([x.sum(axis=0) for x in wide] + [np.square(x).sum(axis=0) for x in wide])
+
+
+def co_train(
+    labelled: tuple[np.ndarray, np.ndarray, np.ndarray],
+    spread: list[tuple[np.ndarray, np.ndarray]],
+    pool: Callable[[Pair, Pair], np.ndarray],
+    rounds: int = ROUNDS,
+) -> Pair | None:
     """The text and the page view after ``rounds`` of exchange, or None if the
     labels are not of both kinds.
 
-    A fifth of the labelled rows is held out for calibration.  In each round
-    both views are fitted; then each labels the rows of the pool that it is
-    sure of for the other."""
-    text, meta, y = labelled
+    ``spread`` is the mean and the scale of each view's features, ``pool`` gives
+    :func:`exchange_sums` over all unlabelled rows.  A fifth of the labelled rows is
+    held out for calibration.  Both views are fitted on the others; then, in each
+    round, again on them and on the rows that the other view was sure of before."""
+    *known, y = labelled
     held = np.arange(len(y)) % 5 == 0
     if not 0 < y[~held].sum() < (~held).sum():
         return None
-    given = [(np.empty(0, int), np.empty(0)), (np.empty(0, int), np.empty(0))]
-    fitted: list[View] = []
-    for turn in range(rounds + 1):
-        fitted = []
-        for x, unlabelled, (rows, said) in zip((text, meta), pool, given, strict=True):
-            both, answers = np.vstack((x[~held], unlabelled[rows])), np.concatenate((y[~held], said))
-            weight = np.concatenate((np.ones((~held).sum()), np.full(len(rows), PSEUDO_WEIGHT)))
-            fitted.append(fit_view(both, answers, weight, x[held], y[held]))
-        if turn < rounds and len(pool[0]):
-            sure = []
-            for view, unlabelled in zip(fitted, pool, strict=True):
-                p = sigmoid(view.logits(unlabelled))
-                rows = np.flatnonzero((p <= CONFIDENT) | (p >= 1 - CONFIDENT))
-                sure.append((rows, (p[rows] > 0.5).astype(float)))
-            given = sure[::-1]
-    return fitted[0], fitted[1]
+    own = [lambda v, x=x[~held]: newton_sums(x, v, y[~held]) for x in known]
+    views = []
+    for (mean, scale), sums in zip(spread, own, strict=True):
+        *_, fitted = _descend(View(mean, scale, np.zeros(len(mean) + 1)), sums, 3.0)
+        views.append(fitted)
+    views = [calibrated(v, x[held], y[held]) for v, x in zip(views, known, strict=True)]
+    for _ in range(rounds):
+        views = _learn(tuple(views), own, pool)
+        views = [calibrated(v, x[held], y[held]) for v, x in zip(views, known, strict=True)]
+    return views[0], views[1]
+
+
+def _learn(teachers: Pair, own: list[Callable[[View], np.ndarray]], pool: Callable[[Pair, Pair], np.ndarray]) -> list[View]:
+    """Both views fitted anew side by side, so that a step of both reads the pool once."""
+    learners, split = list(teachers), (len(teachers[0].weights) + 1) * len(teachers[0].weights) + 2
+    now: list[np.ndarray] = []
+
+    def both(i: int) -> Callable[[View], np.ndarray]:
+        def total(view: View) -> np.ndarray:
+            mine = own[i](view)
+            return mine + now[i] * (PSEUDO_SHARE * mine[-1] / max(1.0, now[i][-1]))
+
+        return total
+
+    steps = [_descend(view, both(i), 3.0) for i, view in enumerate(learners)]
+    moving = [True, True]
+    while any(moving):
+        sums = pool(teachers, (learners[0], learners[1]))
+        now[:] = sums[:split], sums[split:]
+        for i in (0, 1):
+            after = next(steps[i], None) if moving[i] else None
+            moving[i] = after is not None
+            learners[i] = after or learners[i]
+    return learners
+
+
+#: Sums over rows are added as whole multiples of their number over this, so that
+#: their order, and tasks that run twice, make no difference.
+_GRAIN = 2.0**40
+
+
+def _added(rows: DataFrame, count: int, of: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray:
+    """``of`` over all ``rows``: a task adds up its own, Spark the tasks', slot by slot."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(of(_both(batch)) for batch in batches if batch.num_rows)
+        if not np.isscalar(total):
+            whole = np.rint(total / count * _GRAIN).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_lists([whole], len(whole), pa.int64())], ["sums"])
+
+    slots = rows.mapInArrow(part, "sums array<bigint>").select(F.posexplode("sums").alias("slot", "sum"))
+    found = slots.groupBy("slot").agg(F.sum("sum").alias("sum")).toArrow()
+    return found["sum"].to_numpy()[np.argsort(found["slot"].to_numpy())] / _GRAIN * count
+
+
+def _both(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(_flat(batch.column(name)).reshape(-1, size) for name, size in (("text_view", TEXT_SIZE), ("meta_view", META_SIZE)))
+
+
+def _spread(rows: DataFrame, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and scale of every feature over all rows."""
+    sums = _added(rows, count, moments) / count
+    mean, square = np.split(sums, 2)
+    scale = np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-3)
+    return [(mean[:TEXT_SIZE], scale[:TEXT_SIZE]), (mean[TEXT_SIZE:], scale[TEXT_SIZE:])]
 
 
 def _drawn(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,9 +288,8 @@ def _drawn(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     part = F.pmod(F.xxhash64("doc_id", "dk"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, total)))
     found = rows.where(part).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "dk", "text_view", "meta_view", "y").toArrow().combine_chunks()
     order = np.lexsort((found["doc_id"].to_numpy(), found["dk"].to_numpy()))
-    return tuple(
-        _flat(found[name]).reshape(-1, size)[order] for name, size in (("text_view", TEXT_SIZE), ("meta_view", META_SIZE))
-    ) + (found["y"].to_numpy()[order],)
+    text, meta = _both(found)
+    return text[order], meta[order], found["y"].to_numpy()[order]
 
 
 def _flat(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -211,10 +303,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     (``doc_id, text, lang, source``), by views co-trained on ``labels``
     (``doc_id, quality``).
 
-    Features of all rows are written once.  Models are fitted on bounded
-    samples (:data:`MAX_LABELLED`, :data:`MAX_POOL`); then every row is scored:
-    ``score`` is the chance at the mean of both calibrated logits, and rows from
-    :data:`KEEP_FROM` are kept.
+    Features of all rows are written once.  Models are fitted on a bounded sample of
+    the labelled rows (:data:`MAX_LABELLED`) and on all unlabelled ones, of which a step
+    needs sums only; then every row is scored: ``score`` is the chance at the mean of
+    both calibrated logits, and rows from :data:`KEEP_FROM` are kept.
 
     NULL text counts as empty, NULL language and source as values of their own;
     rows that repeat score alike; labels that disagree on an id count by their
@@ -223,8 +315,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
     known = materialize(views(docs), "views")
     said = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     labelled = _drawn(known.join(said, "doc_id"), MAX_LABELLED)
-    pool = _drawn(known.join(said, "doc_id", "left_anti").withColumn("y", F.lit(0.0)), MAX_POOL)
-    models = co_train(labelled, pool[:2], rounds)
+    both_kinds = len(np.unique(labelled[2])) == 2
+    models = None
+    if both_kinds:
+        pool = materialize(known.join(said, "doc_id", "left_anti").select("text_view", "meta_view"), "pool")
+        n_pool = pool.count()
+        exchange = lambda teachers, learners: _added(pool, n_pool, lambda x: exchange_sums(x, teachers, learners))
+        models = co_train(labelled, _spread(known, known.count()), exchange, rounds if n_pool else 0)
     if models is None:
         none = F.lit(None).cast("double")
         return known.select("doc_id", "dk", none.alias("p_text"), none.alias("p_meta"), none.alias("score"), F.lit(True).alias("keep"))
@@ -232,8 +329,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = lambda name, size: _flat(batch.column(name)).reshape(-1, size)  # noqa: B023, E731
-            a, b = text_model.logits(at("text_view", TEXT_SIZE)), meta_model.logits(at("meta_view", META_SIZE))
+            text, meta = _both(batch)
+            a, b = text_model.logits(text), meta_model.logits(meta)
             chances = [np.round(sigmoid(z), 6) for z in (a, b, (a + b) / 2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("dk"), *map(pa.array, chances), pa.array(chances[2] >= KEEP_FROM)],
