@@ -31,6 +31,7 @@ from sourcelake.plans.pipeline import analyze
 from sourcelake.session import fresh_path, materialize
 from sourcelake.sources.artifacts import scan_artifact, write_artifact
 from sourcelake.sources.cache import append_cache, read_cache, write_cache
+from sourcelake.sources.files import scan_files, write_trees
 from sourcelake.sources.prompts import write_prompts
 from sourcelake.streaming.incremental import incremental_summaries, read_batches
 
@@ -81,6 +82,13 @@ PY, JS, TS = ["python"], ["javascript", "typescript", "tsx"], ["typescript", "ts
 # --- queries ------------------------------------------------------------------
 
 
+def q_scan_files(spark, sf):
+    """Documents written as trees of files, then listed, filtered by suffix and read back."""
+    roots = write_trees(corpus.tree_files(spark, sf), fresh_path(spark, "trees"))
+    files = scan_files(spark, roots)
+    return files.select("repo", "path", F.length("content").cast("bigint").alias("chars"), F.md5("content").alias("content_md5"))
+
+
 def q_filter_ignored(spark, sf):
     paths = corpus.scattered_paths(spark, sf)
     return filters.filter_ignored(paths, filters.parse_ignore_rules(corpus.ignore_files(paths)))
@@ -360,6 +368,7 @@ def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     paths = corpus.scattered_paths
     return _llm_queries() | {
+        "scan_files": q_scan_files,
         "filter_extension": lambda s, d: filters.filter_extension(paths(s, d), filters.DEFAULT_EXTENSIONS),
         "filter_ignored": q_filter_ignored,
         "select_files": q_select_files,

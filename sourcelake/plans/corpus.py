@@ -191,6 +191,24 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(F.col("lang").alias("repo"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content"))
 
 
+TREE_FOLDERS = ("_gen/", ".git/", "a/b/c/", "", ".cfg/d/")
+TREE_SUFFIXES = (".py", ".ts", ".md", ".jsx")
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their language's tree, in folders of all kinds; one in
+    four has a suffix that is not read, every third has lines that end as on Windows."""
+    key = F.col("doc_id")
+    of = lambda names: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    text = F.coalesce("text", F.lit(""))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return documents.select(
+        F.coalesce("lang", F.lit("none")).alias("repo"),
+        F.concat(of(TREE_FOLDERS), F.lit("doc_"), key.cast("string"), of(TREE_SUFFIXES)).alias("path"),
+        F.when(key % 3 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text).alias("content"),
+    )
+
+
 def scattered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo, path)``: one path per order, in all the places selection rules
     care about."""

@@ -394,6 +394,11 @@ _CANDIDATES = """SELECT repo, path, pos, unnest(range(len(c))) AS ord, unnest(c)
         ELSE [] END AS c FROM imp)"""
 
 _SELECTS = {
+    "scan_files": """SELECT repo, path, length(content) AS chars, md5(content) AS content_md5 FROM (
+        SELECT coalesce(lang, 'none') AS repo,
+            ['_gen/', '.git/', 'a/b/c/', '', '.cfg/d/'][doc_id % 5 + 1] || 'doc_' || doc_id || ['.py', '.ts', '.md', '.jsx'][doc_id % 4 + 1] AS path,
+            regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS content
+        FROM documents) WHERE path NOT LIKE '.git/%' AND path NOT LIKE '%.md'""",
     "filter_extension": _kept("place NOT IN (3, 4)"),
     "filter_ignored": _kept(f"NOT ({_IGNORED})"),
     "select_files": _kept(_SELECTED),

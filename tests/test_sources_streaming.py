@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sourcelake import schemas
 from sourcelake.operators.ordinals import ordinals
 from sourcelake.operators.structure import extract_structure
-from sourcelake.sources.files import scan_files, scan_selected
+from sourcelake.sources import files as source_files
+from sourcelake.sources.files import pack_files, scan_files, scan_selected, write_trees
 from sourcelake.streaming.incremental import incremental_summaries, read_batches, summarize_stream
 
 
@@ -35,6 +36,36 @@ def test_scan_tree(spark, tmp_path):
         "a.py", "pkg/__init__.py", "pkg/_deep/m.ts", "pkg/bad.py", "sp ace/q.js"]
 
 
+@pytest.mark.parametrize("target", [1 << 20, 7 << 20])
+def test_packs_hold_their_bytes(spark, target):
+    """No pack passes twice its target, unless it is one file; small files share packs."""
+    sizes = [(i * 7919) % 200_000 for i in range(3000)] + [9 << 20, 30 << 20, 0, 0]
+    rows = [("hot" if i % 3 else f"r{i % 7}", f"d{i % 11}/f{i}", size) for i, size in enumerate(sizes)]
+    packed, packs = pack_files(spark.createDataFrame(rows, "repo string, path string, size bigint"), target)
+    held = {}
+    for r in packed.collect():
+        held.setdefault(r.pack, []).append(r.size)
+    assert sorted(sum(held.values(), [])) == sorted(sizes) and set(held) <= set(range(packs))
+    cost = lambda pack: sum(pack) + len(pack) * source_files.OPEN_BYTES
+    assert all(len(p) == 1 or cost(p) < 2 * target for p in held.values())
+    large = sum(s + source_files.OPEN_BYTES > target for s in sizes)
+    assert large >= 2 and packs <= cost(sizes) // target + 1 + large
+
+
+def test_packs_of_nothing(spark):
+    packed, packs = pack_files(spark.createDataFrame([], "repo string, path string, size bigint"))
+    assert packs == 0 and packed.isEmpty()
+
+
+def test_trees_written_and_read(spark, tmp_path):
+    rows = [("a", "x/__init__.py", "é\r\n"), ("a", "_y.js", None), ("b b", "deep/er/.z.ts", "1"), ("b b", "no.txt", "2")]
+    roots = write_trees(spark.createDataFrame(rows, "repo string, path string, content string"), str(tmp_path))
+    got = {(r.repo, r.path): r.content for r in scan_files(spark, roots).collect()}
+    assert got == {("a", "x/__init__.py"): "é\n", ("a", "_y.js"): "", ("b b", "deep/er/.z.ts"): "1"}
+    with pytest.raises(Exception, match="outside its tree"):
+        write_trees(spark.createDataFrame([("a", "../x.py", "")], "repo string, path string, content string"), str(tmp_path))
+
+
 def versions(spark, path, *entries):
     rows = [("r", p, text, datetime(2024, 1, day, tzinfo=timezone.utc)) for p, text, day in entries]
     spark.createDataFrame(rows, schemas.FILES).write.mode("append").parquet(path)
