@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sourcelake import schemas
 from sourcelake.functions.paths import basename
-from sourcelake.functions.rows import each
 from sourcelake.operators.artifact import ORDER
 
 
@@ -36,12 +35,13 @@ def _repo() -> Column:
 
 
 def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    """One row per element.  Parts of a document need not be well formed by
-    themselves, but hold whole elements, so elements are cut out and parsed."""
-    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    found = F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}(?=[\s/>])[^>]*+(?:(?<=/)>|>.*?</{tag}\s*>)"), F.lit(0))
-    elements = each(texts.select("value", _repo().alias("repo")), ["repo"], found, "xml")
-    return elements.select("repo", F.from_xml("xml", schema).alias("e")).select("repo", "e.*")
+    """One row per element, read as a stream of them: neither a document nor a part of
+    one is ever a single string.  Parts need not be well formed by themselves, but
+    hold whole elements: the parser that looks for tags reads them, where the other
+    stops at the first end tag that has no start."""
+    options = {"recursiveFileLookup": "true", "rowTag": tag, "useLegacyXMLParser": "true"}
+    rows = spark.read.options(**options).schema(schema).xml(path)
+    return rows.select(_repo().alias("repo"), *rows.columns)
 
 
 def scan_artifact(spark: SparkSession, path: str) -> Artifact:

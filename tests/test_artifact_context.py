@@ -80,6 +80,21 @@ def test_round_trip(spark, run, tmp_path):
     assert ET.fromstring(whole).get("repo") == "app"
 
 
+def test_elements_are_read_one_by_one(spark, tmp_path):
+    """Nodes of every form, in a part that starts and ends between elements; names that
+    only start like the tag are not its elements."""
+    part = [f'<node name="f{i}.py" type="leaf">\n<depends_on />\n</node>' for i in range(2000)]
+    part += ['<node name="q.py"/>', '<node\nname="a&amp;&lt;&quot;.py"><depends_on><dep>f1.py</dep><dep></dep></depends_on></node>', '<nodes name="no"></nodes>']
+    (tmp_path / "repo=r").mkdir()
+    (tmp_path / "repo=r" / "part-0").write_text("</summary>\n" + "\n".join(part) + "\n</dependency_graph>\n<modules>\n")
+    loaded = scan_artifact(spark, str(tmp_path))
+    names = sorted(r.path for r in loaded.nodes.collect())
+    assert names == sorted([f"f{i}.py" for i in range(2000)] + ["q.py", 'a&<".py'])
+    assert [tuple(r) for r in loaded.edges.collect()] == [("r", 'a&<".py', "f1.py", 0)]
+    plan = loaded.nodes._jdf.queryExecution().executedPlan().toString()
+    assert "Format: XML" in plan and "regexp_extract_all" not in plan
+
+
 def test_metadata_of_a_single_file(spark, document, tmp_path):
     (tmp_path / "doc.xml").write_text(document)
     meta = scan_artifact(spark, str(tmp_path / "doc.xml")).metadata.first()
