@@ -18,7 +18,7 @@ def tokens_of_length(chars: Column) -> Column:
 
 def newlines(text: Column) -> Column:
     """Universal newlines: CRLF and lone CR become LF."""
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def strip(text: Column) -> Column:

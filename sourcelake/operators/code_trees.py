@@ -1,17 +1,23 @@
 """Block trees of source files, from brackets and indentation.
 
-A file's tokens are found by one regular expression, whose strings and comments
-swallow whatever stands in them.  Of them four kinds become tree nodes or end
-them: brackets, keywords, and in Python the first token of each logical line.
-Names, numbers and operators are left out, so files of one shape have one tree.
+A file's tokens are found by one regular expression, which reads over strings,
+comments, names, numbers and operators.  Brackets, keywords, and in Python the first
+token of each logical line become tree nodes or end them, so files of one shape
+have one tree.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import lru_cache
+from itertools import zip_longest
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sourcelake.functions.rows import each_pos
+from sourcelake.functions.rows import each
 from sourcelake.functions.text import newlines
 from sourcelake.operators.structure import (
     _JS_COMMENT,
@@ -39,101 +45,136 @@ JS_KEYWORDS = (
 )
 OPENS, CLOSES = ("(", "[", "{"), (")", "]", "}")
 ROOT, LINE = "module", "line"
-
-#: A line's token is its break and indentation, with its first word if it starts with one;
-#: blank lines, and lines of a comment only, have none, nor has a break behind a backslash.
-_PY_TOKEN = rf"{_PY_TRIPLE}|{_STRING}|#[^\n]*+|\\\n|\n[ \t]*+(?:{_WORD}++|(?=[^\s#]))|{_WORD}++|[()\[\]{{}}]"
-_JS_TOKEN = rf"{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}|{_JS_REGEX}|{_WORD}++|[()\[\]{{}}]"
-_FAR = 1 << 40
+_STEP = dict.fromkeys(OPENS, 1) | dict.fromkeys(CLOSES, -1)
 
 
-def block_events(files: DataFrame) -> DataFrame:
-    """``(tree_id, n, kind, type, depth, width)``: what opens, closes or stands in
-    a block, numbered from 1 in each file.
+def _other_word(keywords) -> str:
+    """A word that is none of the keywords, which are told apart by their first letter."""
+    letters = sorted({k[0] for k in keywords})
+    tried = "|".join(f"{x}(?:{'|'.join(k[1:] for k in keywords if k[0] == x)})" for x in letters)
+    return rf"(?!(?:{tried})(?!{_WORD})){_WORD}++"
 
-    ``kind`` is ``open``, ``close``, ``word`` or ``line``; ``depth`` counts the
-    brackets around it and ``width`` is the indentation of a line, a tab as eight
-    blanks.  A line that starts inside brackets goes on with the one before."""
-    python = detect_language(F.col("path")) == "python"
-    script = detect_language(F.col("path")).isin(*JS_FAMILY)
-    text = newlines(F.coalesce("content", F.lit("")))
-    tokens = F.when(python, F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(_PY_TOKEN), F.lit(0))).when(
-        script, F.regexp_extract_all(text, F.lit(_JS_TOKEN), F.lit(0))
-    )
-    rows = each_pos(files, [F.struct("repo", "path").alias("tree_id"), python.alias("python")], tokens, "pos", "token")
-    starts = F.startswith(F.col("token"), F.lit("\n"))
-    rows = rows.withColumn("word", F.when(starts, F.regexp_replace("token", r"^\n[ \t]*+", "")).otherwise(F.col("token")))
-    keyword = F.when(F.col("python"), F.col("word").isin(*PY_KEYWORDS)).otherwise(F.col("word").isin(*JS_KEYWORDS))
-    kind = (
-        F.when(starts, F.lit("line")).when(F.col("token").isin(*OPENS), F.lit("open"))
-        .when(F.col("token").isin(*CLOSES), F.lit("close")).when(keyword, F.lit("word"))
-    )
-    indent = F.regexp_replace(F.regexp_extract("token", r"^\n([ \t]*+)", 1), "\t", " " * 8)
-    rows = rows.select(
-        "tree_id", "pos", "python", kind.alias("kind"), F.when(starts & ~keyword, F.lit(LINE)).otherwise(F.col("word")).alias("type"),
-        F.char_length(indent).alias("width"), keyword.alias("keyword"),
-    ).where("kind is not null")
-    order = Window.partitionBy("tree_id").orderBy("pos")
-    running = F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(order)
-    rows = rows.withColumn("running", running)
-    # Brackets that close nothing count for nothing: depth is above the least so far.
-    least = F.least(F.min("running").over(order), F.lit(0))
-    rows = rows.withColumn("depth", F.col("running") - least - (F.col("kind") == "open").cast("int"))
-    inside = (F.col("kind") == "line") & (F.col("depth") > 0)
-    rows = rows.where(~inside | F.col("keyword")).withColumn("kind", F.when(inside, F.lit("word")).otherwise(F.col("kind")))
-    return rows.select("tree_id", F.row_number().over(order).alias("n"), "python", "kind", "type", "depth", "width")
-
-
-def _in_brackets(events: DataFrame) -> DataFrame:
-    """Nodes that are not lines, each under the bracket it stands in, else under its line.
-
-    Each token is seen one level up, as a child, and a bracket at its own level
-    too; there the last one that opened before a child is its parent, and the
-    next that closes ends the bracket."""
-    is_open, is_close = F.col("kind") == "open", F.col("kind") == "close"
-    line = F.last(F.when(F.col("kind") == "line", F.col("n")), ignorenulls=True).over(Window.partitionBy("tree_id").orderBy("n"))
-    roles = F.when(is_open, F.array(F.lit(False), F.lit(True))).when(is_close, F.array(F.lit(False))).otherwise(F.array(F.lit(True)))
-    seen = events.withColumn("line", line).where("kind <> 'line'").select("*", F.explode(roles).alias("child"))
-    seen = seen.withColumn("level", F.col("depth") - F.col("child").cast("int"))
-    level = Window.partitionBy("tree_id", "level").orderBy("n", "child")
-    own = ~F.col("child")
-    placed = seen.select(
-        "*",
-        F.last(F.when(own & is_open, F.col("n")), ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1)).alias("around"),
-        F.first(F.when(own & is_close, F.col("n")), ignorenulls=True).over(level.rowsBetween(1, Window.unboundedFollowing)).alias("closed"),
-    ).where(~is_close)
-    nodes = placed.groupBy("tree_id", "n").agg(
-        F.first("type").alias("type"), F.first("kind").alias("kind"), F.first("line").alias("line"), F.first("depth").alias("depth"),
-        F.max(F.when(F.col("child"), F.col("around"))).alias("around"), F.max(F.when(own, F.col("closed"))).alias("closed"),
-    )
-    parent = F.when(F.col("depth") > 0, F.coalesce("around", "line")).otherwise(F.col("line"))
-    end = F.when(F.col("kind") == "open", F.coalesce(F.col("closed").cast("bigint"), F.lit(_FAR))).otherwise(F.col("n").cast("bigint"))
-    return nodes.select("tree_id", "n", "type", parent.alias("parent"), (end * 2).alias("end"))
 
+#: What is read over: other signs and words, strings, comments.  A line's token is its break and indentation, with
+#: its first word if it starts with one; blank lines, and lines of a comment only, have none, nor has a break behind a backslash.
+_PLAIN = r"[ .,:;=]++|[^\n\"'#`/\\()\[\]{}\w$\x{80}-\x{10FFFF}]"
+_PY_OVER = (
+    rf"{_PLAIN}|{_other_word(PY_KEYWORDS)}|(?=[\"'#\\\n/`])(?:{_PY_TRIPLE}|{_STRING}|#[^\n]*+|\\\n|\n(?![ \t]*+[^\s#])|[\\/`])"
+)
+_JS_OVER = rf"{_PLAIN}|{_other_word(JS_KEYWORDS)}|(?=[\"'#\\\n/`])(?:{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}|{_JS_REGEX}|[#\\\n/`])"
+#: One match for each token that counts, with all before it; ``\G`` keeps a match from starting inside what was read over.
+_PY_TOKEN = rf"\G(?:{_PY_OVER})*+(\n[ \t]*+(?:{_WORD}++|(?=[^\s#]))|{_WORD}++|[()\[\]{{}}])"
+_JS_TOKEN = rf"\G(?:{_JS_OVER})*+({_WORD}++|[()\[\]{{}}])"
+_FAR = 1 << 40
+#: Stands between tokens; none of them has it.
+_BETWEEN = "\x01"
+_NODE = T.StructType(
+    [T.StructField(name, kind) for name, kind in (
+        ("node_id", T.LongType()), ("parent_id", T.LongType()), ("child_ord", T.IntegerType()), ("visit_ord", T.LongType()), ("type", T.StringType())
+    )]
+)
 
-def _by_indentation(events: DataFrame) -> DataFrame:
-    """Lines, each under the nearest line before it that is indented less.
 
-    A line is seen at every width up to its own that its file has, as many
-    as blocks nest.  The last line of a smaller width before it is its
-    parent, the next one of its own or a smaller width ends it."""
-    lines = events.where("kind = 'line'").select("tree_id", "n", "type", "width")
-    widths = F.collect_set("width").over(Window.partitionBy("tree_id"))
-    seen = lines.withColumn("widths", widths).select(
-        "tree_id", "n", "type", "width", F.explode(F.filter("widths", lambda w: w <= F.col("width"))).alias("at")
-    )
-    level = Window.partitionBy("tree_id", "at").orderBy("n")
-    own = F.when(F.col("at") == F.col("width"), F.col("n"))
-    placed = seen.select(
-        "*",
-        F.last(own, ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first(own, ignorenulls=True).over(level.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-    )
-    nodes = placed.groupBy("tree_id", "n").agg(
-        F.first("type").alias("type"), F.max(F.when(F.col("at") < F.col("width"), F.col("before"))).alias("parent"), F.min("after").alias("after")
+def block_tokens(files: DataFrame) -> DataFrame:
+    """``(tree_id, tokens)``: brackets, keywords and starts of Python's lines of each
+    file in text order, as one string; files of other languages are left out."""
+    language = detect_language(F.col("path"))
+    text = newlines(F.coalesce("content", F.lit("")))
+    found = F.when(language == "python", F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(_PY_TOKEN), F.lit(1))).otherwise(
+        F.regexp_extract_all(text, F.lit(_JS_TOKEN), F.lit(1))
     )
-    end = F.coalesce(F.col("after").cast("bigint"), F.lit(_FAR)) * 2 - 1
-    return nodes.select("tree_id", "n", "type", "parent", end.alias("end"))
+    return files.where(language != "unknown").select(F.struct("repo", "path").alias("tree_id"), F.array_join(found, _BETWEEN).alias("tokens"))
+
+
+@lru_cache(1 << 16)
+def _line(token: str) -> tuple[str, int]:
+    """Type and width of a line by its token; a tab is as wide as eight blanks."""
+    word = token.lstrip("\n\t ")
+    return word if word in PY_KEYWORDS else LINE, len(token) - len(word) - 1 + 7 * token.count("\t")
+
+
+def _place(copies: list[list[str]]) -> tuple[list[int], list[int | None], list[str], list[int]]:
+    """Numbers, parents, types and ends of the nodes of one file; rows that share its
+    tree have their tokens beside each other.  Ends order the visits.
+
+    A line that starts inside brackets goes on with the one before, and brackets that
+    close nothing count for nothing: depth is above the least so far.  The last bracket
+    that opened one level up is a node's parent, the next that closes at its own level
+    ends it; a line stands under the nearest one before that is indented less."""
+    k = len(copies)
+    numbers, parents, types, ends = [0] * k, [None] * k, [ROOT] * k, [4 * _FAR] * k
+    n, running, least, line = 0, 0, 0, 0
+    opened: dict[int, int] = {}
+    unclosed: dict[int, list[int]] = {}
+    around: list[tuple[int, int, int]] = []  # width, number and row of the lines that a line may stand under
+    for peers in zip(copies[0], strict=True) if k == 1 else zip_longest(*copies, fillvalue=""):
+        for token in peers:
+            running += _STEP.get(token, 0)
+        least = min(least, running)
+        depth = running - least
+        for token in peers:
+            step = _STEP.get(token, 0)
+            if not token:
+                continue
+            if step < 0:
+                n += 1
+                for row in unclosed.pop(depth, ()):
+                    ends[row] = 2 * n
+                continue
+            kind = token
+            if step > 0:
+                n += 1
+                parent = opened.get(depth - 2, line) if depth > 1 else line
+                opened[depth - 1] = n
+                unclosed.setdefault(depth - 1, []).append(len(ends))
+                end = 2 * _FAR
+            elif token[0] != "\n":
+                n += 1
+                parent, end = opened.get(depth - 1, line) if depth else line, 2 * n
+            else:
+                kind, width = _line(token)
+                if depth and kind == LINE:
+                    continue
+                n += 1
+                if depth:
+                    parent, end = opened.get(depth - 1, line), 2 * n
+                else:
+                    while around and around[-1][0] >= width:
+                        ends[around.pop()[2]] = 2 * n - 1
+                    parent, end, line = around[-1][1] if around else 0, 2 * _FAR - 1, n
+                    around.append((width, n, len(ends)))
+            numbers.append(n)
+            parents.append(parent)
+            types.append(kind)
+            ends.append(end)
+    return numbers, parents, types, ends
+
+
+def _ranks(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rank from 1 of each row among those of its group: ``rows`` in order, ``starts`` marks the first of a group there."""
+    places = np.arange(len(rows))
+    ranks = np.empty(len(rows), np.int64)
+    ranks[rows] = places - np.maximum.accumulate(np.where(starts, places, 0)) + 1
+    return ranks
+
+
+@F.arrow_udf(T.ArrayType(_NODE))
+def _placed(trees: pa.Array) -> pa.Array:
+    """Nodes of each file from the tokens of its rows."""
+    numbers, parents, types, ends, sizes = [], [], [], [], [0]
+    for rows in trees.to_pylist():
+        found = _place([row.split(_BETWEEN) if row else [] for row in rows])
+        for column, values in zip((numbers, parents, types, ends), found, strict=True):
+            column.extend(values)
+        sizes.append(len(found[0]))
+    offsets = np.cumsum(sizes)
+    tree = np.repeat(np.arange(len(sizes) - 1), sizes[1:])
+    n, end, parent = np.array(numbers, np.int64), np.array(ends, np.int64), np.array([-1 if x is None else x for x in parents], np.int64)
+    siblings, visits = np.lexsort((n, parent, tree)), np.lexsort((n, -end, tree))
+    new_tree = np.diff(tree[visits], prepend=-1) != 0
+    new_parent = (np.diff(tree[siblings], prepend=-1) != 0) | (np.diff(parent[siblings], prepend=-2) != 0)
+    columns = [pa.array(n), pa.array(parents, pa.int64()), pa.array(_ranks(siblings, new_parent).astype(np.int32)), pa.array(_ranks(visits, new_tree)), pa.array(types, pa.string())]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["node_id", "parent_id", "child_ord", "visit_ord", "type"]))
 
 
 def code_tree_nodes(files: DataFrame) -> DataFrame:
@@ -144,22 +185,12 @@ def code_tree_nodes(files: DataFrame) -> DataFrame:
     leaf; a logical line of Python, typed by its first word if that is a keyword,
     holds its brackets and keywords and the lines indented more.  Brackets that are
     never closed hold all that follows.  Files of other languages are left out.
-    All rows of a tree are bounded by its file, and one exchange by
-    ``tree_id`` serves every window here and the hashes after.  ``visit_ord``
+    All rows of a tree are bounded by its file: one exchange by ``tree_id`` brings
+    the rows together that share one, and serves the hashes after.  ``visit_ord``
     numbers nodes in last-child-first pre-order."""
-    events = block_events(files)
-    found = _in_brackets(events).unionByName(_by_indentation(events))
-    known = files.where(detect_language(F.col("path")) != "unknown").select(F.struct("repo", "path").alias("tree_id"))
-    root = known.select(
-        "tree_id", F.lit(0).alias("n"), F.lit(ROOT).alias("type"), F.lit(None).cast("int").alias("parent"), F.lit(4 * _FAR).alias("end")
-    )
-    nodes = found.withColumn("parent", F.coalesce("parent", F.lit(0))).unionByName(root)
-    siblings = Window.partitionBy("tree_id", "parent").orderBy("n")
-    visits = Window.partitionBy("tree_id").orderBy(F.col("end").desc(), "n")
-    return nodes.select(
-        "tree_id", F.col("n").cast("bigint").alias("node_id"), F.col("parent").cast("bigint").alias("parent_id"),
-        F.row_number().over(siblings).alias("child_ord"), F.row_number().over(visits).cast("bigint").alias("visit_ord"), "type",
-    )
+    grouped = block_tokens(files).groupBy("tree_id").agg(F.collect_list("tokens").alias("rows"))
+    placed = grouped.select("tree_id", _placed("rows").alias("nodes"))
+    return each(placed, ["tree_id"], F.col("nodes"), "node").select("tree_id", "node.*")
 
 
 def tree_fingerprints(files: DataFrame, depth: int = 4, max_nodes: int | None = None) -> DataFrame:

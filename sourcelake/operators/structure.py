@@ -99,11 +99,11 @@ def _none() -> Column:
 
 def detect_language(path: Column) -> Column:
     """Language by lower-cased suffix, ``unknown`` otherwise."""
-    lowered = F.lower(path)
+    last = F.lower(F.substring_index(path, ".", -1))
     named = path.rlike(r"[^./][^/]*\.[^./]*$")  # a name of dots and suffix only has no suffix
     out = F.lit("unknown")
     for suffix, language in LANGUAGES.items():
-        out = F.when(F.endswith(lowered, F.lit(suffix)) & named, F.lit(language)).otherwise(out)
+        out = F.when((last == suffix.removeprefix(".")) & named, F.lit(language)).otherwise(out)
     return out
 
 

@@ -133,3 +133,21 @@ def test_pipeline_clusters_by_trees_or_shapes(spark):
         assert {r.member for r in analyze(df, by=by).members.collect()} == {"a.ts", "b.ts"}
     with pytest.raises(ValueError):
         analyze(df, by="names")
+
+
+def test_trees_need_no_windows_and_few_exchanges(spark):
+    """One for the rows of a tree, one for its nodes, one for its distinct hashes; texts are read once."""
+    df = spark.createDataFrame([("r", "a.py", "if x:\n    f([1])\n")], FILES)
+    hashed = trees.fingerprint_set(trees.subtree_hash(code_trees.code_tree_nodes(df)))
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" not in plan and plan.count("Exchange hashpartitioning") == 3 and plan.count("Scan ExistingRDD") == 1
+
+
+def test_rows_that_share_a_tree_and_odd_line_ends(spark):
+    """Copies of a row have their tokens beside each other; a lone CR ends a line."""
+    row = ("r", "a.py", "if x:\r    f(\r\n1)\n")
+    once, twice = (code_trees.code_tree_nodes(spark.createDataFrame([row] * k, FILES)) for k in (1, 2))
+    assert [r.type for r in once.orderBy("node_id").collect()] == ["module", "if", "line", "("]
+    assert sorted((r.type, r.node_id, r.parent_id) for r in twice.collect()) == [
+        ("(", 5, 4), ("(", 6, 4), ("if", 1, 0), ("if", 2, 0), ("line", 3, 2), ("line", 4, 2), ("module", 0, None), ("module", 0, None)
+    ]
