@@ -7,6 +7,10 @@ one exchange serves them all.
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,18 +96,84 @@ def _leaf_hash(kind: Column) -> Column:
     return F.sha1(kind)
 
 
+#: Subtree shapes a task remembers before it lets go of them, which bounds its memory.
+REMEMBERED = 1 << 16
+
+
 def subtree_hash(nodes: DataFrame, depth: int = 4, colocate: bool = True) -> DataFrame:
     """Adds ``h``: SHA-1 of the typed tree shape down to ``depth`` levels.
 
     Level 0 hashes the type; level d hashes the type around its children's
-    level d-1 hashes in order.  Each round turns a node into two rows, itself
-    under its own id and its hash under its parent's id, and groups by id: no
-    join.  With ``colocate`` the rows are placed by ``tree_id`` once and no
-    round shuffles; without it rounds shuffle by node, for trees too large for
-    one task."""
+    level d-1 hashes in order.  With ``colocate`` the nodes of a tree are brought
+    together by ``tree_id`` once and hashed there, all levels in turn; without it
+    rounds shuffle by node, for trees too large for one task."""
+    if depth <= 0 or not colocate:
+        return _hash_rounds(nodes, depth)
+    payload = F.struct(*[f.name for f in nodes.schema.fields if f.name != "tree_id"])
+    grouped = nodes.groupBy("tree_id").agg(F.collect_list(payload).alias("nodes"))
+    links = F.transform("nodes", lambda x: F.struct(x["node_id"], x["parent_id"], x["child_ord"].cast("int"), x["type"]))
+    hashed = grouped.select("tree_id", "nodes", _tree_hashes(depth)(links).alias("hashes"))
+    merged = F.zip_with("nodes", "hashes", lambda x, y: F.struct(x.alias("node"), y.alias("of")))
+    rows = each(hashed, ["tree_id"], F.filter(merged, lambda x: x["of"]["own"]), "r")
+    return rows.select("tree_id", "r.node.*", F.col("r.of.h").alias("h"))
+
+
+def _sha1(text: str | None) -> str | None:
+    return None if text is None else hashlib.sha1(text.encode()).hexdigest()
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _tree_hashes(depth: int):
+    """A function of a tree's ``(node_id, parent_id, child_ord, type)`` to ``(own, h)``
+    of each: its hash, and whether it is the row that stands for its id."""
+
+    @F.arrow_udf("array<struct<own:boolean,h:string>>")
+    def hashes(trees: pa.Array) -> pa.Array:
+        leaf, inner = lru_cache(REMEMBERED)(_sha1), lru_cache(REMEMBERED)(
+            lambda kind, kids: None if kind is None else _sha1(f"{kind}({','.join(kids)})")
+        )
+        ids, parents, ords, types = map(_values, trees.flatten().flatten())
+        own, found, offsets = [True] * len(ids), [], [x - trees.offsets[0].as_py() for x in trees.offsets.to_pylist()]
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            first = dict(zip(reversed(ids[a:b]), range(b - 1, a - 1, -1), strict=True))
+            first.pop(None, None)
+            kids: dict[int, list[int]] = {}
+            for i in range(a, b):
+                if parents[i] in first:
+                    kids.setdefault(first[parents[i]] - a, []).append(i - a)
+            kind, order = types[a:b], ords[a:b]
+            h, bare = [leaf(x) for x in kind], [inner(x, ()) for x in kind]
+            tied = [at for at, some in kids.items() if len({order[i] for i in some}) < len(some)]
+            for some in kids.values():
+                some.sort(key=lambda i: (order[i] is not None, order[i] or 0))
+            for level in range(depth):
+                if level == 1 and len(first) < b - a:  # rows that share an id are one node from the second level on
+                    for i in set(range(a, b)).difference(first.values()):
+                        own[i] = False
+                    kids = {at: [i for i in some if own[a + i]] for at, some in kids.items()}
+                for at in tied:
+                    kids[at].sort(key=lambda i: (order[i] is not None, order[i] or 0, h[i] or ""))
+                new = bare.copy()
+                for at, some in kids.items():
+                    new[at] = inner(kind[at], tuple([h[i] for i in some if h[i] is not None]))
+                h = new
+            if len(first) < b - a:
+                for i in set(range(a, b)).difference(first.values()):
+                    own[i] = False
+            found.extend(h)
+        pairs = pa.StructArray.from_arrays([pa.array(own, pa.bool_()), pa.array(found, pa.string())], ["own", "h"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+    return hashes
+
+
+def _hash_rounds(nodes: DataFrame, depth: int) -> DataFrame:
+    """:func:`subtree_hash` in rounds.  Each turns a node into two rows, itself under
+    its own id and its hash under its parent's id, and groups by id: no join."""
     state = nodes.withColumn("h", _leaf_hash(F.col("type")))
-    if depth > 0 and colocate:
-        state = state.repartition("tree_id")
     fields = [f for f in nodes.schema.fields if f.name != "tree_id"]
     payload = F.struct(*[F.col(f.name) for f in fields])
     no_payload = F.lit(None).cast(T.StructType(fields))

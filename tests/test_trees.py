@@ -86,3 +86,16 @@ def test_hash_ignores_names_but_not_shape(spark):
     df = trees.html_tree_nodes(spark.createDataFrame(pages, "page_id int, html string"), "page_id", "html")
     root = {r.tree_id: r.h for r in trees.subtree_hash(df).where(F.col("parent_id").isNull()).collect()}
     assert root["1"] == root["2"] != root["3"]
+
+
+def test_hashes_beside_each_other_are_those_of_the_rounds(spark):
+    """Also for ids and places that repeat, orphans, and nodes without a type or an id."""
+    schema = "tree_id string, node_id bigint, parent_id bigint, child_ord int, visit_ord bigint, type string"
+    rows = [
+        ("a", 0, None, 1, 1, "x"), ("a", 1, 0, 1, 2, "y"), ("a", 2, 0, 1, 3, "z"), ("a", 3, 1, None, 4, "w"), ("a", 3, 1, None, 4, "w"),
+        ("a", 4, 9, 1, 5, "orphan"), ("a", 5, 2, 1, 6, None), ("a", None, 2, 2, 7, "nameless"), ("a", 6, 3, 1, 8, "q"), (None, 0, None, 1, 1, "x"),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    for depth in (1, 2, 4):
+        found = [sorted(map(tuple, trees.subtree_hash(df, depth, colocate=c).collect()), key=repr) for c in (True, False)]
+        assert found[0] == found[1] and len(found[0]) == 8
