@@ -99,11 +99,11 @@ def _none() -> Column:
 
 def detect_language(path: Column) -> Column:
     """Language by lower-cased suffix, ``unknown`` otherwise."""
-    last = F.lower(F.substring_index(path, ".", -1))
+    lowered = F.lower(path)
     named = path.rlike(r"[^./][^/]*\.[^./]*$")  # a name of dots and suffix only has no suffix
     out = F.lit("unknown")
     for suffix, language in LANGUAGES.items():
-        out = F.when((last == suffix.removeprefix(".")) & named, F.lit(language)).otherwise(out)
+        out = F.when(F.endswith(lowered, F.lit(suffix)) & named, F.lit(language)).otherwise(out)
     return out
 
 
@@ -129,7 +129,8 @@ def script_declarations(code: Column) -> Column:
 
 def declared(heads: Column, keyword: str) -> Column:
     """Names among declaration heads that ``keyword`` introduces."""
-    names = F.transform(heads, lambda h: F.regexp_extract(h, rf"\b{keyword}\b[\s*\\]*+({_WORD}++)$", 1))
+    some = F.filter(heads, lambda h: F.contains(h, F.lit(keyword)))  # most heads are of other kinds: no pattern for them
+    names = F.transform(some, lambda h: F.regexp_extract(h, rf"\b{keyword}\b[\s*\\]*+({_WORD}++)$", 1))
     return F.filter(names, lambda n: n != "")
 
 
