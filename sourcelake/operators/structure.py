@@ -49,7 +49,7 @@ _PY_PARENS = r"\((?:[^()#]++|#[^\n]*+)*+\)"
 # The leading lookahead passes over ordinary characters in one step each.
 _PY_BLANK = rf"""(?=["'#f])(?:{_PY_TRIPLE}|{_STRING}|#[^\n]*+|((?<![\w.]){_PY_FROM}{_PY_GAP}*+{_PY_PARENS}))"""
 _PY_IMPORT = (
-    rf"(?m)(?:^|[;:])[ \t]*+((?:{_PY_FROM}(?:{_PY_GAP}*+{_PY_PARENS}|(?:[^\n;#(\\]++|\\\n)++))"
+    rf"(?m)(?=[ \t;:fi])(?:^|[;:])[ \t]*+((?:{_PY_FROM}(?:{_PY_GAP}*+{_PY_PARENS}|(?:[^\n;#(\\]++|\\\n)++))"
     rf"|(?:import{_PY_GAP}++(?:[^\n;#\\]++|\\\n)++))"
 )
 _PY_DECLARATION = rf"(?m)^[ \t]*+(?:(?:async{_PY_GAP}++)?def|class){_PY_GAP}++{_WORD}++"
@@ -70,7 +70,7 @@ _JS_REQUIRE = r"""\brequire\s*\(\s*['"][^'"]+['"]\s*\)"""
 _JS_BLANK = (
     rf"""(?=[/"'`i])(?:({_STRING})|{_JS_COMMENT}|{_JS_TEMPLATE}|{_JS_REGEX}|((?<![\w$.]){_JS_IMPORT}))"""
 )
-_JS_IMPORTS = rf"(?m)(?:^|;)[ \t]*+({_JS_IMPORT})|({_JS_REQUIRE})"
+_JS_IMPORTS = rf"(?m)(?=[ \t;ir])(?:(?:^|;)[ \t]*+({_JS_IMPORT})|({_JS_REQUIRE}))"
 _JS_START = r"(?m)(?:^|[;{}])[ \t]*+(?:@[\w.$]++(?:\([^()\n]*+\))?[ \t]++)*+(?:export[ \t]++)?(?:default[ \t]++)?"
 _JS_PARENS = r"\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\)"
 # An overload signature, which ends at ";" behind its parameters, is no function; a type alias needs its "=".
@@ -86,7 +86,7 @@ _JS_DECLARATION = (
 _JS_EXPORT = (
     rf"export\b(?:\s*+(?:type\b\s*+)?(?:\*(?:\s*+as\s++{_WORD}++)?+|\{{[^{{}}]*+\}})(?:\s*+from\s*+(?:\"[^\"\n]*+\"|'[^'\n]*+'))?+;?+|[^\n]*+)"
 )
-_JS_EXPORTS = rf"""(?m)(?=[/"'`]|^[ \t]*+export\b)(?:{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}|^[ \t]*+({_JS_EXPORT}))"""
+_JS_EXPORTS = rf"""(?m)(?=[/"'` \te])(?:{_JS_COMMENT}|{_STRING}|{_JS_TEMPLATE}|^[ \t]*+({_JS_EXPORT}))"""
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
