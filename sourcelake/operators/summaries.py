@@ -62,8 +62,7 @@ def dependency_mentions(imports: Column, most: int | None = None) -> Column:
     A Python ``from x import y`` has none; quotes are trimmed from the ends
     only, so a JavaScript statement keeps its ``";``."""
 
-    def mention(entry: Column) -> Column:
-        text = strip(entry)
+    def mention(text: Column) -> Column:
         unquote = lambda s: F.btrim(s, F.lit("'\""))
         after_from = strip(F.regexp_extract(text, r"(?s)^.*? from (.*)$", 1))
         word = F.regexp_extract(text, r"^import\s+(\S+)", 1)
@@ -73,7 +72,8 @@ def dependency_mentions(imports: Column, most: int | None = None) -> Column:
             .when(F.startswith(text, F.lit("import ")), _short(unquote(word)))
         )
 
-    return F.filter(F.transform(imports if most is None else F.slice(imports, 1, most), mention), lambda m: m.isNotNull() & (m != ""))
+    entries = F.transform(imports if most is None else F.slice(imports, 1, most), strip)  # by itself: once an entry
+    return F.filter(F.transform(entries, mention), lambda m: m.isNotNull() & (m != ""))
 
 
 def template_summary(path: Column, classes: Column, functions: Column, imports: Column) -> Column:
