@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelake.functions.paths import dirname, extension, normalize
-from sourcelake.functions.rows import each, each_pos
+from sourcelake.functions.rows import HASH, each, each_pos, hashed
 from sourcelake.functions.text import strip
 from sourcelake.operators.structure import JS_FAMILY
 
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx")  # candidate order; fixed value
+SCRIPT_TAILS = (*SCRIPT_SUFFIXES, *("/index" + s for s in SCRIPT_SUFFIXES))
+MODULE_TAILS = (".py", "/__init__.py")
 
 
 # How a statement names its target.
@@ -29,17 +31,27 @@ REQUIRE_SPECIFIER = r"""\brequire\s*\(\s*['"]([^'"]+)['"]\s*\)"""
 
 
 def _filled(text: Column) -> Column:
+    """NULL for an empty text, which is computed twice: for columns and what is cheap."""
     return F.nullif(text, F.lit(""))
 
 
+def _first(text: Column, pattern: str) -> Column:
+    """What the pattern's group holds where it matches first, NULL without a match; searched once."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(1))
+
+
 def module_name(statement: Column) -> Column:
     """Module a Python import statement names, NULL if none.
 
     ``import a, b`` gives ``a,``, which names no file."""
     text = strip(statement)
-    return _filled(
-        F.when(F.startswith(text, F.lit("from")), F.regexp_extract(text, FROM_IMPORT, 1))
-        .otherwise(F.regexp_extract(text, PLAIN_IMPORT, 1))
+    return F.when(F.startswith(text, F.lit("from")), _first(text, FROM_IMPORT)).otherwise(_first(text, PLAIN_IMPORT))
+
+
+def _said_specifier(text: Column) -> Column:
+    return F.btrim(
+        F.when(F.startswith(text, F.lit("require:")), F.substring(text, len("require:") + 1, 1 << 30))
+        .otherwise(F.coalesce(_first(text, ESM_SPECIFIER), _first(text, REQUIRE_SPECIFIER)))
     )
 
 
@@ -47,13 +59,7 @@ def script_specifier(statement: Column) -> Column:
     """Specifier of a JavaScript/TypeScript import entry, NULL if none.
 
     A brace list broken over lines yields none."""
-    text = strip(statement)
-    return _filled(F.btrim(
-        F.when(F.startswith(text, F.lit("require:")), F.substring(text, len("require:") + 1, 1 << 30))
-        .otherwise(F.coalesce(
-            _filled(F.regexp_extract(text, ESM_SPECIFIER, 1)), F.regexp_extract(text, REQUIRE_SPECIFIER, 1)
-        ))
-    ))
+    return _filled(_said_specifier(strip(statement)))
 
 
 def _located(imports: DataFrame) -> DataFrame:
@@ -64,34 +70,35 @@ def _located(imports: DataFrame) -> DataFrame:
     python, script = F.col("language") == "python", F.col("language").isin(*JS_FAMILY)
     named = imports.withColumns({
         "_name": F.when(python, module_name(F.col("import_text"))),
-        "_spec": F.when(script, script_specifier(F.col("import_text"))),
-    })
+        "_said": F.when(script, _said_specifier(strip(F.col("import_text")))),
+    }).withColumn("_spec", _filled(F.col("_said")))
     spec = F.col("_spec")
     relative = F.startswith(spec, F.lit("./")) | F.startswith(spec, F.lit("../"))
     parted = named.withColumns({
         "_dir": F.when(relative, dirname(F.col("path"))),
-        "_ups": F.length(F.regexp_extract(spec, r"^(?:\./)?((?:\.\./)*)", 1)) / 3,
+        "_ups": (F.length(F.regexp_extract(spec, r"^(?:\./)?((?:\.\./)*)", 1)) / 3).cast("int"),
         "_rest": F.regexp_extract(spec, r"^(?:\./)?(?:\.\./)*(.*)$", 1),
     })
     # Usual case: ups first, then plain segments, staying inside the repository.
-    parents = F.split("_dir", "/")
-    depth = F.when(F.col("_dir") == "", F.lit(0)).otherwise(F.size(parents))
-    plain = (F.col("_ups") <= depth) & ~F.col("_rest").rlike(r"(?:^|/)\.{0,2}(?:/|$)")
-    above = F.array_join(F.slice(parents, F.lit(1), (depth - F.col("_ups")).cast("int")), "/")
-    folded = parted.withColumn(
+    folder = F.col("_dir")
+    slashes = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit("")))
+    placed = parted.withColumn("_above", F.when(folder == "", F.lit(0)).otherwise(slashes + 1) - F.col("_ups"))
+    plain = (F.col("_above") >= 0) & ~F.col("_rest").rlike(r"(?:^|/)\.{0,2}(?:/|$)")
+    above = F.call_function("substring_index", folder, F.lit("/"), F.col("_above"))
+    folded = placed.withColumn(
         "_target",
-        F.when(F.col("_dir").isNotNull(), F.when(plain, F.concat_ws("/", _filled(above), F.col("_rest"))).otherwise(
-            normalize(F.concat_ws("/", _filled(F.col("_dir")), spec))
+        F.when(folder.isNotNull(), F.when(plain, F.concat_ws("/", _filled(above), F.col("_rest"))).otherwise(
+            normalize(F.concat_ws("/", _filled(folder), spec))
         )),
     )
-    return folded.withColumn("_exact", extension(F.col("_target")) != "").drop("_spec", "_dir", "_ups", "_rest")
+    return folded.withColumn("_exact", extension(F.col("_target")) != "").drop("_said", "_spec", "_dir", "_ups", "_rest", "_above")
 
 
 def import_candidates(imports: DataFrame) -> DataFrame:
     """``(repo, path, pos, import_text, language)`` -> one row per candidate path,
     in the order they are tried (``ord``)."""
     dotted, target = F.replace("_name", F.lit("."), F.lit("/")), F.col("_target")
-    endings = F.array(*[F.lit(e) for e in (*SCRIPT_SUFFIXES, *("/index" + s for s in SCRIPT_SUFFIXES))])
+    endings = F.array(*map(F.lit, SCRIPT_TAILS))
     candidates = (
         F.when(F.col("_name").isNotNull(), F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py"))))
         .when(F.col("_exact"), F.array(target))
@@ -117,10 +124,11 @@ def module_keys(files: DataFrame, source_roots=()) -> DataFrame:
     )
     no_entry = F.lit(None).cast("struct<kind:string,key:string,ord:int>")
     options = [entry("file", path, 0)]
-    for i, root in enumerate(["", *(r.strip("/") + "/" for r in source_roots)]):
+    roots = ["", *(r.strip("/") + "/" for r in source_roots)]
+    for i, root in enumerate(roots):
         inside = F.startswith(path, F.lit(root))
         rest = path.substr(F.lit(len(root) + 1), F.length(path))
-        for rank, tail in enumerate((".py", "/__init__.py")):
+        for rank, tail in enumerate(MODULE_TAILS):
             name = rest.substr(F.lit(1), F.length(rest) - len(tail))
             options.append(
                 F.when(inside & F.endswith(rest, F.lit(tail)), entry("py", name, 2 * i + rank)).otherwise(no_entry)
@@ -134,11 +142,20 @@ def module_keys(files: DataFrame, source_roots=()) -> DataFrame:
             F.endswith(path, F.lit(tail)), entry("script", cut(tail), i + len(SCRIPT_SUFFIXES))
         ).otherwise(index_entry)
     options += [stem_entry, index_entry]
-    return (
+    # The path follows from the name and its rank, so groups hold a number each and are hashed, not sorted.
+    best = (
         each(files, ["repo", "path"], F.array(*options), "e")
         .groupBy("repo", F.col("e.kind").alias("kind"), F.col("e.key").alias("key"))
-        .agg(F.min_by("path", F.col("e.ord")).alias("target"))
+        .agg(F.min("e.ord").alias("ord"))
     )
+    nth = lambda items: F.element_at(F.array(*map(F.lit, items)), F.col("ord") + 1)
+    modules = [(r, tail) for r in roots for tail in MODULE_TAILS]
+    target = (
+        F.when(F.col("kind") == "file", F.col("key"))
+        .when(F.col("kind") == "py", F.concat(nth([r for r, _ in modules]), "key", nth([tail for _, tail in modules])))
+        .otherwise(F.concat("key", nth(SCRIPT_TAILS)))
+    )
+    return best.select("repo", "kind", "key", target.alias("target"))
 
 
 def import_keys(imports: DataFrame, resolve_relative: bool = False) -> DataFrame:
@@ -182,7 +199,8 @@ def resolve_imports(
     imports and ``src/`` layouts stay external."""
     imports = import_keys(import_rows(structures, keep_empty), resolve_relative)
     targets = module_keys((structures if files is None else files).select("repo", "path"), source_roots)
-    return imports.join(targets, ["repo", "kind", "key"], "left").select(
+    keys = ["repo", "kind", "key"]
+    return hashed(imports, keys).join(hashed(targets, keys), [HASH, *keys], "left").select(
         "repo", "path", "pos", "import_text", F.col("target").alias("dst")
     )
 
@@ -209,10 +227,10 @@ def adjacency(resolved: DataFrame) -> DataFrame:
     that files without imports keep their row.  A group is one file's imports,
     never more than that file's own text."""
     external = F.when(F.col("dst").isNull() & F.col("import_text").isNotNull(), F.struct("pos", "import_text"))
-    return resolved.groupBy("repo", "path").agg(
+    return hashed(resolved, ["repo", "path"]).groupBy(HASH, "repo", "path").agg(
         F.array_sort(F.collect_list("dst")).alias("depends_on"),
         F.transform(F.array_sort(F.collect_list(external)), lambda e: e["import_text"]).alias("external_imports"),
-    )
+    ).drop(HASH)
 
 
 def leaf_nodes(graph: DataFrame) -> DataFrame:

@@ -130,3 +130,41 @@ def test_sample_shapes(spark):
     assert sorted((r.src, r.dst) for r in graph.dependency_edges(resolved).collect()) == [
         ("database.py", "config.py"), ("main.py", "models.py"), ("main.py", "utils.py"), ("models.py", "database.py"), ("utils.py", "config.py")]
     assert [r.path for r in graph.leaf_nodes(graph.adjacency(resolved)).collect()] == ["config.py"]
+
+
+def plan(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def test_statements_are_searched_once(spark):
+    rows = graph.import_rows(make(spark, ("src/m.ts", ['import a from "./x";', "require: ", 'import b from " "', "import"]), ("m.py", ["import a"])))
+    keys = graph.import_keys(rows)
+    assert plan(keys).count(graph.ESM_SPECIFIER) == plan(keys).count(graph.FROM_IMPORT) == 1
+    assert sorted((r.pos, r.kind, r.key) for r in keys.collect() if r.path == "src/m.ts") == [
+        (0, "script", "src/x"), (1, "none", "src/m.ts"), (2, "none", "src/m.ts"), (3, "none", "src/m.ts")]
+
+
+def test_module_keys_are_hashed_not_sorted(spark):
+    paths = ["src/m.py", "m.py", "src/p/__init__.py", "src/q.py", "src/q/__init__.py", "x.tsx", "x/index.ts", "y.jsx", "y/index.js", "z/index.jsx", None]
+    files = spark.createDataFrame([("r", p) for p in [*paths, "m.py"]] + [(None, "m.py")], "repo string, path string")
+    keys = graph.module_keys(files, ["src"])
+    assert "SortAggregate" not in plan(keys, "executedPlan")
+    found = {(r.kind, r.key): r.target for r in keys.where("repo = 'r' and key is not null").collect()}
+    assert {k: t for k, t in found.items() if k[0] != "file"} == {
+        ("py", "src/m"): "src/m.py", ("py", "m"): "m.py", ("py", "src/p"): "src/p/__init__.py", ("py", "p"): "src/p/__init__.py",
+        ("py", "src/q"): "src/q.py", ("py", "q"): "src/q.py", ("py", "src/q/__init__"): "src/q/__init__.py", ("py", "q/__init__"): "src/q/__init__.py",
+        ("py", "src/p/__init__"): "src/p/__init__.py", ("py", "p/__init__"): "src/p/__init__.py",
+        ("script", "x"): "x.tsx", ("script", "x/index"): "x/index.ts", ("script", "y"): "y.jsx", ("script", "y/index"): "y/index.js",
+        ("script", "z"): "z/index.jsx", ("script", "z/index"): "z/index.jsx"}
+    assert all(t == k for (kind, k), t in found.items() if kind == "file")
+
+
+def test_hashes_change_no_join_or_group(spark):
+    files = make(spark, ("m.py", ["import a", "import os"]), ("m.py", ["import a"]), ("a.py", [])).unionByName(
+        spark.createDataFrame([(None, "a.py", "python", ["import a"]), (None, None, "python", [])], STRUCT))
+    resolved = graph.resolve_imports(files, keep_empty=True)
+    nodes = graph.adjacency(resolved)
+    assert nodes.columns == ["repo", "path", "depends_on", "external_imports"]
+    assert sorted(map(tuple, nodes.collect()), key=repr) == sorted([
+        ("r", "m.py", ["a.py", "a.py"], ["import os"]), ("r", "a.py", [], []), (None, "a.py", [], ["import a"]), (None, None, [], [])], key=repr)
+    assert "_hash" in plan(resolved).split("Join", 1)[1].split("\n", 1)[0]
