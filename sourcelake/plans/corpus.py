@@ -104,15 +104,17 @@ def _midnight(day: Column) -> Column:
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Lists are made where the lines of an order meet: partial ones before the shuffle would be sorted there as well.
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")
-    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    lines = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    keys = F.array_join(F.col("items")["l_partkey"].cast("array<string>"), "\n")  # "" without any
+    lines = lines.select("l_orderkey", keys.alias("items"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     # The lines are about as many as the orders: never a side to broadcast.
     rows = orders.join(lines.hint("shuffle_hash"), orders.o_orderkey == lines.l_orderkey, "left")
     key = F.col("o_orderkey")
     k = key.cast("string")
-    statement = lambda before, after: F.coalesce(F.array_join(F.transform(
-        "items", lambda x: F.concat(F.lit(before), x["l_partkey"].cast("string"), F.lit(after))
-    ), ""), F.lit(""))
+    statement = lambda before, after: F.when(F.col("items") != "", F.concat(
+        F.lit(before), F.replace("items", F.lit("\n"), F.lit(after + before)), F.lit(after)
+    )).otherwise(F.lit(""))
     python = _render(
         PY_ORDER,
         imports=statement("from parts.part_", " import Item\n"),
