@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from sourcelake.functions.text import count_tokens  # noqa: E402
+from sourcelake.functions.rows import HASH, hashed  # noqa: E402
+from sourcelake.functions.text import count_tokens
 from sourcelake.operators import (
     artifact,
     clustering,
@@ -101,11 +102,13 @@ def q_select_files(spark, sf):
 
 
 def q_extract_structure(spark, sf):
-    long = structure.symbols(_code(spark, sf))
-    return long.groupBy("repo", "path", "kind").agg(
+    # Files meet before they become symbols: fewer rows move, and none are sorted before they do.
+    keys = ["repo", "path", "kind"]
+    long = hashed(structure.symbols(_code(spark, sf).repartition("repo", "path")), keys)
+    return long.groupBy(HASH, *keys).agg(
         F.count("*").alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]), "|").alias("names"),
-    )
+        F.array_join(F.sort_array(F.collect_list(F.struct("pos", "name")))["name"], "|").alias("names"),
+    ).drop(HASH)
 
 
 def q_module_name(spark, sf):
