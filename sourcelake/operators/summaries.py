@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelake.functions.paths import stem
+from sourcelake.functions.rows import HASH, hashed
 from sourcelake.functions.text import quoted_list, strip
 
 # Summary sentences and prompt wording.
@@ -122,7 +123,7 @@ def cached_summaries(structures: DataFrame, cache: DataFrame) -> DataFrame:
     A summary is computed above the join, for the rows that found none."""
     known = cache.where("summary <> ''").select("key", F.col("summary").alias("cached"))
     keyed = structures.select("repo", "path", "classes", "functions", "imports", _key().alias("key"))
-    return keyed.join(known, "key", "left").select(
+    return hashed(keyed, ["key"]).join(hashed(known, ["key"]), [HASH, "key"], "left").select(
         "repo", "path", "key",
         F.when(F.col("cached").isNotNull(), F.col("cached")).otherwise(_template()).alias("summary"),
     )
@@ -133,18 +134,20 @@ def cache_misses(cache: DataFrame, structures: DataFrame) -> DataFrame:
     what a run appends.  Nothing else is computed."""
     known = cache.where("summary <> ''").select("key")
     keyed = structures.select("path", "classes", "functions", "imports", _key().alias("key"))
-    return keyed.join(known, "key", "left_anti").select("key", _template().alias("summary"))
+    return hashed(keyed, ["key"]).join(hashed(known, ["key"]), [HASH, "key"], "left_anti").select("key", _template().alias("summary"))
 
 
 def cache_entries(cache: DataFrame) -> DataFrame:
     """One entry per key of a cache that grows by appending: a filled one if
     there is one.  Entries of one key never differ otherwise."""
-    return cache.groupBy("key").agg(F.coalesce(F.max(F.nullif("summary", F.lit(""))), F.max("summary")).alias("summary"))
+    entry = F.coalesce(F.max(F.nullif("summary", F.lit(""))), F.max("summary")).alias("summary")
+    return hashed(cache, ["key"]).groupBy(HASH, "key").agg(entry).drop(HASH)
 
 
 def inject_summaries(modules: DataFrame, summaries: DataFrame) -> DataFrame:
     """Replace a module's summary where one exists for its path."""
     new = summaries.select("repo", "path", F.col("summary").alias("_new"))
-    return modules.join(new, ["repo", "path"], "left").withColumn(
+    keys = ["repo", "path"]
+    return hashed(modules, keys).join(hashed(new, keys), [HASH, *keys], "left").withColumn(
         "summary", F.coalesce("_new", "summary")
     ).select(*modules.columns)
