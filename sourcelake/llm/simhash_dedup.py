@@ -97,7 +97,8 @@ def near_links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
     ``distinct`` has one row per fingerprint ``fp``.  Each fingerprint is
     indexed under one variant per bit; equal variants join, and the pair is
     verified and kept at one of its variants only, inside the join.  Both sides
-    are plain shuffles, so a crowded variant is split by adaptive execution."""
+    are plain shuffles, so a crowded variant is split by adaptive execution; Spark
+    takes the variants for as small as the fingerprints, and would broadcast them."""
     rows = distinct.select("fp", F.explode(_variants(F.col("fp"), max_distance)).alias("v"))
     rows = rows.select("fp", F.col("v.bit").alias("bit"), F.col("v.value").alias("value"))
     left, right = rows.toDF("a", "bit", "value").alias("l"), rows.toDF("b", "bit", "value").alias("r")
@@ -106,7 +107,7 @@ def near_links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
         (F.col("l.bit") == F.col("r.bit")) & (F.col("l.value") == F.col("r.value")) & (F.col("a") > F.col("b"))
         & (F.bit_count(difference) <= max_distance) & _meets_here(difference, F.col("l.bit"), max_distance)
     )
-    return left.join(right, meet).select("a", "b")
+    return left.hint("merge").join(right, meet).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, max_distance: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from sourcelake.llm import simhash_dedup as sd
 
@@ -86,3 +87,10 @@ def test_one_document_of_each_group_stays(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert sd.simhash_groups(none).count() == 0 and sd.near_dedup(none).count() == 0
+
+
+def test_variants_are_not_broadcast(spark):
+    """64 rows for each fingerprint, whose size Spark takes for that of the fingerprints."""
+    links = sd.near_links(spark.range(100).select(F.col("id").alias("fp")))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
