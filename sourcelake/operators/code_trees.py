@@ -150,6 +150,51 @@ def _place(copies: list[list[str]]) -> tuple[list[int], list[int | None], list[s
     return numbers, parents, types, ends
 
 
+def _place_one(tokens: list[str]) -> tuple[list[int], list[int | None], list[str], list[int]]:
+    """:func:`_place` of a file that has its tree alone, in one pass over its tokens."""
+    numbers, parents, types, ends = [0], [None], [ROOT], [4 * _FAR]
+    n, running, least, line = 0, 0, 0, 0
+    opened: dict[int, int] = {}
+    unclosed: dict[int, int] = {}
+    around: list[tuple[int, int, int]] = []
+    for token in tokens:
+        step = _STEP.get(token)
+        if step is None:
+            depth = running - least
+            if token[0] != "\n":
+                n += 1
+                parent, end = opened.get(depth - 1, line) if depth else line, 2 * n
+            else:
+                token, width = _line(token)
+                if depth and token == LINE:
+                    continue
+                n += 1
+                if depth:
+                    parent, end = opened.get(depth - 1, line), 2 * n
+                else:
+                    while around and around[-1][0] >= width:
+                        ends[around.pop()[2]] = 2 * n - 1
+                    parent, end, line = around[-1][1] if around else 0, 2 * _FAR - 1, n
+                    around.append((width, n, len(ends)))
+        else:
+            n += 1
+            running += step
+            if step < 0:
+                least = min(least, running)
+                if (row := unclosed.pop(running - least, None)) is not None:
+                    ends[row] = 2 * n
+                continue
+            depth = running - least
+            parent, end = opened.get(depth - 2, line) if depth > 1 else line, 2 * _FAR
+            opened[depth - 1] = n
+            unclosed[depth - 1] = len(ends)
+        numbers.append(n)
+        parents.append(parent)
+        types.append(token)
+        ends.append(end)
+    return numbers, parents, types, ends
+
+
 def _ranks(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Rank from 1 of each row among those of its group: ``rows`` in order, ``starts`` marks the first of a group there."""
     places = np.arange(len(rows))
@@ -163,14 +208,16 @@ def _placed(trees: pa.Array) -> pa.Array:
     """Nodes of each file from the tokens of its rows."""
     numbers, parents, types, ends, sizes = [], [], [], [], [0]
     for rows in trees.to_pylist():
-        found = _place([row.split(_BETWEEN) if row else [] for row in rows])
+        copies = [row.split(_BETWEEN) if row else [] for row in rows]
+        found = _place_one(copies[0]) if len(copies) == 1 else _place(copies)
         for column, values in zip((numbers, parents, types, ends), found, strict=True):
             column.extend(values)
         sizes.append(len(found[0]))
     offsets = np.cumsum(sizes)
     tree = np.repeat(np.arange(len(sizes) - 1), sizes[1:])
     n, end, parent = np.array(numbers, np.int64), np.array(ends, np.int64), np.array([-1 if x is None else x for x in parents], np.int64)
-    siblings, visits = np.lexsort((n, parent, tree)), np.lexsort((n, -end, tree))
+    # Numbers ascend within a tree, and both sorts are stable.
+    siblings, visits = np.argsort(tree * (n.max(initial=0) + 2) + parent, kind="stable"), np.lexsort((-end, tree))
     new_tree = np.diff(tree[visits], prepend=-1) != 0
     new_parent = (np.diff(tree[siblings], prepend=-1) != 0) | (np.diff(parent[siblings], prepend=-2) != 0)
     columns = [pa.array(n), pa.array(parents, pa.int64()), pa.array(_ranks(siblings, new_parent).astype(np.int32)), pa.array(_ranks(visits, new_tree)), pa.array(types, pa.string())]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,13 +110,10 @@ def subtree_hash(nodes: DataFrame, depth: int = 4, colocate: bool = True) -> Dat
     rounds shuffle by node, for trees too large for one task."""
     if depth <= 0 or not colocate:
         return _hash_rounds(nodes, depth)
-    payload = F.struct(*[f.name for f in nodes.schema.fields if f.name != "tree_id"])
-    grouped = nodes.groupBy("tree_id").agg(F.collect_list(payload).alias("nodes"))
-    links = F.transform("nodes", lambda x: F.struct(x["node_id"], x["parent_id"], x["child_ord"].cast("int"), x["type"]))
-    hashed = grouped.select("tree_id", "nodes", _tree_hashes(depth)(links).alias("hashes"))
-    merged = F.zip_with("nodes", "hashes", lambda x, y: F.struct(x.alias("node"), y.alias("of")))
-    rows = each(hashed, ["tree_id"], F.filter(merged, lambda x: x["of"]["own"]), "r")
-    return rows.select("tree_id", "r.node.*", F.col("r.of.h").alias("h"))
+    fields = [f for f in nodes.schema.fields if f.name != "tree_id"]
+    trees = nodes.groupBy("tree_id").agg(F.collect_list(F.struct(*[f.name for f in fields])).alias("nodes"))
+    rows = each(trees.select("tree_id", _tree_hashes(depth, fields)("nodes").alias("nodes")), ["tree_id"], F.col("nodes"), "r")
+    return rows.select("tree_id", *[F.col(f"r.node.`{f.name}`") for f in fields], F.col("r.h").alias("h"))
 
 
 def _sha1(text: str | None) -> str | None:
@@ -126,17 +124,80 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
 
 
-def _tree_hashes(depth: int):
-    """A function of a tree's ``(node_id, parent_id, child_ord, type)`` to ``(own, h)``
-    of each: its hash, and whether it is the row that stands for its id."""
+def _plain_hashes(offsets: np.ndarray, ids: pa.Array, parents: pa.Array, ords: pa.Array, types: pa.Array, depth: int) -> pa.Array | None:
+    """Hashes of all nodes of the trees that lie between ``offsets``, a level at a time over all of them; None unless ids
+    are numbers from 0 that are unique in their tree, and nothing that orders or names a node is NULL or tied.
+
+    Hashes are known by codes here; a parent's type and its children's codes, as bytes, are looked up."""
+    if not len(ids) or ids.null_count or ords.null_count or types.null_count or not all(pa.types.is_integer(x.type) for x in (ids, parents, ords)):
+        return None
+    own, up, order = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (ids, parents.fill_null(-1), ords))
+    size = int(own.max()) + 1
+    if own.min() < 0 or size * len(offsets) >= 1 << 62:
+        return None
+    start = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * size
+    key = start + own
+    rows = np.argsort(key, kind="stable")
+    key = key[rows]
+    if (key[1:] == key[:-1]).any():
+        return None
+    at = np.minimum(np.searchsorted(key, start + up), len(key) - 1)
+    child = np.flatnonzero((up >= 0) & (up < size) & (key[at] == start + up))
+    above = rows[at[child]]
+    by = np.lexsort((order[child], above))
+    child, above = child[by], above[by]
+    new = np.diff(above, prepend=-1) != 0
+    if (~new[1:] & (order[child][1:] == order[child][:-1])).any():
+        return None
+    said = types.dictionary_encode()
+    kind, names = said.indices.to_numpy(zero_copy_only=False).astype(np.int32), said.dictionary.to_pylist()
+    texts = [_sha1(x) for x in names] + [_sha1(f"{x}()") for x in names]
+    codes, bare = kind, kind + np.int32(len(names))
+    begins = np.flatnonzero(new)
+    heads = above[begins]
+    # Each parent's type stands before its children's codes.
+    laid = np.insert(np.zeros(len(child), np.int32), begins, kind[heads])
+    spot = np.arange(len(child)) + np.cumsum(new)
+    cuts = np.append(begins + np.arange(len(begins)), len(laid)) * 4
+    found: dict[bytes, int] = {}
+    moving = np.arange(len(heads))
+    for level in range(depth):
+        if level > 1:  # a hash moves at this level only if one below moved at the last
+            moving = np.flatnonzero(np.logical_or.reduceat(moved[child], begins)) if len(begins) else moving
+        laid[spot] = codes[child]
+        line, known = laid.tobytes(), []
+        for a, b in zip(cuts[moving].tolist(), cuts[moving + 1].tolist(), strict=True):
+            code = found.get(shape := line[a:b])
+            if code is None:
+                head, *kids = np.frombuffer(shape, np.int32).tolist()
+                code = found[shape] = len(texts)
+                texts.append(_sha1(f"{names[head]}({','.join([texts[k] for k in kids])})"))
+            known.append(code)
+        after = codes.copy() if level > 1 else bare.copy()
+        after[heads[moving]] = known
+        moved = after != codes
+        codes = after
+    return pa.array(texts, pa.string()).take(pa.array(codes))
+
+
+def _tree_hashes(depth: int, fields: list[T.StructField]):
+    """A function of a tree's nodes, structs of ``fields``, to ``(node, h)`` of each that stands for its id."""
+    kind_of = T.StructType([T.StructField("node", T.StructType(fields)), T.StructField("h", T.StringType())])
 
-    @F.arrow_udf("array<struct<own:boolean,h:string>>")
+    @F.arrow_udf(T.ArrayType(kind_of))
     def hashes(trees: pa.Array) -> pa.Array:
         leaf, inner = lru_cache(REMEMBERED)(_sha1), lru_cache(REMEMBERED)(
             lambda kind, kids: None if kind is None else _sha1(f"{kind}({','.join(kids)})")
         )
-        ids, parents, ords, types = map(_values, trees.flatten().flatten())
-        own, found, offsets = [True] * len(ids), [], [x - trees.offsets[0].as_py() for x in trees.offsets.to_pylist()]
+        nodes, first_row = trees.flatten(), trees.offsets[0].as_py()
+        offsets = [x - first_row for x in trees.offsets.to_pylist()]
+        columns = dict(zip((f.name for f in nodes.type), nodes.flatten(), strict=True))
+        links = [columns[name] for name in ("node_id", "parent_id", "child_ord", "type")]
+        if (plain := _plain_hashes(np.array(offsets), *links, depth)) is not None:
+            pairs = pa.StructArray.from_arrays([pa.StructArray.from_arrays(list(columns.values()), list(columns)), plain], ["node", "h"])
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+        ids, parents, ords, types = map(_values, links)
+        own, found, dropped = [True] * len(ids), [], [0]
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             first = dict(zip(reversed(ids[a:b]), range(b - 1, a - 1, -1), strict=True))
             first.pop(None, None)
@@ -146,26 +207,37 @@ def _tree_hashes(depth: int):
                     kids.setdefault(first[parents[i]] - a, []).append(i - a)
             kind, order = types[a:b], ords[a:b]
             h, bare = [leaf(x) for x in kind], [inner(x, ()) for x in kind]
+            unique = len(first) == b - a
             tied = [at for at, some in kids.items() if len({order[i] for i in some}) < len(some)]
             for some in kids.values():
-                some.sort(key=lambda i: (order[i] is not None, order[i] or 0))
+                if len(some) > 1:
+                    some.sort(key=lambda i: (order[i] is not None, order[i] or 0))
+            moving = kids
             for level in range(depth):
-                if level == 1 and len(first) < b - a:  # rows that share an id are one node from the second level on
+                if level == 1 and not unique:  # rows that share an id are one node from the second level on
                     for i in set(range(a, b)).difference(first.values()):
                         own[i] = False
                     kids = {at: [i for i in some if own[a + i]] for at, some in kids.items()}
+                    moving = kids
                 for at in tied:
                     kids[at].sort(key=lambda i: (order[i] is not None, order[i] or 0, h[i] or ""))
-                new = bare.copy()
-                for at, some in kids.items():
+                if level > 1 and unique:  # a hash moves at this level only if one below moved at the last
+                    moving = {at: some for at, some in moving.items() if not moving.keys().isdisjoint(some)}
+                    new = h.copy()
+                else:
+                    new = bare.copy()
+                for at, some in moving.items():
                     new[at] = inner(kind[at], tuple([h[i] for i in some if h[i] is not None]))
                 h = new
-            if len(first) < b - a:
+            if not unique:
                 for i in set(range(a, b)).difference(first.values()):
                     own[i] = False
             found.extend(h)
-        pairs = pa.StructArray.from_arrays([pa.array(own, pa.bool_()), pa.array(found, pa.string())], ["own", "h"])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+            dropped.append(dropped[-1] + (b - a - len(first) if not unique else 0))
+        pairs = pa.StructArray.from_arrays([pa.StructArray.from_arrays(list(columns.values()), list(columns)), pa.array(found, pa.string())], ["node", "h"])
+        if dropped[-1]:
+            pairs = pairs.filter(pa.array(own))
+        return pa.ListArray.from_arrays(pa.array([x - y for x, y in zip(offsets, dropped, strict=True)], pa.int32()), pairs)
 
     return hashes
 

@@ -1,0 +1,50 @@
+"""The forms that take trees a batch at a time, against those that take them one by one."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from sourcelake.operators import code_trees, trees
+
+POOL = ["(", ")", "[", "]", "{", "}", "if", "for", "\n", "\n  ", "\nif", "\n    for", "\n\tx", "return"]
+
+
+def test_one_file_is_placed_as_its_copies_are():
+    random.seed(1)
+    for _ in range(3000):
+        tokens = random.choices(POOL, k=random.randint(0, 40))
+        assert code_trees._place_one(tokens) == code_trees._place([tokens])
+
+
+def batch(rows, kind):
+    return pa.array([[dict(zip(("node_id", "parent_id", "child_ord", "visit_ord", "type"), r, strict=True)) for r in tree] for tree in rows], kind)
+
+
+def hashed(rows, depth, monkeypatch, plain=True):
+    kind = pa.list_(pa.struct([("node_id", pa.int64()), ("parent_id", pa.int64()), ("child_ord", pa.int32()), ("visit_ord", pa.int64()), ("type", pa.string())]))
+    with monkeypatch.context() as m:
+        if not plain:
+            m.setattr(trees, "_plain_hashes", lambda *a: None)
+        return trees._tree_hashes(depth, code_trees._NODE.fields).func(batch(rows, kind)).to_pylist()
+
+
+def test_trees_are_hashed_together_as_one_by_one(monkeypatch):
+    random.seed(2)
+    rows = [[]]
+    for _ in range(60):
+        n = random.randint(1, 30)
+        above = [random.choice([None, 99, *range(i)]) for i in range(n)]
+        rows.append([(i, p, random.sample(range(n), n)[0] * n + i, i, random.choice("abc")) for i, p in enumerate(above)])
+    random.shuffle(rows[5])
+    for depth in (1, 2, 4, 7):
+        assert hashed(rows, depth, monkeypatch) == hashed(rows, depth, monkeypatch, plain=False)
+
+
+def test_trees_that_are_not_plain_are_hashed_one_by_one():
+    column = lambda *x: pa.array(x, pa.int64())
+    said, names = (column(0, 1, 2), column(None, 0, 0), column(1, 1, 2)), pa.array(["a", "b", "c"])
+    assert trees._plain_hashes(np.array([0, 3]), *said, names, 4) is not None
+    for i, odd in ((0, column(0, 1, 1)), (0, column(0, None, 2)), (0, column(-1, 1, 2)), (2, column(1, 1, 1)), (2, column(1, None, 2))):
+        assert trees._plain_hashes(np.array([0, 3]), *said[:i], odd, *said[i + 1:], names, 4) is None
+    assert trees._plain_hashes(np.array([0, 3]), *said, pa.array(["a", None, "c"]), 4) is None
